@@ -4,26 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfold.llm.common import table
+from wayfold.llm import bpe, secrets, url_filter
+from wayfold.llm.common import count_kind, spans_text, table
 from wayfold.llm.exact_dedup import exact_groups
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+# The rules that the url contract names.
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+#: The block list that decides where no rule fits.
+BLOCKED = (("ads.example.net", "/"), ("tracker.example.net", "/"), ("malware.test", "/"), ("phishing.invalid", "/"), ("example.net", "/redirect"))
+
+
+def with_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, n_<kind> of the base spans, their digest, and all spans as text."""
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *(count_kind(spans, k).alias(f"n_{k}") for k in kinds),
+        F.sha2(spans_text(spans, base_only=True), 256).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+    )
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(secrets.find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED).drop("listed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op10_url_filter": op10_url_filter,
 }
 
-LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+def _fits(alias: str) -> str:
+    return f"(p.host = {alias}.host OR ends_with(p.host, '.' || {alias}.host)) AND starts_with(p.path, {alias}.path)"
+
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": f"""
-        WITH t AS (SELECT doc_id, {LOWER} AS body FROM documents)
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {LETTERS}) AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)""",
+    "op10_url_filter": f"""
+        WITH rules(verdict, host, path) AS (VALUES {_values(RULES)}),
+        listed(host, path) AS (VALUES {_values(BLOCKED)}),
+        p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {LETTERS}) AS host,
+                     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        best AS (SELECT p.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+                        arg_max(r.verdict, length(r.host || r.path)) AS verdict
+                 FROM p JOIN rules r ON {_fits('r')} GROUP BY p.page_id)
+        SELECT p.page_id, p.host, p.path, best.rule,
+               coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM listed l WHERE {_fits('l')}) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN best USING (page_id)""",
 }

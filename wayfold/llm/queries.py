@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, packing, secrets, url_filter
+from wayfold.llm import bpe, packing, pii, secrets, url_filter
 from wayfold.llm.common import count_kind, spans_text, table
 from wayfold.llm.exact_dedup import exact_groups
 
@@ -53,6 +53,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED).drop("listed")
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_pii_scan": op8_pii_scan,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import bpe, packing, pii, secrets, toxicity, url_filter
 from wayfold.llm.common import count_kind, spans_text, table
 from wayfold.llm.exact_dedup import exact_groups
+from wayfold.llm.near_dedup import near_groups
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,6 +42,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(secrets.find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,

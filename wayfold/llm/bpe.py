@@ -76,8 +76,9 @@ class MergeList:
         for m in spec["model"]["merges"]:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rules.append((vocab[a], vocab[b], vocab[a + b]))
-        #: (left id << 32 | right id) -> (rank, id of both)
-        self.rank = {a << 32 | b: (r, c) for r, (a, b, c) in enumerate(self.rules)}
+        #: (left id, right id) -> rank, and rank -> id of both
+        self.rank = {(a, b): r for r, (a, b, _) in enumerate(self.rules)}
+        self.made = [c for _, _, c in self.rules]
 
     @property
     def lookahead(self) -> int:
@@ -97,45 +98,44 @@ class MergeList:
     def merge(self, data: bytes) -> list[int]:
         """Ids of one whole piece: the earliest rule first, and of its places the leftmost."""
         ids = [self.byte_id[b] for b in data]
-        get = self.rank.get
         if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at, made = 1 << 40, -1, 0
-            left = ids[0]
-            for k in range(1, len(ids)):
-                right = ids[k]
-                r = get(left << 32 | right)
-                if r is not None and r[0] < best:
-                    best, made = r
-                    at = k
-                left = right
-            if at < 0:
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at - 1 : at + 1] = [made]
+            k = ranks.index(best)
+            ids[k : k + 2] = [self.made[best]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by rounds over a heap, for pieces that are long."""
         import heapq
 
-        get, n = self.rank.get, len(ids)
+        get, made, n = self.rank.get, self.made, len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], k, ids[k], ids[k + 1], r[1]) for k in range(n - 1) if (r := get(ids[k] << 32 | ids[k + 1]))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, c = heapq.heappop(heap)
-            j = nxt[k]
+            r, k, a, b = heapq.heappop(heap)
+            j, c = nxt[k], made[r]
             if ids[k] != a or j >= n or ids[j] != b:
                 continue
             ids[k], ids[j] = c, -1
             nxt[k] = j = nxt[j]
             if j < n:
                 prv[j] = k
-                if r := get(c << 32 | ids[j]):
-                    heapq.heappush(heap, (r[0], k, c, ids[j], r[1]))
-            if (p := prv[k]) >= 0 and (r := get(ids[p] << 32 | c)):
-                heapq.heappush(heap, (r[0], p, ids[p], c, r[1]))
+                if (r := get((c, ids[j]))) is not None:
+                    heapq.heappush(heap, (r, k, c, ids[j]))
+            if (p := prv[k]) >= 0 and (r := get((ids[p], c))) is not None:
+                heapq.heappush(heap, (r, p, ids[p], c))
         return [i for i in ids if i >= 0]
 
 
@@ -175,6 +175,25 @@ class Codec:
         return b"".join([*map(self.words.__getitem__, PRETOKEN.findall(first)), *map(self.units.__getitem__, units)])
 
 
+class LibraryCodec(Codec):
+    """The same caches, filled by a compiled encoder over the same merges."""
+
+    def __init__(self, merges: MergeList):
+        import tiktoken
+
+        super().__init__(merges)
+        if any(c != 256 + r for r, c in enumerate(merges.made)):
+            raise ValueError("ids must follow the order of the merges")
+        ranks = {t: i for i, t in merges.token.items() if i not in merges.special.values()}
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.encode(word), "<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        return self._word(" " + unit)
+
+
 class StreamEncoder:
     """Text in by ``feed``, little-endian 32-bit ids out as soon as they are stable; ``finish`` gives the rest."""
 
@@ -305,6 +324,11 @@ def codec(path: str) -> Codec:
     return Codec(MergeList(path))
 
 
+@lru_cache(maxsize=2)
+def library_codec(path: str) -> Codec:
+    return LibraryCodec(MergeList(path))
+
+
 def encode_text(text: str, own: Codec) -> bytes:
     """Little-endian 32-bit ids of a whole text."""
     encoder = StreamEncoder(own)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.bpe import codec, encode_text
+from wayfold.llm.bpe import encode_text, library_codec
 from wayfold.llm.common import materialize, ship
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,7 +93,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int, separator: int, id_col:
     end = separator.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = library_codec(path)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):

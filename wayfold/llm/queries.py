@@ -12,6 +12,7 @@ from wayfold.llm import bpe, packing, pii, secrets, toxicity, url_filter
 from wayfold.llm.common import count_kind, spans_text, table
 from wayfold.llm.exact_dedup import exact_groups
 from wayfold.llm.near_dedup import near_groups
+from wayfold.llm.suffix_dedup import repeat_digests
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -54,6 +55,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_pii_scan": op8_pii_scan,

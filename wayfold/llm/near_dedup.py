@@ -13,8 +13,10 @@
    standard errors below the bound are dropped.
 4. *Confirmation.* The others are compared on their full sets.
 5. *Rest.* A bucket whose members now lie in one component needs no more pairs:
-   they would change no component. In the others, members of different
-   components are paired as well, estimated and confirmed in the same way. So
+   they would change no component. The documents of the others get a second,
+   wider signature (1024 minima of 2 bits), whose estimate is so sharp that the
+   join itself can drop nearly all pairs of members of different components
+   that aren't similar enough. What it leaves is confirmed on the full sets. So
    no candidate pair that could join two components is left out, and no bucket
    is expanded into all pairs.
 
@@ -43,12 +45,16 @@ PACKED = HASHES * BITS // 64
 PERCENT = 75
 #: Five standard errors of the estimate at the bound, in equal values of HASHES.
 LEAST_EQUAL = int(HASHES * (0.75 + 0.25 / 16) - 5 * (HASHES * 0.766 * 0.234) ** 0.5)
+#: The second signature: minima, bits of each, 64-bit words; and the same five standard errors.
+WIDE, WIDE_BITS = 1024, 2
+WIDE_PACKED = WIDE * WIDE_BITS // 64
+WIDE_LEAST = int(WIDE * (0.75 + 0.25 / 4) - 5 * (WIDE * 0.8125 * 0.1875) ** 0.5)
 #: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(20240229)
-MULTIPLY = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+MULTIPLY = _RNG.integers(0, 1 << 31, HASHES + WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _RNG.integers(0, 1 << 32, HASHES + WIDE, dtype=np.uint32)
 SIGNATURE = (
     "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(PACKED))
 )
@@ -83,10 +89,10 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield at, to, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(([0], sizes.cumsum()))
 
 
-def minima(members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over each non-empty set: one row of HASHES for each."""
+def minima(members: np.ndarray, bounds: np.ndarray, functions: range) -> np.ndarray:
+    """The least value of each hash function over each non-empty set: one row for each set."""
     own = np.flatnonzero(np.diff(bounds))
-    out = np.empty((len(own), HASHES), np.uint32)
+    out = np.empty((len(own), len(functions)), np.uint32)
     low = (members >> np.uint64(32)).astype(np.uint32)
     step = 1 << 15
     k = 0
@@ -95,14 +101,24 @@ def minima(members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         a, b = bounds[own[k]], bounds[own[to - 1] + 1]
         part, starts = low[a:b], bounds[own[k:to]] - a
         value = np.empty_like(part)
-        for j in range(HASHES):
-            np.multiply(part, MULTIPLY[j], out=value)
-            value += ADD[j]
+        for j, f in enumerate(functions):
+            np.multiply(part, MULTIPLY[f], out=value)
+            value += ADD[f]
             out[k:to, j] = np.minimum.reduceat(value, starts)
         k = to
     return out
 
 
+def packed_bits(least: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of each row's minima in 64-bit words."""
+    per = 64 // bits
+    low = least.astype(np.uint64) & np.uint64((1 << bits) - 1)
+    out = np.zeros((len(low), low.shape[1] // per), np.uint64)
+    for j in range(per):
+        out |= low[:, j::per] << np.uint64(bits * j)
+    return out
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "d0", "d1", "bands", *(f"s{k}" for k in range(PACKED))]
     for batch in batches:
@@ -115,15 +131,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own):
                 for k in range(2):
                     digest[k, own] = np.add.reduceat(mix(members ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (2**64 - 1))), bounds[own])
-                least = minima(members, bounds).astype(np.uint64)
+                least = minima(members, bounds, range(HASHES)).astype(np.uint64)
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(own), BANDS)).copy()
                 for j in range(BAND):
                     key = mix(key * C3 + least[:, j::BAND])
                 bands[own] = key
-                bits = least & np.uint64((1 << BITS) - 1)
-                per = 64 // BITS
-                for j in range(per):
-                    packed[own] |= bits[:, j::per] << np.uint64(BITS * j)
+                packed[own] = packed_bits(least, BITS)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))), pa.int32()), pa.array(bands[own].ravel().view(np.int64))
             )
@@ -133,17 +146,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def equal_values(left: str, right: str) -> Column:
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, to, members, bounds in shingles(batch.column(1)):
+            own = np.flatnonzero(np.diff(bounds))
+            if len(own):
+                words_ = packed_bits(minima(members, bounds, range(HASHES, HASHES + WIDE)), WIDE_BITS)
+                columns = [pa.array(words_[:, k].copy().view(np.int64)) for k in range(WIDE_PACKED)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to].take(pa.array(own)), *columns], ["id", *(f"s{k}" for k in range(WIDE_PACKED))])
+
+
+def equal_values(left: str, right: str, bits: int, packed: int) -> Column:
     """How many of the packed values of two rows agree."""
-    ones = F.lit(0x1111111111111111)
+    ones = F.lit(sum(1 << k for k in range(0, 63, bits)))  # the lowest bit of each value
 
     def differ(k: int) -> Column:
         v = F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        for shift in (1, 2)[: bits // 2]:
+            v = v.bitwiseOR(F.shiftrightunsigned(v, shift))
         return F.bit_count(v.bitwiseAND(ones))
 
-    return F.lit(HASHES) - reduce(lambda x, y: x + y, (differ(k) for k in range(PACKED)))
+    return F.lit(packed * 64 // bits) - reduce(lambda x, y: x + y, (differ(k) for k in range(packed)))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +201,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def _similar(pairs: DataFrame, packs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Of pairs (a, b), those that the signatures leave and the full sets confirm."""
-    left, right = packs.alias("l"), packs.alias("r")
-    near = pairs.join(left, F.col("a") == F.col("l.rep")).join(right, F.col("b") == F.col("r.rep"))
-    near = materialize(near.where(equal_values("l", "r") >= LEAST_EQUAL).select("a", "b"), f"{label}-estimated")
-    ids = materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{label}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    some = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["id"]).select("id", "text")
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (id, text) of some documents; the ids are broadcast if they are few."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, texts["doc_id"] == ids["id"]).select("id", "text")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """Of pairs (a, b), those that the full sets confirm."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-ids")
+    some = _texts_of(ids, texts)
     left, right = some.alias("l"), some.alias("r")
-    rows = near.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id"))
+    rows = pairs.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id"))
     rows = rows.select("a", "b", F.col("l.text").alias("ta"), F.col("r.text").alias("tb"))
     return materialize(rows.mapInArrow(_confirm, "a long, b long"), f"{label}-links")
 
@@ -210,17 +234,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = materialize(first, "near-first")
     shared = materialize(rows.join(first, "key").select("key", "rep", "a"), "near-shared")
     pairs = shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    links = _similar(pairs, packs, texts, "near-star")
+    left, right = packs.alias("l"), packs.alias("r")
+    near = pairs.join(left, F.col("a") == F.col("l.rep")).join(right, F.col("b") == F.col("r.rep"))
+    near = materialize(near.where(equal_values("l", "r", BITS, PACKED) >= LEAST_EQUAL).select("a", "b"), "near-estimated")
+    links = _confirmed(near, texts, "near-star")
     found = connected(links, "near-components")
     # Members of one bucket in different components: the pairs that the star has left out.
     placed = shared.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "near-placed")
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     split = materialize(placed.join(materialize(split, "near-split"), "key"), "near-open")
+    ids = materialize(split.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
+    schema = "id long, " + ", ".join(f"s{k} long" for k in range(WIDE_PACKED))
+    wide = materialize(_texts_of(ids, texts).mapInArrow(_wide, schema), "near-wide")
+    wide = wide.join(members.where("bands IS NOT NULL").select(F.col("rep").alias("own"), "bands"), F.col("id") == F.col("own")).drop("own")
+    split = materialize(split.join(wide, F.col("rep") == F.col("id")).drop("id"), "near-open-wide")
     l, r = split.alias("l"), split.alias("r")
-    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
-    cross = cross.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _similar(cross, packs, texts, "near-cross")
+    cross = l.join(
+        r,
+        (F.col("l.key") == F.col("r.key"))
+        & (F.col("l.component") < F.col("r.component"))
+        & (equal_values("l", "r", WIDE_BITS, WIDE_PACKED) >= WIDE_LEAST)
+        & (F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.key")),  # once, in the first bucket that they share
+    )
+    cross = cross.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    cross = materialize(cross.join(near, ["a", "b"], "left_anti"), "near-cross")
+    more = _confirmed(cross, texts, "near-cross")
     if not more.isEmpty():
         found = connected(links.union(more), "near-components-2")
     out = members.join(found, F.col("rep") == F.col("id"), "left")

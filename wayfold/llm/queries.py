@@ -13,6 +13,7 @@ from wayfold.llm.common import count_kind, spans_text, table
 from wayfold.llm.exact_dedup import exact_groups
 from wayfold.llm.near_dedup import near_groups
 from wayfold.llm.suffix_dedup import repeat_digests
+from wayfold.llm.vector_dedup import vector_links
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -71,6 +72,10 @@ def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED).drop("listed")
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_pii_scan": op8_pii_scan,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -104,6 +110,15 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)""",
+    "op9_vector_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id
+                 AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT vec_id AS id, vec_id AS to_id FROM v
+                  UNION SELECT reach.id, near.b FROM reach JOIN near ON reach.to_id = near.a)
+        SELECT id AS vec_id, (SELECT count(*) FROM near WHERE near.a = reach.id) AS n_links,
+               min(to_id) AS component_id, id = min(to_id) AS kept
+        FROM reach GROUP BY id""",
     "op10_url_filter": f"""
         WITH rules(verdict, host, path) AS (VALUES {_values(RULES)}),
         listed(host, path) AS (VALUES {_values(BLOCKED)}),

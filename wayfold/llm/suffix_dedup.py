@@ -5,7 +5,7 @@ corpus (smaller id, or earlier in the same document) is removed. Strings are
 judged on the input; they may overlap and never cross documents.
 
 *Dealing.* A window of ``length`` bytes belongs to the least hash among its
-24-byte strings, so equal windows belong to equal keys wherever they stand.
+40-byte strings, so equal windows belong to equal keys wherever they stand.
 Successive windows of one key form a segment. A first pass sends only keys and
 ids and finds the keys that occur twice; only segments of those keys then send
 their bytes, each distinct segment once for each slice of a task. A passage
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import materialize, ship, utf8
 from wayfold.llm.words import C3, mix
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Bytes of text in which a task combines before it sends, and that it decides at once.
 SLICE = 8 << 20
 SHARD = 2 << 20
@@ -340,12 +340,12 @@ def _rest(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = slim.where("doc_id IS NOT NULL").mapInArrow(_keys(length), "key long, doc_id long, known boolean")
     part = F.when(F.col("known"), F.xxhash64("doc_id", "key")).otherwise(F.col("key"))
-    dealt = keys.withColumn("part", part).repartition("part").sortWithinPartitions("part").select("key", "doc_id", "known")
+    dealt = keys.repartition(part).sortWithinPartitions("key", "known")
     found = dealt.mapInArrow(_repeated, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     some = materialize(slim.join(found, "doc_id").select("doc_id", "text", "keys"), "suffix-documents")
     pieces = some.mapInArrow(_pieces(length), "key long, doc_id long, start long, stop long, twice boolean, bytes binary")
     part = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
-    dealt = pieces.withColumn("part", part).repartition("part").sortWithinPartitions("part").drop("part")
+    dealt = pieces.repartition(part).sortWithinPartitions("key")
     gone = dealt.mapInArrow(_decide(length), "doc_id long, start long, stop long")
     gone = materialize(gone.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "suffix-runs")
     rows = some.join(gone, "doc_id").select("doc_id", "text", "starts", "stops")

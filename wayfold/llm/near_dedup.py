@@ -14,7 +14,7 @@
 4. *Confirmation.* The others are compared on their full sets.
 5. *Rest.* A bucket whose members now lie in one component needs no more pairs:
    they would change no component. The documents of the others get a second,
-   wider signature (1024 minima of 2 bits), whose estimate is so sharp that the
+   wider signature (2048 minima of 2 bits), whose estimate is so sharp that the
    join itself can drop nearly all pairs of members of different components
    that aren't similar enough. What it leaves is confirmed on the full sets. So
    no candidate pair that could join two components is left out, and no bucket
@@ -45,10 +45,10 @@ PACKED = HASHES * BITS // 64
 PERCENT = 75
 #: Five standard errors of the estimate at the bound, in equal values of HASHES.
 LEAST_EQUAL = int(HASHES * (0.75 + 0.25 / 16) - 5 * (HASHES * 0.766 * 0.234) ** 0.5)
-#: The second signature: minima, bits of each, 64-bit words; and the same five standard errors.
-WIDE, WIDE_BITS = 1024, 2
+#: The second signature: minima, bits of each, 64-bit words; and four and a half standard errors (3e-6).
+WIDE, WIDE_BITS = 2048, 2
 WIDE_PACKED = WIDE * WIDE_BITS // 64
-WIDE_LEAST = int(WIDE * (0.75 + 0.25 / 4) - 5 * (WIDE * 0.8125 * 0.1875) ** 0.5)
+WIDE_LEAST = int(WIDE * (0.75 + 0.25 / 4) - 4.5 * (WIDE * 0.8125 * 0.1875) ** 0.5)
 #: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 

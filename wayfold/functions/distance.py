@@ -173,8 +173,9 @@ def lower_bound_sql(name: str, a: str, b: str, dims: int = 2) -> str:
     """SQL: a bound that no distance goes below, from the ends or the lengths of two trajectories."""
     if check_name(name) in ("EDR", "LCSS"):
         return f"CAST(abs(size({a}) - size({b})) AS DOUBLE)"
-    first = point_distance(f"{a}[0]", f"{b}[0]", dims)
-    last = point_distance(f"element_at({a}, -1)", f"element_at({b}, -1)", dims)
+    # A row that an earlier filter drops may still be evaluated: no access may fail on an empty trajectory.
+    first = point_distance(f"get({a}, 0)", f"get({b}, 0)", dims)
+    last = point_distance(f"try_element_at({a}, -1)", f"try_element_at({b}, -1)", dims)
     if name.upper() == "FRECHET":
         return f"greatest({first}, {last})"
     return f"CASE WHEN size({a}) = 1 AND size({b}) = 1 THEN {first} ELSE {first} + {last} END"

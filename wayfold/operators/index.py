@@ -40,8 +40,8 @@ def summary(column: str, dims: int):
     """First and last point, box and number of points of a trajectory."""
     axis = lambda k: F.transform(column, lambda p: p[k])
     return F.struct(
-        F.col(column)[0].alias("first"),
-        F.element_at(column, -1).alias("last"),
+        F.get(column, F.lit(0)).alias("first"),
+        F.try_element_at(column, F.lit(-1)).alias("last"),
         F.array(*(F.array_min(axis(k)) for k in range(dims))).alias("low"),
         F.array(*(F.array_max(axis(k)) for k in range(dims))).alias("high"),
         F.size(column).alias("points"),

@@ -26,7 +26,7 @@ def _sides(left: DataFrame, right: DataFrame, c1: str, c2: str, id1: str, id2: s
 
 def _anchor(name: str, column: str) -> list:
     if name in ("DTW", "FRECHET"):
-        return [F.col(column)[0][0], F.col(column)[0][1]]
+        return [F.get(column, F.lit(0))[k] for k in (0, 1)]
     return [F.size(column).cast("double")]
 
 

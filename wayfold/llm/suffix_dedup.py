@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, ship, utf8
+from wayfold.llm.common import materialize, release, ship, utf8
 from wayfold.llm.words import C3, mix
 
 LENGTH, GRAM = 100, 40
@@ -343,11 +343,13 @@ def _rest(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
     dealt = keys.repartition(part).sortWithinPartitions("key", "known")
     found = dealt.mapInArrow(_repeated, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     some = materialize(slim.join(found, "doc_id").select("doc_id", "text", "keys"), "suffix-documents")
+    release(docs.sparkSession)
     pieces = some.mapInArrow(_pieces(length), "key long, doc_id long, start long, stop long, twice boolean, bytes binary")
     part = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
     dealt = pieces.repartition(part).sortWithinPartitions("key")
     gone = dealt.mapInArrow(_decide(length), "doc_id long, start long, stop long")
     gone = materialize(gone.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "suffix-runs")
+    release(docs.sparkSession)
     rows = some.join(gone, "doc_id").select("doc_id", "text", "starts", "stops")
     return slim, rows.mapInArrow(_cut, "doc_id long, spans array<struct<start:long,end:long>>, kept binary")
 
@@ -365,6 +367,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     slim, cut = _rest(docs, length, id_col, text_col)
     cut = cut.select("doc_id", F.size("spans").cast("long").alias("n"), F.length("kept").cast("long").alias("rest"), F.sha2("kept", 256).alias("cut_sha"))
     cut = materialize(cut, "suffix-cut")
+    release(docs.sparkSession)
     base = slim.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     return base.join(cut, "doc_id", "left").select(
         "doc_id",

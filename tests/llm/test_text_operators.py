@@ -1,0 +1,333 @@
+"""The ten operators on small fixtures against brute force: nulls, empty and long texts, ties, repeats, odd columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from wayfold.llm import bpe, packing, pii, secrets, toxicity, url_filter
+from wayfold.llm.exact_dedup import drop_exact, exact_groups
+from wayfold.llm.near_dedup import near_groups
+from wayfold.llm.queries import BLOCKED, RULES, with_digests
+from wayfold.llm.suffix_dedup import repeat_digests, repeated_windows
+from wayfold.llm.vector_dedup import vector_links
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string"
+
+
+def words(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
+def texts():
+    r = random.Random(4)
+    base = [words(r, r.randint(1, 120)) for _ in range(25)]
+    out = base + [b.upper() for b in base[:5]] + [base[0]] * 4
+    for b in base[5:12]:  # near copies
+        w = b.split()
+        for _ in range(2):
+            v = list(w)
+            v[r.randrange(len(v))] = "changed"
+            out.append(" ".join(v))
+    out += [base[1] + " " + base[2], words(r, 3000) + base[3], "a" * 700, "ab" * 300, "", None, None, " \n\t ", "één día", "x", "one two three"]
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, None, None, None if t is None else len(t), "s", "k") for i, t in texts()], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_exact(docs, empty):
+    groups = {}
+    for i, t in texts():
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    got = {r["doc_id"]: r for r in exact_groups(docs).collect()}
+    assert len(got) == len(texts())
+    for t, own in groups.items():
+        for i in own:
+            r = got[i]
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (max(own), len(own), i == max(own))
+            assert r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    assert {r["doc_id"] for r in drop_exact(docs).collect()} == {max(g) for g in groups.values()}
+    assert exact_groups(empty).count() == 0
+
+
+def test_exact_repeated_rows_and_null_ids(spark):
+    rows = [(5, "a"), (5, "a"), (5, "B"), (None, "b"), (None, "zz")]
+    got = sorted(map(str, spark.createDataFrame(rows, "doc_id long, text string").transform(exact_groups).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert len(got) == 5 and sum("group_size=2" in g for g in got) == 4
+
+
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def components(ids, links):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_near(docs, empty):
+    sets = {i: shingle_set(t) for i, t in texts()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    got = {r["doc_id"]: r for r in near_groups(docs).collect()}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+    assert near_groups(empty).count() == 0
+
+
+def test_suffix(docs, empty):
+    seen, want = set(), {}
+    for i, t in texts():
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeat_digests(docs).collect()}
+    assert got == want
+    assert repeat_digests(empty).count() == 0
+
+
+def test_interval_expansion():
+    r = random.Random(2)
+    for _ in range(150):
+        length, letters = r.choice([3, 10, 100]), r.choice(["ab", "abcd", "abcdefgh"])
+        base = ["".join(r.choice(letters) for _ in range(r.randint(1, 300))) for _ in range(3)]
+        pieces = [(r.choice(base)[r.randint(0, 50) :] + r.choice(base)[: r.randint(0, 300)]).encode() for _ in range(r.randint(1, 6))]
+        seen, want = set(), []
+        for p in pieces:
+            want.append([k for k in range(len(p) - length + 1) if p[k : k + length] in seen or seen.add(p[k : k + length])])
+        assert [x.tolist() for x in repeated_windows(pieces, length)] == want
+
+
+def test_bpe_equals_the_library(docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, own = tokenizers.Tokenizer.from_file(TOKENIZER), bpe.codec(TOKENIZER)
+    r = random.Random(1)
+    parts = ["a", "the", "ing", " ", "  ", "\n", "\t", "é", "ß", "1", "22", "!", "'s", "'ll", "<|endoftext|>", "<|endo", "中文", "\x1c", "\x85", "🙂", "²", "\r\n", "_"]
+    for _ in range(800):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.encode_text(t, own), "<u4").tolist() == ids
+        assert "".join(bpe.decode_parts(np.array(ids, "<u4"), own.merges, 2)) == library.decode(ids, skip_special_tokens=False)
+    for i, t in texts():
+        assert np.frombuffer(bpe.encode_text(t or "", bpe.library_codec(TOKENIZER)), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs, TOKENIZER).collect()}
+    for i, t in texts():
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+        assert got[i]["n_tokens"] == len(library.encode(t or "", add_special_tokens=False).ids)
+    again = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    assert {r["doc_id"]: r["text"] for r in again.collect()} == {i: t or "" for i, t in texts()}
+    assert bpe.round_trip(empty, TOKENIZER).count() == 0
+
+
+def test_bpe_lookahead_is_enough(monkeypatch):
+    """Pieces that outgrow a small window are emitted in parts, and equal the whole."""
+    own = bpe.codec(TOKENIZER)
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    r = random.Random(7)
+    tokens = [own.merges.token[i].decode("utf-8", "ignore").strip() for i in range(1000, 50000, 11)]
+    for k in range(60):
+        t = "".join(r.choice(tokens) for _ in range(300)) if k % 3 else r.choice(["a", " ", "1", "=-", "\n"]) * 2500
+        encoder = bpe.StreamEncoder(own)
+        encoder.window = own.merges.lookahead + 32
+        got = b"".join([*(encoder.feed(t[j : j + 97]) for j in range(0, len(t), 97)), encoder.finish()])
+        assert got == np.array([x for w in bpe.PRETOKEN.findall(t) for x in own.merges.merge(w.encode())], "<u4").tobytes()
+
+
+def test_packing(docs, empty):
+    got = packing.pack(docs, TOKENIZER, 64).collect()
+    own = bpe.codec(TOKENIZER)
+    ids = {i: np.frombuffer(bpe.encode_text(t or "", own) + bytes(4), "<u4") for i, t in texts()}
+    by_sequence, pieces = {}, {}
+    for r in got:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(part.tobytes()) and 0 < r["length"] <= 64
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for i, own_pieces in pieces.items():
+        at = 0
+        for k, (piece, start, length) in enumerate(sorted(own_pieces)):
+            assert (piece, start) == (k, at) and (k == 0 or length == 64)
+            at += length
+        assert at == len(ids[i])
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    lengths = sorted((r["length"] for r in got), reverse=True)
+    rooms = []
+    for n in lengths:  # best fit in decreasing order, piece by piece
+        fit = min((x for x in rooms if x >= n), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((64 if fit is None else fit) - n)
+    assert len(by_sequence) == len(rooms) and len(pieces) == len(texts())
+    assert packing.pack(empty, TOKENIZER).count() == 0
+
+
+def test_secrets(spark, empty):
+    key = "AKIA" + "Q7" * 8
+    rows = ["é password = 'abcdefgh1' x", f"see {key} and AKIAshort", "0123456789abcdef" * 3, "Token:short", "blob Zk3J9xQ2Lm8Rt5Vb7Nc4Wd6 end", "id 123e4567-e89b-12d3-a456-426614174000", None, "", "api_key==x secret:abcdefghij"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in with_digests(secrets.find_secrets(df), ("assign", "access", "hex")).collect()}
+    assert got[0] == "assign:2:23" and got[1] == f"access:4:{4 + len(key)}" and got[2] == "hex:0:48" and got[3] == ""
+    assert got[4].startswith("entropy:5:") and got[5] == got[6] == got[7] == "" and got[8] == "assign:11:28"
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df, length_col=None).collect()}
+    assert clean[0] == "é [SECRET]' x" and clean[6] is None and clean[7] == ""
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_high_entropy_equals_brute_force():
+    r = random.Random(3)
+    for _ in range(200):
+        run = "".join(r.choice("aB3x9Z/+q"[: r.randint(2, 9)] + "kLm4") for _ in range(r.randint(20, 60))).encode()
+        window, least = next((w, t) for _, c, w, t in secrets.CLASSES if c.fullmatch(run))
+        hits = []
+        for k in range(len(run) - window + 1):
+            part = run[k : k + window]
+            h = -sum(part.count(c) / window * np.log2(part.count(c) / window) for c in set(part))
+            if h >= least - 1e-9:
+                hits.append(k)
+        assert secrets.high_entropy(run) == ((hits[0], hits[-1] + window) if hits else None)
+
+
+def brute_pii(b):
+    patterns = (rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rb"[0-9]([\x20-]?[0-9])+", rb"\+[0-9][\x20().0-9-]+[0-9]")
+    out = []
+    for k, p in enumerate(patterns):
+        for m in re.finditer(p, b):
+            d = re.sub(rb"[^0-9]", b"", m[0])
+            bad = (k == 1 and any(int(x) > 255 for x in m[0].split(b"."))) or (k == 2 and not (12 <= len(d) <= 19 and pii.luhn(d))) or (k == 3 and not 9 <= len(d) <= 15)
+            if not bad:
+                out.append((k, *m.span()))
+    return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def test_pii(spark, empty):
+    r = random.Random(5)
+    for _ in range(4000):
+        b = "".join(r.choice("012345.+-@ ()ab_%,") for _ in range(r.randint(0, 90))).encode()
+        assert pii.base_spans(b) == brute_pii(b)
+    assert pii.base_spans(b"1" * 200_000 + b"@" * 1000) == []  # linear
+    rows = ["é a.b@c.de", "call (555) 123-4567 now", "order 123-45-6789", None, "4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in with_digests(pii.find_pii(df), pii.BASE).collect()}
+    assert got == {0: "email:2:10", 1: "national_phone:5:19", 2: "", 3: "", 4: "card:0:19"}
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_pii_selection_on_unseen_rows():
+    trees, bars = pii.selector()
+    x, y = pii._table(pii.training_rows(1500, 77))
+    assert ((trees.probability(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(6)
+    rows = []
+    for i in range(900):
+        bad = i % 6 == 0
+        w = words(r, r.randint(10, 60)).split()
+        if bad:
+            w.insert(r.randrange(len(w)), r.choice(["insultone", "insulttwo"]))
+        rows.append((i, " ".join(w), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(got) == 902
+    held = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert np.mean([p == y for p, y in held]) > 0.97
+    assert got[1000]["predicted"] == got[1001]["predicted"] == 0
+    none = toxicity.score_toxicity(docs, labels.where("false")).agg(F.max("predicted")).first()[0]
+    assert none == 0 and toxicity.score_toxicity(empty, labels).count() == 0
+
+
+def test_interactions_are_learned():
+    """Neither term is toxic alone; both together are."""
+    rng = np.random.default_rng(0)
+    a, b = rng.random(4000) < 0.4, rng.random(4000) < 0.4
+    y = (a & b).astype(float)
+    row = np.concatenate((np.flatnonzero(a), np.flatnonzero(b)))
+    term = np.concatenate((np.full(a.sum(), 11), np.full(b.sum(), 22)))
+    m = toxicity.fit(row, term, y)
+    pair = float(m.factors[0] @ m.factors[1])
+    score = m.scores(np.array([m.bias, m.bias + m.weights[0], m.bias + m.weights[1], m.bias + m.weights.sum() + pair]))
+    assert score[3] > 0.8 and score[:3].max() < 0.3 and pair > 0
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(300, 32))
+    near = base[:60] + 0.05 * rng.normal(size=(60, 32))
+    vectors = [*base, *near, base[0], base[0], 3 * base[1]]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    n = len(rows)
+    rows += [(n, None), (n + 1, [0.0] * 32), (n + 2, [float("nan")] * 32), (n + 3, [None] + [1.0] * 31), (n + 4, []), (n + 5, [1.0] * 8)]
+    got = {r["vec_id"]: r for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.array(vectors) / np.linalg.norm(vectors, axis=1)[:, None]
+    close = (u @ u.T >= 0.9) & ~np.eye(n, dtype=bool)
+    found = sum(got[k]["n_links"] for k in range(n))
+    assert found >= 0.9 * close.sum() and all(got[k]["n_links"] <= close[k].sum() for k in range(n))
+    assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k and got[k]["kept"] for k in range(n, n + 6))
+    assert got[360]["component_id"] == 0 and not got[361]["kept"]
+    assert vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_urls(spark):
+    urls = ["http://A.Example.org/es/x", "https://example.org/en/12?q", "https://example.org/en/2", "x://b.com/fr/1", "x://b.com/de/1", "x://b.com", "y://ads.example.net/a", "plain", None, "http://notorg/", "http://org/"]
+    got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES, BLOCKED).orderBy("page_id").collect()]
+    assert got == [
+        ("a.example.org", "/es/x", "example.org/es/", "block"),
+        ("example.org", "/en/12", "example.org/en/1", "block"),
+        ("example.org", "/en/2", "org/", "allow"),
+        ("b.com", "/fr/1", "com/fr/", "allow"),
+        ("b.com", "/de/1", "com/de/", "block"),
+        ("b.com", "", None, "allow"),
+        ("ads.example.net", "/a", None, "block"),
+        ("", "", None, "allow"),
+        ("", "", None, "allow"),
+        ("notorg", "/", None, "allow"),
+        ("org", "/", "org/", "allow"),
+    ]
+
+
+def test_digest_collisions(tmp_path, monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: 7)
+    path = str(tmp_path / "a.bin")
+    url_filter.write_digest_array([("a", "/", 1), ("b", "/", 0)], path)
+    array = url_filter.DigestArray(path)
+    found = array.find([b"b\0/", b"c\0/", b"a\0/"])
+    assert [array.codes[i] if i >= 0 else None for i in found] == [0, None, 1]

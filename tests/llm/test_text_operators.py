@@ -331,3 +331,14 @@ def test_digest_collisions(tmp_path, monkeypatch):
     array = url_filter.DigestArray(path)
     found = array.find([b"b\0/", b"c\0/", b"a\0/"])
     assert [array.codes[i] if i >= 0 else None for i in found] == [0, None, 1]
+
+
+def test_rows_without_ids(spark):
+    rows = [(None, "some text of six words here"), (None, None), (1, "some text of six words here"), (1, "some text of six words here"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (1, None), (2, 0)], "doc_id long, toxic int")
+    assert exact_groups(df).count() == near_groups(df).count() == repeat_digests(df).count() == 5
+    assert bpe.round_trip(df, TOKENIZER).count() == packing.pack(df, TOKENIZER).count() == 5
+    assert secrets.find_secrets(df).count() == pii.find_pii(df).count() == 5
+    assert toxicity.score_toxicity(df, labels).where("score IS NOT NULL AND held_out IS NOT NULL").count() == 5
+    assert all(r["kept"] is not None for r in near_groups(df).collect())

@@ -21,8 +21,9 @@
    is expanded into all pairs.
 
 A text without words, or null, has an empty set and links with nothing. Rows
-that repeat an id count as one document. Other columns are ignored; an empty
-table gives an empty result.
+that repeat an id count as one document. A row without an id links with nothing
+and falls to a document with an equal set that has one. Other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -264,7 +265,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found = connected(links.union(more), "near-components-2")
     out = members.join(found, F.col("rep") == F.col("id"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, packing, pii, secrets, toxicity, url_filter
+from wayfold.llm import bpe, near_dedup, packing, pii, secrets, toxicity, url_filter
 from wayfold.llm.exact_dedup import drop_exact, exact_groups
 from wayfold.llm.near_dedup import near_groups
 from wayfold.llm.queries import BLOCKED, RULES, with_digests
@@ -101,6 +101,18 @@ def test_near(docs, empty):
     assert near_groups(empty).count() == 0
 
 
+def test_near_pairs_at_the_bar_through_the_cross_join(spark, monkeypatch):
+    """Without the star's pairs, the cross join has to find them all."""
+    monkeypatch.setattr(near_dedup, "LEAST_EQUAL", near_dedup.HASHES + 1)
+    rows, r = [], random.Random(8)
+    for short, long in ((7, 8), (10, 12), (22, 28), (49, 64)):  # 3 of 4 shingles, 6 of 8, 18 of 24, 45 of 60
+        for k in range(40):
+            w = [f"{short}x{k}x{j}x{r.random()}" for j in range(long)]
+            rows += [" ".join(w), " ".join(w[:short])]
+    got = near_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_suffix(docs, empty):
     seen, want = set(), {}
     for i, t in texts():

@@ -4,8 +4,8 @@
    of 5-word shingles, hashed to 64 bits; with fewer words, the sequence is the
    one member. Documents of equal sets form a class, and its smallest id stands
    for it from here on, so copies cost nothing further.
-2. *Signatures.* 128 minima. Bands of 4 give 32 bucket keys; of each minimum
-   the low 4 bits are kept, packed into eight 64-bit words. A pair at similarity
+2. *Signatures.* 128 minima. Bands of 4 give 32 bucket keys; of each minimum,
+   mixed anew for each function, 4 bits are kept, packed into eight 64-bit words. A pair at similarity
    0.75 misses all buckets with probability 5e-6.
 3. *Candidates.* In each bucket all members are paired with the smallest one.
    The share of equal 4-bit values, counted by XOR and bit counts and corrected
@@ -16,7 +16,8 @@
    they would change no component. The documents of the others get a second,
    wider signature (2048 minima of 2 bits), whose estimate is so sharp that the
    join itself can drop nearly all pairs of members of different components
-   that aren't similar enough. What it leaves is confirmed on the full sets. So
+   that aren't similar enough; sets of up to 43 members go with it whole, and
+   two such sets are compared exactly, not by the estimate. What it leaves is confirmed on the full sets. So
    no candidate pair that could join two components is left out, and no bucket
    is expanded into all pairs.
 
@@ -50,6 +51,8 @@ LEAST_EQUAL = int(HASHES * (0.75 + 0.25 / 16) - 5 * (HASHES * 0.766 * 0.234) **
 WIDE, WIDE_BITS = 2048, 2
 WIDE_PACKED = WIDE * WIDE_BITS // 64
 WIDE_LEAST = int(WIDE * (0.75 + 0.25 / 4) - 4.5 * (WIDE * 0.8125 * 0.1875) ** 0.5)
+#: Sets of so many members at most are compared whole in the join.
+WHOLE = 43
 #: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -110,13 +113,16 @@ def minima(members: np.ndarray, bounds: np.ndarray, functions: range) -> np.ndar
     return out
 
 
-def packed_bits(least: np.ndarray, bits: int) -> np.ndarray:
-    """The low bits of each row's minima in 64-bit words."""
+def packed_bits(least: np.ndarray, functions: range, bits: int) -> np.ndarray:
+    """Some bits of each row's minima in 64-bit words. The minima are mixed first, differently for each
+    function: low bits of a*x+b with odd a agree for all functions or for none."""
     per = 64 // bits
-    low = least.astype(np.uint64) & np.uint64((1 << bits) - 1)
-    out = np.zeros((len(low), low.shape[1] // per), np.uint64)
-    for j in range(per):
-        out |= low[:, j::per] << np.uint64(bits * j)
+    salt = np.arange(functions.start, functions.stop, dtype=np.uint64) * C3
+    out = np.zeros((len(least), least.shape[1] // per), np.uint64)
+    for k in range(0, len(least), 512):
+        low = mix(least[k : k + 512].astype(np.uint64) + salt) & np.uint64((1 << bits) - 1)
+        for j in range(per):
+            out[k : k + 512] |= low[:, j::per] << np.uint64(bits * j)
     return out
 
 
@@ -137,7 +143,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(BAND):
                     key = mix(key * C3 + least[:, j::BAND])
                 bands[own] = key
-                packed[own] = packed_bits(least, BITS)
+                packed[own] = packed_bits(least, range(HASHES), BITS)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))), pa.int32()), pa.array(bands[own].ravel().view(np.int64))
             )
@@ -148,13 +154,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    functions = range(HASHES, HASHES + WIDE)
     for batch in batches:
         for at, to, members, bounds in shingles(batch.column(1)):
             own = np.flatnonzero(np.diff(bounds))
             if len(own):
-                words_ = packed_bits(minima(members, bounds, range(HASHES, HASHES + WIDE)), WIDE_BITS)
+                words_ = packed_bits(minima(members, bounds, functions), functions, WIDE_BITS)
                 columns = [pa.array(words_[:, k].copy().view(np.int64)) for k in range(WIDE_PACKED)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to].take(pa.array(own)), *columns], ["id", *(f"s{k}" for k in range(WIDE_PACKED))])
+                whole = [members[bounds[k] : bounds[k + 1]].view(np.int64) if bounds[k + 1] - bounds[k] <= WHOLE else None for k in own]
+                ids = batch.column(0)[at:to].take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(whole, pa.list_(pa.int64())), *columns], ["id", "whole", *(f"s{k}" for k in range(WIDE_PACKED))])
 
 
 def equal_values(left: str, right: str, bits: int, packed: int) -> Column:
@@ -170,6 +179,14 @@ def equal_values(left: str, right: str, bits: int, packed: int) -> Column:
     return F.lit(packed * 64 // bits) - reduce(lambda x, y: x + y, (differ(k) for k in range(packed)))
 
 
+def similar(left: str, right: str) -> Column:
+    """Whether two rows of the wide signature may be similar enough: exactly where both have their whole set."""
+    a, b = F.col(f"{left}.whole"), F.col(f"{right}.whole")
+    both, least, most = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    exact = (100 * least >= PERCENT * most) & (100 * both >= PERCENT * (least + most - both))
+    return F.when(a.isNotNull() & b.isNotNull(), exact).otherwise(equal_values(left, right, WIDE_BITS, WIDE_PACKED) >= WIDE_LEAST)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text of a, text of b) whose sets are similar enough."""
     for batch in batches:
@@ -246,7 +263,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     split = materialize(placed.join(materialize(split, "near-split"), "key"), "near-open")
     ids = materialize(split.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
-    schema = "id long, " + ", ".join(f"s{k} long" for k in range(WIDE_PACKED))
+    schema = "id long, whole array<long>, " + ", ".join(f"s{k} long" for k in range(WIDE_PACKED))
     wide = materialize(_texts_of(ids, texts).mapInArrow(_wide, schema), "near-wide")
     wide = wide.join(members.where("bands IS NOT NULL").select(F.col("rep").alias("own"), "bands"), F.col("id") == F.col("own")).drop("own")
     split = materialize(split.join(wide, F.col("rep") == F.col("id")).drop("id"), "near-open-wide")
@@ -255,7 +272,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         r,
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.component") < F.col("r.component"))
-        & (equal_values("l", "r", WIDE_BITS, WIDE_PACKED) >= WIDE_LEAST)
+        & similar("l", "r")
         & (F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.key")),  # once, in the first bucket that they share
     )
     cross = cross.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()

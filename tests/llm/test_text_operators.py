@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, near_dedup, packing, pii, secrets, toxicity, url_filter
+from wayfold.llm import bpe, near_dedup, packing, pii, secrets, toxicity, url_filter, vector_dedup
 from wayfold.llm.exact_dedup import drop_exact, exact_groups
 from wayfold.llm.near_dedup import near_groups
 from wayfold.llm.queries import BLOCKED, RULES, with_digests
@@ -318,6 +318,24 @@ def test_vectors(spark):
     assert vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_recall_by_band_beyond_the_sample(spark, monkeypatch):
+    """Tight groups fill the sample; pairs near the bar are mostly not in it."""
+    monkeypatch.setattr(vector_dedup, "SAMPLE", 1024)
+    rng = np.random.default_rng(5)
+    u = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    tight = u(u(rng.normal(size=(20, 64)))[rng.integers(0, 20, 1200)] + 0.02 * rng.normal(size=(1200, 64)))
+    first, cosines = u(rng.normal(size=(5000, 64))), np.repeat([0.905, 0.95], 2500)[:, None]
+    r = rng.normal(size=first.shape)
+    r = u(r - (r * first).sum(1, keepdims=True) * first)
+    x = np.concatenate((tight, first, cosines * first + np.sqrt(1 - cosines**2) * r)).astype(np.float32)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {g["vec_id"]: g["n_links"] for g in vector_links(df).collect()}
+    links = np.array([got[1200 + k] for k in range(5000)])
+    assert links[:2500].sum() >= 0.995 * 2500 and links[2500:].sum() >= 0.995 * 2500 and links.max() == 1
+    y = u(x[:1200].astype(float))
+    assert sum(got[k] for k in range(1200)) >= 0.999 * ((y @ y.T >= 0.9).sum() - 1200)
+
+
 def test_urls(spark):
     urls = ["http://A.Example.org/es/x", "https://example.org/en/12?q", "https://example.org/en/2", "x://b.com/fr/1", "x://b.com/de/1", "x://b.com", "y://ads.example.net/a", "plain", None, "http://notorg/", "http://org/"]
     got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES, BLOCKED).orderBy("page_id").collect()]

@@ -8,10 +8,13 @@
    is a cell of the product grid; the number of centres follows the root of the
    number of vectors, so a cell's size does not grow with the table. Every
    vector is indexed in the cell of its two nearest centres.
-3. *Traversal.* A vector visits cells in the order of the summed distances of
-   its halves to the cells' centres, by the multi-sequence algorithm. How many
-   is measured on the sample: the least number with which ``RECALL`` of its
-   vectors find all their neighbours that brute force finds there.
+3. *Traversal.* A vector visits cells in the order of the summed squared
+   distances of its halves to the cells' centres, by the multi-sequence
+   algorithm, up to a margin above the distance of its own cell. The margin is
+   the largest of several, each of which lets ``RECALL`` of some pairs meet:
+   pairs made at the bar exactly, and for each of the ``BANDS`` of cosines the
+   pairs that ``QUERIES`` vectors form with all rows of the table. So a band
+   with many pairs can't set the margin for the others.
 4. *Verification.* Visitors and members of a cell meet in blocks of bounded
    size; cosines are computed in double precision. A pair counts if either
    visits the other's cell, and counts once for each. Blocks send each vector's
@@ -36,21 +39,28 @@ from wayfold.llm.common import materialize, ship
 from wayfold.llm.components import connected
 
 SAMPLE, RECALL, CELL, CENTRES, BLOCK = 8192, 0.999, 64, 512, 2048
+#: Vectors that are held against all rows; bands of the cosine from the bar to 1; pairs from which a band counts; steps of a margin of 1.
+QUERIES, BANDS, LEAST_PAIRS, STEPS = 512, 4, 100, 256
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (vec_id, v): the components as doubles, null for a vector that links with nothing."""
+    """Rows (vec_id, v): the components as they came, null for a vector that links with nothing."""
     for batch in batches:
         out = []
+        kind = _kind(pa.types.is_float32(batch.schema.field(1).type.value_type))
         for v in batch.column(1).to_pylist():
             ok = v is not None and len(v) and None not in v
-            a = np.array(v, "<f8") if ok else None
+            a = np.array(v, kind) if ok else None
             out.append(a.tobytes() if ok and np.isfinite(a).all() and np.linalg.norm(a) > 0 else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
-def unit(rows: list[bytes]) -> np.ndarray:
-    a = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+def _kind(single: bool) -> str:
+    return "<f4" if single else "<f8"
+
+
+def unit(rows: list[bytes], kind: str) -> np.ndarray:
+    a = np.frombuffer(b"".join(rows), kind).astype("<f8").reshape(len(rows), -1)
     top = np.abs(a).max(1, keepdims=True)
     a = a / top  # squares neither overflow nor vanish
     return a / np.sqrt((a * a).sum(1, keepdims=True))
@@ -77,8 +87,8 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         k = min(k, len(sample))
         self.books = (centres(sample[:, : self.half], k, 1), centres(sample[:, self.half :], k, 2))
-        self.k, self.visits = k, k * k
-        self.visits = self._calibrate(sample, bar)
+        self.k = k
+        self.margin = self._at_the_bar(sample, bar)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = (x[:, : self.half], x[:, self.half :])
@@ -88,41 +98,74 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(1) * self.k + b.argmin(1)
 
-    def traverse(self, a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-        """The n cells nearest to one vector, by the multi-sequence algorithm."""
+    def traverse(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """The cells of one vector up to the margin, by the multi-sequence algorithm."""
         order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        heap, seen, out = [(a[order_a[0]] + b[order_b[0]], 0, 0)], {(0, 0)}, []
-        while heap and len(out) < n:
+        da, db = a[order_a].tolist(), b[order_b].tolist()
+        most = da[0] + db[0] + self.margin
+        heap, seen, out = [(da[0] + db[0], 0, 0)], {(0, 0)}, []
+        while heap and (heap[0][0] <= most):
             _, i, j = heapq.heappop(heap)
             out.append(int(order_a[i] * self.k + order_b[j]))
             for p, q in ((i + 1, j), (i, j + 1)):
-                if p < len(a) and q < len(b) and (p, q) not in seen:
+                if p < len(da) and q < len(db) and (p, q) not in seen:
                     seen.add((p, q))
-                    heapq.heappush(heap, (a[order_a[p]] + b[order_b[q]], p, q))
+                    heapq.heappush(heap, (da[p] + db[q], p, q))
         return out
 
-    def _calibrate(self, x: np.ndarray, bar: float) -> int:
-        """Cells to visit: the RECALL quantile, over the sample, of the rank of the worst placed
-        cell that holds a neighbour; neighbours at the bar stand in where the sample has few."""
-        a, b = self.distances(x)
-        home = a.argmin(1) * self.k + b.argmin(1)
-        ranks = []
-        for s in range(0, len(x), 1024):
-            close = x[s : s + 1024] @ x.T >= bar
-            close[np.arange(len(close)), s + np.arange(len(close))] = False
-            for q in np.flatnonzero(close.any(1)):
-                i, j = np.divmod(np.unique(home[close[q]]), self.k)
-                farthest = (a[s + q, i] + b[s + q, j]).max()
-                ranks.append(int((a[s + q][:, None] + b[s + q] < farthest).sum()))
-        if len(ranks) < 100:
-            rng = np.random.default_rng(3)
-            for q in range(min(len(x), 500)):
-                r = rng.normal(size=x.shape[1])
-                r -= (r @ x[q]) * x[q]
-                y = (bar * x[q] + np.sqrt(1 - bar * bar) * r / max(np.linalg.norm(r), 1e-12))[None]
-                i, j = divmod(int(self.home(y)[0]), self.k)
-                ranks.append(int((a[q][:, None] + b[q] < a[q, i] + b[q, j]).sum()))
-        return int(np.quantile(ranks, RECALL, method="higher")) + 1 if ranks else 1
+    def needed(self, q: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray], qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+        """For pairs of two sets, by their distances: the margin at which one of the pair visits the other's cell."""
+
+        def above(mine, other, m, o):
+            to = mine[0][m, other[0].argmin(1)[o]] + mine[1][m, other[1].argmin(1)[o]]
+            return to - (mine[0].min(1) + mine[1].min(1))[m]
+
+        return np.minimum(above(q, x, qi, xi), above(x, q, xi, qi))
+
+    def _at_the_bar(self, x: np.ndarray, bar: float) -> float:
+        """The RECALL quantile over pairs of a vector of the sample and one made at the bar from it."""
+        rng = np.random.default_rng(3)
+        x = np.concatenate([x[:2048]] * -(-2048 // min(len(x), 2048)))
+        r = rng.normal(size=x.shape)
+        r -= (r * x).sum(1, keepdims=True) * x
+        y = bar * x + np.sqrt(1 - bar * bar) * r / np.maximum(np.sqrt((r * r).sum(1, keepdims=True)), 1e-12)
+        own = np.arange(len(x))
+        return self.widened(self.needed(self.distances(x), self.distances(y), own, own))
+
+    @staticmethod
+    def widened(margins: np.ndarray) -> float:
+        return float(np.quantile(margins, RECALL, method="higher")) + 1e-9
+
+
+def _margins(rows: DataFrame, index: MultiIndex, ids: np.ndarray, queries: np.ndarray, bar: float, kind: str) -> float:
+    """The largest margin that any band of cosines needs, over the pairs of the queries with all rows (rep, n, v)."""
+    own = index.distances(queries)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            reps, values = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for s in range(0, len(reps), 2048):
+                x = unit([bytes(v) for v in values[s : s + 2048]], kind)
+                cosine = queries @ x.T
+                q, m = np.nonzero(cosine >= bar)
+                other = ids[q] != reps[s + m]
+                q, m = q[other], m[other]
+                band = np.minimum((cosine[q, m] - bar) / max(1 - bar, 1e-12) * BANDS, BANDS - 1).astype(np.int64)
+                step = np.ceil(index.needed(own, index.distances(x), q, m) * STEPS).astype(np.int64)
+                for (b, t), n in zip(*(v.tolist() for v in np.unique(np.stack((band, step), 1), axis=0, return_counts=True))):
+                    total[b, t] = total.get((b, t), 0) + n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(list(total.values()))], ["band", "step", "n"])
+
+    found = rows.mapInArrow(count, "band long, step long, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).collect()
+    most = 0.0
+    for band in range(BANDS):
+        steps = sorted((r["step"], r["n"]) for r in found if r["band"] == band)
+        n = np.cumsum([c for _, c in steps])
+        if len(n) and n[-1] >= LEAST_PAIRS:
+            most = max(most, steps[int(np.searchsorted(n, RECALL * n[-1]))][0] / STEPS)
+    return most
 
 
 def _labels(q: np.ndarray, m: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -139,7 +182,9 @@ def _labels(q: np.ndarray, m: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bar: float = 0.9) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
-    slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = _kind(single)
+    slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("e"))
     clean = materialize(slim.mapInArrow(_clean, "vec_id long, v binary"), "vector-clean")
     usable = clean.where("v IS NOT NULL AND vec_id IS NOT NULL")
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
@@ -147,26 +192,27 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = sorted((r["rep"], bytes(r["v"])) for r in classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).collect())
     sizes = pd.Series([len(v) for _, v in sample]).mode()
     width = int(sizes.iloc[0]) if len(sizes) else 16
-    points = unit([v for _, v in sample if len(v) == width]) if sample else np.zeros((0, 2))
+    usual = [(i, v) for i, v in sample if len(v) == width]
+    points = unit([v for _, v in usual], kind) if usual else np.zeros((0, 2))
     everything = clean.select("vec_id", "v")
-    if len(points) < 2 or width < 16:
+    if len(points) < 2 or width < 2 * np.dtype(kind).itemsize:
         found = None
         linked = classes.select("rep", (F.col("n") - 1).alias("n_links"))
     else:
         index = MultiIndex(points, min(CENTRES, max(2, int(np.ceil(np.sqrt(total / CELL))))), bar)
 
+        own = classes.where(F.length("v") == width).select("rep", "n", "v")
+        some = np.random.default_rng(4).permutation(len(usual))[:QUERIES]
+        index.margin = max(index.margin, _margins(own, index, np.array([i for i, _ in usual])[some], points[some], bar, kind))
+
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = unit([bytes(v) for v in batch.column(2).to_pylist()])
+                x = unit([bytes(v) for v in batch.column(2).to_pylist()], kind)
                 a, b = index.distances(x)
                 home = a.argmin(1) * index.k + b.argmin(1)
-                visits = []
-                for k in range(len(x)):
-                    cells = index.traverse(a[k], b[k], index.visits)
-                    visits.append(cells if home[k] in cells else [*cells, int(home[k])])
+                visits = [index.traverse(a[k], b[k]) for k in range(len(x))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(visits, pa.list_(pa.int64()))], ["rep", "n", "v", "home", "visits"])
 
-        own = classes.where(F.length("v") == width).select("rep", "n", "v")
         placed = materialize(own.mapInArrow(assign, "rep long, n long, v binary, home long, visits array<long>"), "vector-cells")
         cells = index.k * index.k
         members, visitors = np.ones(cells, np.int64), np.ones(cells, np.int64)
@@ -195,7 +241,7 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             mine, guest = block[block["inside"]], block[~block["inside"]]
             if not len(mine) or not len(guest):
                 return pd.DataFrame({"rep": [], "links": [], "label": []}).astype("int64")
-            x, y = unit([bytes(v) for v in guest["v"]]), unit([bytes(v) for v in mine["v"]])
+            x, y = unit([bytes(v) for v in guest["v"]], kind), unit([bytes(v) for v in mine["v"]], kind)
             q, m = np.nonzero(x @ y.T >= bar)
             qi, mi = guest["rep"].to_numpy(), mine["rep"].to_numpy()
             other = qi[q] != mi[m]

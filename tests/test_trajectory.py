@@ -1,5 +1,6 @@
 """Distances, searches, joins, indexes and SQL against brute force."""
 
+import datetime
 import math
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.distance import NAMES, distance, native_distance
 from wayfold.operators import index, join, search
+from wayfold.plans import trajectory_queries as queries
 from wayfold.plans.sql import TrajectorySession
 from wayfold.sources.trajectories import parse, read_text, write_text
 
@@ -93,6 +95,35 @@ def test_joins(frame, name, bar):
     assert near == sorted(x for i, _ in rows for x in sorted((i, want[i, j], j) for j, _ in rows)[:3])
 
 
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """A folder with orders of nine customers, one of them hot, and their trajectories."""
+    r, start = random.Random(3), datetime.datetime(1995, 1, 1)
+    rows, trajectories = [], {}
+    for customer, n in enumerate((1001, 14, 14, 20, 13, 9, 5, 2, 1)):
+        own = sorted((r.randrange(2500), len(rows) + k, r.uniform(0, 500_000)) for k in range(n))
+        rows += [(key, customer, price, start + datetime.timedelta(days=day)) for day, key, price in own]
+        trajectories[customer] = [[price / 5000, day / 25] for day, _, price in own]
+    path = str(tmp_path_factory.mktemp("orders"))
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{path}/orders.parquet")
+    return path, trajectories
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_registered_joins(spark, orders, name):
+    """The joins named in QUERIES: of LEAST points and more, without an upper end, and of all trajectories."""
+    path, t = orders
+    want = {}
+    for i in t:
+        for j in t:
+            if (d := 0.0 if i == j else brute(name, t[i], t[j])) <= queries.JOIN_BARS[name]:
+                want[i, j] = pytest.approx(d, abs=1e-6)
+    for query, least in ((f"traj_threshold_join_{name.lower()}", queries.LEAST), (f"traj_whole_join_{name.lower()}", 1)):
+        got = {(r[0], r[1]): r[2] for r in queries.QUERIES[query](spark, path).collect()}
+        assert got == {k: d for k, d in want.items() if min(len(t[k[0]]), len(t[k[1]])) >= least}
+        assert (0, 0) in got
+
+
 def test_ranges(spark, frame):
     rows = [(i, t) for i, t in sample() if t]
     inside = lambda p: 0 <= p[0] <= 80 and 10 <= p[1] <= 90

@@ -149,6 +149,16 @@ def test_index_registry(spark, frame):
             call(frame, "nothing", "x")
 
 
+def test_indexed_search_returns_all(spark, monkeypatch):
+    """More rows than the former limit, and none."""
+    few = F.expr("array(array(50.0D, 50.0D))")
+    monkeypatch.setattr(queries, "from_orders", lambda *_: spark.range(1_000_100).select("id", few.alias("traj")))
+    assert queries.indexed_search(spark, "").agg(F.count("*"), F.countDistinct("id")).first()[:] == (1_000_100, 1_000_100)
+    monkeypatch.setattr(queries, "from_orders", lambda *_: spark.range(3).select("id", F.expr("array(array(5000.0D, 50.0D))").alias("traj")))
+    assert queries.indexed_search(spark, "").count() == 0
+    assert index.show_indexes(spark).count() == 0
+
+
 def test_sql(spark, frame):
     frame.createOrReplaceTempView("traj1")
     s = TrajectorySession(spark)

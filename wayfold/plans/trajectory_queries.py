@@ -141,12 +141,13 @@ def circle_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold search through an index, which is dropped once its result is written down."""
+    from wayfold.llm.common import materialize  # the other queries here do without wayfold.llm
+
     t = from_orders(spark, sf_dir)
     index.create_index(t, "traj", "orders_index")
     try:
         found = rounded(search.threshold_search(t, QUERY, "traj", "DTW", BARS["DTW"]).select("id", "distance"))
-        rows = found.limit(1_000_000)
-        return spark.createDataFrame(rows.toArrow()) if rows.isEmpty() is False else found
+        return materialize(found, "indexed-search")
     finally:
         index.drop_index(t, "traj")
 

@@ -2,7 +2,9 @@
 
 Three patterns give the base spans. Beside them, candidate strings (maximal
 runs of 20 or more characters of base64 and its url-safe form) go through a
-sliding window for their narrowest character class. The Shannon entropy of the
+sliding window for their narrowest character class. Base spans are cut out of
+them first. What is left goes through whole if it mixes digits and letters of
+both cases, or else in its parts between separators, whatever their case. The Shannon entropy of the
 window is kept by incremental counts: a step adds one character and removes
 one, and changes the sum of c*log2(c) by four looked-up terms. The windows at
 or above the class's threshold, joined, are the candidate's span, kind
@@ -30,6 +32,7 @@ WORDS = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(rb"[0-9A-Za-z]{20,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: Class: its characters, window, least entropy in bits a character.
@@ -75,7 +78,7 @@ def high_entropy(run: bytes) -> tuple[int, int] | None:
 
 
 def looks_random(run: bytes) -> bool:
-    """Letters and digits mixed as in keys: words, identifiers and numbers alone aren't."""
+    """Letters and digits mixed as in keys: words, paths and numbers alone aren't."""
     digits = sum(48 <= c <= 57 for c in run)
     upper = sum(65 <= c <= 90 for c in run)
     lower = sum(97 <= c <= 122 for c in run)
@@ -84,6 +87,26 @@ def looks_random(run: bytes) -> bool:
     return digits >= 2 and upper >= 2 and lower >= 2
 
 
+def outside(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces of a run that no base span covers; base by start."""
+    out = []
+    for s, e in base:
+        if s < end and e > start:
+            if s > start:
+                out.append((start, s))
+            start = e
+    return [*out, (start, end)] if start < end else out
+
+
+def tokens(text: bytes, start: int, end: int) -> list[tuple[int, int]]:
+    """What goes to the entropy window: a piece of mixed characters whole, of another its letters and
+    digits between separators, of any case. Only numbers and hex-like words among these do not."""
+    if looks_random(text[start:end]):
+        return [(start, end)]
+    parts = [m.span() for m in PART.finditer(text, start, end)]
+    return [(s, e) for s, e in parts if not CLASSES[0][1].fullmatch(text, s, e) or looks_random(text[s:e])]
+
+
 def allowed(text: bytes, start: int, end: int) -> bool:
     run, before = text[start:end], text[max(0, start - 200) : start]
     return bool(
@@ -105,12 +128,10 @@ def scan(text: bytes) -> list[tuple[str, int, int, bool]]:
         found += [(2, *m.span()) for m in HEX.finditer(text, a, b)]  # a run of hex lies in one candidate
     found.sort(key=lambda s: (s[1], s[0]))
     base = [(s[1], s[2]) for s in found]
-    for a, b in runs:
-        run = text[a:b]
-        if looks_random(run) and (at := high_entropy(run)) and not allowed(text, a, b):
-            s, e = a + at[0], a + at[1]
-            if not any(x < e and s < y for x, y in base):
-                found.append((3, s, e))
+    for a, b in (piece for run in runs for piece in outside(*run, base)):
+        for s, e in tokens(text, a, b):
+            if (at := high_entropy(text[s:e])) and not allowed(text, s, e):
+                found.append((3, s + at[0], s + at[1]))
     found.sort(key=lambda s: (s[1], s[0]))
     return [(KINDS[k], s, e, k < 3) for k, s, e in found]
 

@@ -73,6 +73,12 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert len(got) == 5 and sum("group_size=2" in g for g in got) == 4
 
 
+def test_drop_exact_of_an_id_on_two_texts(spark):
+    rows = [(1, "copied"), (2, "COPIED"), (1, "alone"), (3, None), (4, ""), (3, "other")]
+    got = drop_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "alone"), (2, "COPIED"), (3, "other"), (4, "")]
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
     return set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else ({tuple(w)} if w else set())

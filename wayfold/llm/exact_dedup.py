@@ -113,5 +113,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__digest"))
+    own = F.sha2(normalised(docs[text_col]), 256)  # an id may stand on several texts
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (own == gone["__digest"]), "left_anti")

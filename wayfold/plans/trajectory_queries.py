@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.distance import DELTA, EPS, native_distance
+from wayfold.functions.shared import materialize
 from wayfold.operators import index, join, search
 from wayfold.plans.sql import TrajectorySession
 from wayfold.sources.trajectories import from_events, from_orders, parse, render
@@ -141,8 +142,6 @@ def circle_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold search through an index, which is dropped once its result is written down."""
-    from wayfold.llm.common import materialize  # the other queries here do without wayfold.llm
-
     t = from_orders(spark, sf_dir)
     index.create_index(t, "traj", "orders_index")
     try:

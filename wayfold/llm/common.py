@@ -2,73 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
-import zipfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = __name__.split(".")[0]
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_wayfold_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="wayfold-"), f"{PACKAGE}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    p = os.path.join(folder, n)
-                    z.write(p, os.path.join(PACKAGE, os.path.relpath(p, root)))
-    sc.addPyFile(target)
-    sc._wayfold_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(sc, "_wayfold_shared", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-shared-")
-        sc._wayfold_shared = where
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage with files that every executor can read, so that a
-    lost executor costs a re-read and not a recomputation, and so that a table
-    used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/wayfold/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished work: its cleaner waits for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+from wayfold.functions.shared import discard, materialize, shared_dir  # noqa: F401
+from wayfold.functions.shipping import ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,3 +47,77 @@ def spans_text(spans, base_only: bool = False):
 
 def count_kind(spans, kind: str):
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+
+def _changes(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Places (from 1) whose first ``keys`` columns differ from the row before."""
+    change = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for k in range(keys):
+        own = batch.column(k).to_numpy(zero_copy_only=False)
+        change |= own[1:] != own[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Of rows sorted by their first ``keys`` columns of longs: batches that hold whole groups, and where each group starts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[0].column(k)[0] == batch.column(k)[batch.num_rows - 1] for k in range(keys)):
+            held.append(batch)
+            continue
+        cuts = _changes(batch, keys)
+        cut = int(cuts[-1]) if len(cuts) else 0
+        ready = [b for b in (*held, batch.slice(0, cut)) if b.num_rows]
+        held = [batch.slice(cut)]
+        if ready:
+            out = _joined(ready)
+            yield out, np.concatenate(([0], _changes(out, keys)))
+    if held:
+        out = _joined(held)
+        yield out, np.concatenate(([0], _changes(out, keys)))
+
+
+#: Members that are held against all others before the rest is taken one by one.
+PIVOTS = 32
+
+
+def collapse(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Components of ``n`` members as the place of each one's representative; ``near`` tells which of some places link with one.
+
+    Some pivots are held against all members, which joins most of what belongs
+    together; then each member outside the largest component is held against
+    all that are in other ones. Pairs within a component need no look, and no
+    list of pairs is made.
+    """
+    label = np.arange(n)
+
+    def held(i: int) -> int:
+        among = np.flatnonzero(label != label[i])
+        found = near(i, among) if len(among) else among
+        if len(found):
+            joined = np.zeros(n, bool)
+            joined[label[found]] = joined[label[i]] = True
+            label[joined[label]] = np.flatnonzero(joined)[0]
+        return len(found)
+
+    done = np.zeros(n, bool)
+    for _ in range(min(n - 1, PIVOTS)):
+        largest = np.bincount(label).argmax()
+        open_ = np.flatnonzero(~done & (label != largest)) if done.any() else np.arange(1)
+        if not len(open_):
+            break
+        done[open_[0]] = True
+        if held(int(open_[0])) * 64 < n and n > PIVOTS:
+            break
+    if n > 2:
+        largest = np.bincount(label).argmax()
+        for i in np.flatnonzero((label != largest) & ~done).tolist():
+            if label[i] != label[largest]:
+                held(i)
+    return label

@@ -2,42 +2,48 @@
 
 1. *Sets.* A text's words (A-Z lower-cased, split at white space) give its set
    of 5-word shingles, hashed to 64 bits; with fewer words, the sequence is the
-   one member. Documents of equal sets form a class, and its smallest id stands
-   for it from here on, so copies cost nothing further.
+   one member. Documents whose whole sets have one cryptographic digest form a
+   class, and the row of its smallest id stands for it from here on, so copies
+   cost nothing further.
 2. *Signatures.* 128 minima. Bands of 4 give 32 bucket keys; of each minimum,
-   mixed anew for each function, 4 bits are kept, packed into eight 64-bit words. A pair at similarity
-   0.75 misses all buckets with probability 5e-6.
-3. *Candidates.* In each bucket all members are paired with the smallest one.
+   mixed anew for each function, 4 bits are kept, packed into eight 64-bit
+   words. A pair at similarity 0.75 misses all buckets with probability 5e-6.
+3. *Candidates.* Members of a bucket are compared in blocks of bounded size.
    The share of equal 4-bit values, counted by XOR and bit counts and corrected
    for the 1 in 16 that agree by chance, estimates the similarity; pairs five
-   standard errors below the bound are dropped.
-4. *Confirmation.* The others are compared on their full sets.
-5. *Rest.* A bucket whose members now lie in one component needs no more pairs:
-   they would change no component. The documents of the others get a second,
-   wider signature (2048 minima of 2 bits), whose estimate is so sharp that the
-   join itself can drop nearly all pairs of members of different components
-   that aren't similar enough; sets of up to 43 members go with it whole, and
-   two such sets are compared exactly, not by the estimate. What it leaves is confirmed on the full sets. So
-   no candidate pair that could join two components is left out, and no bucket
-   is expanded into all pairs.
-
-A text without words, or null, has an empty set and links with nothing. Rows
-that repeat an id count as one document. A row without an id links with nothing
-and falls to a document with an equal set that has one. Other columns are
-ignored; an empty table gives an empty result.
+   standard errors below the bound are no candidates. A block emits for each
+   member the component of candidates that it belongs to, never pairs, and the
+   components of all blocks together are the clusters of candidates.
+4. *Confirmation.* The full sets of a cluster's members meet in blocks of
+   bounded size, each set once for each block. All pairs of a block that aren't
+   joined yet and whose estimate allows it are compared on their full sets;
+   again a block emits components, never pairs.
+
+So each step's rows grow with the number of documents (and of blocks, in a
+group larger than one block), whatever the size of a group of near copies and
+however many of its pairs fall just short of the bound. Every candidate pair is
+either confirmed, refuted, or within a component that other pairs confirm.
+
+A text without words, or null, has an empty set and links with nothing; its row
+always stays. Rows are told apart by a key of their own: rows that repeat an id
+count each by its text. A row without an id takes part, but its id names no
+component as long as another one can; a component of such rows has a null
+component_id. ``near_groups`` marks every row as kept whose id is that of its
+component; ``drop_near`` leaves exactly one row of each component. Other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import discard, materialize, ship
+from wayfold.llm.common import collapse, discard, materialize, ship, whole_groups
 from wayfold.llm.components import connected
 from wayfold.llm.words import C3, NOT_SPACE, mix, slices, words
 
@@ -47,21 +53,14 @@ PACKED = HASHES * BITS // 64
 PERCENT = 75
 #: Five standard errors of the estimate at the bound, in equal values of HASHES.
 LEAST_EQUAL = int(HASHES * (0.75 + 0.25 / 16) - 5 * (HASHES * 0.766 * 0.234) ** 0.5)
-#: The second signature: minima, bits of each, 64-bit words; and four and a half standard errors (3e-6).
-WIDE, WIDE_BITS = 2048, 2
-WIDE_PACKED = WIDE * WIDE_BITS // 64
-WIDE_LEAST = int(WIDE * (0.75 + 0.25 / 4) - 4.5 * (WIDE * 0.8125 * 0.1875) ** 0.5)
-#: Sets of so many members at most are compared whole in the join.
-WHOLE = 43
-#: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Members of a bucket, and bytes of full sets, in a block; two blocks meet at a time.
+BLOCK, BLOCK_BYTES = 1 << 14, 16 << 20
 
 _RNG = np.random.default_rng(20240229)
-MULTIPLY = _RNG.integers(0, 1 << 31, HASHES + WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _RNG.integers(0, 1 << 32, HASHES + WIDE, dtype=np.uint32)
-SIGNATURE = (
-    "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(PACKED))
-)
+MULTIPLY = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+SIGN = [f"s{k}" for k in range(PACKED)]
+SIGNATURE = "row long, doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGN)
 
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,10 +92,10 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield at, to, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(([0], sizes.cumsum()))
 
 
-def minima(members: np.ndarray, bounds: np.ndarray, functions: range) -> np.ndarray:
+def minima(members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The least value of each hash function over each non-empty set: one row for each set."""
     own = np.flatnonzero(np.diff(bounds))
-    out = np.empty((len(own), len(functions)), np.uint32)
+    out = np.empty((len(own), HASHES), np.uint32)
     low = (members >> np.uint64(32)).astype(np.uint32)
     step = 1 << 15
     k = 0
@@ -105,187 +104,236 @@ def minima(members: np.ndarray, bounds: np.ndarray, functions: range) -> np.ndar
         a, b = bounds[own[k]], bounds[own[to - 1] + 1]
         part, starts = low[a:b], bounds[own[k:to]] - a
         value = np.empty_like(part)
-        for j, f in enumerate(functions):
-            np.multiply(part, MULTIPLY[f], out=value)
-            value += ADD[f]
+        for j in range(HASHES):
+            np.multiply(part, MULTIPLY[j], out=value)
+            value += ADD[j]
             out[k:to, j] = np.minimum.reduceat(value, starts)
         k = to
     return out
 
 
-def packed_bits(least: np.ndarray, functions: range, bits: int) -> np.ndarray:
-    """Some bits of each row's minima in 64-bit words. The minima are mixed first, differently for each
+def packed_bits(least: np.ndarray) -> np.ndarray:
+    """BITS of each row's minima in 64-bit words. The minima are mixed first, differently for each
     function: low bits of a*x+b with odd a agree for all functions or for none."""
-    per = 64 // bits
-    salt = np.arange(functions.start, functions.stop, dtype=np.uint64) * C3
-    out = np.zeros((len(least), least.shape[1] // per), np.uint64)
+    per = 64 // BITS
+    salt = np.arange(HASHES, dtype=np.uint64) * C3
+    out = np.zeros((len(least), PACKED), np.uint64)
     for k in range(0, len(least), 512):
-        low = mix(least[k : k + 512].astype(np.uint64) + salt) & np.uint64((1 << bits) - 1)
+        low = mix(least[k : k + 512].astype(np.uint64) + salt) & np.uint64((1 << BITS) - 1)
         for j in range(per):
-            out[k : k + 512] |= low[:, j::per] << np.uint64(bits * j)
+            out[k : k + 512] |= low[:, j::per] << np.uint64(BITS * j)
     return out
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "d0", "d1", "bands", *(f"s{k}" for k in range(PACKED))]
+    """Rows (row, doc_id, text) as SIGNATURE."""
+    names = ["row", "doc_id", "n_shingles", "d0", "d1", "bands", *SIGN]
     for batch in batches:
-        ids = batch.column(0)
-        for at, to, members, bounds in shingles(batch.column(1)):
+        for at, to, members, bounds in shingles(batch.column(2)):
             n, size = to - at, np.diff(bounds)
             own = np.flatnonzero(size)
-            digest = np.zeros((2, n), np.uint64)
+            digest = np.zeros((n, 2), np.int64)
             bands, packed = np.zeros((n, BANDS), np.uint64), np.zeros((n, PACKED), np.uint64)
             if len(own):
-                for k in range(2):
-                    digest[k, own] = np.add.reduceat(mix(members ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (2**64 - 1))), bounds[own])
-                least = minima(members, bounds, range(HASHES)).astype(np.uint64)
+                raw = memoryview(members).cast("B")
+                for k in own.tolist():
+                    digest[k] = np.frombuffer(hashlib.blake2b(raw[8 * bounds[k] : 8 * bounds[k + 1]], digest_size=16).digest(), "<i8")
+                least = minima(members, bounds)
+                wide = least.astype(np.uint64)
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(own), BANDS)).copy()
                 for j in range(BAND):
-                    key = mix(key * C3 + least[:, j::BAND])
+                    key = mix(key * C3 + wide[:, j::BAND])
                 bands[own] = key
-                packed[own] = packed_bits(least, range(HASHES), BITS)
+                packed[own] = packed_bits(least)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))), pa.int32()), pa.array(bands[own].ravel().view(np.int64))
             )
-            yield pa.RecordBatch.from_arrays(
-                [ids[at:to], pa.array(size), *(pa.array(d.view(np.int64)) for d in digest), lists, *(pa.array(packed[:, k].copy().view(np.int64)) for k in range(PACKED))],
-                names,
-            )
-
-
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    functions = range(HASHES, HASHES + WIDE)
+            columns = [batch.column(0)[at:to], batch.column(1)[at:to], pa.array(size), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(packed[:, k].copy().view(np.int64)) for k in range(PACKED))], names)
+
+
+ONES = np.uint64(sum(1 << k for k in range(0, 64, BITS)))  # the lowest bit of each value
+SHIFTS = [np.uint64(1 << k) for k in range(BITS.bit_length() - 1)]
+
+
+def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the packed values of rows agree."""
+    v = x ^ y
+    for shift in SHIFTS:
+        v |= v >> shift
+    v &= ONES
+    return HASHES - np.bitwise_count(v).sum(-1, dtype=np.int64)
+
+
+def _signs(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.stack([batch.column(at + k).to_numpy() for k in range(PACKED)], 1).view(np.uint64)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], component, pairs) -> Iterator[pa.RecordBatch]:
+    """Rows (group, lo, hi, row, ..) as links (a, b) of each row to the representative of its component in the group.
+
+    ``pairs(batch, places)`` tells for groups of two, which are most, whether they link.
+    """
+    for batch, start in whole_groups(batches, 3):
+        ids = batch.column(3).to_numpy()
+        size = np.diff(np.append(start, len(ids)))
+        two = start[size == 2]
+        two = two[pairs(batch, two)]
+        a, b = [ids[two]], [ids[two + 1]]
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            label = component(batch.slice(s, n))
+            own = np.flatnonzero(label != np.arange(n))
+            a.append(ids[s + own])
+            b.append(ids[s + label[own]])
+        if sum(map(len, a)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo, hi, row, s0, ..): links between candidates."""
+
+    def component(group: pa.RecordBatch) -> np.ndarray:
+        sign = _signs(group, 4)
+        return collapse(len(sign), lambda i, among: among[agree(sign[i], sign[among]) >= LEAST_EQUAL])
+
+    def pairs(batch: pa.RecordBatch, two: np.ndarray) -> np.ndarray:
+        sign = _signs(batch, 4)
+        return agree(sign[two], sign[two + 1]) >= LEAST_EQUAL
+
+    return _labelled(batches, component, pairs)
+
+
+class FullSets:
+    """The sets of a block: which members are similar enough to one of them."""
+
+    #: Elements of candidates that are searched one by one; more are counted through an index of the block.
+    FEW = 1 << 15
+
+    def __init__(self, sign: np.ndarray, sets: pa.Array):
+        ends = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
+        self.sign, self.members = sign, np.frombuffer(sets.buffers()[2], np.uint64, (ends[-1] - ends[0]) // 8, ends[0])
+        self.bounds = (ends - ends[0]) // 8
+        self.size = np.diff(self.bounds)
+        self.hot = None
+
+    def own(self, i: int) -> np.ndarray:
+        return self.members[self.bounds[i] : self.bounds[i + 1]]
+
+    def near(self, i: int, among: np.ndarray) -> np.ndarray:
+        n = self.size[among]
+        among = among[(PERCENT * np.maximum(n, self.size[i]) <= 100 * np.minimum(n, self.size[i])) & (agree(self.sign[i], self.sign[among]) >= LEAST_EQUAL)]
+        if not len(among):
+            return among
+        both = self._searched(i, among) if self.size[among].sum() <= self.FEW else self._indexed(i)[among]
+        return among[100 * both >= PERCENT * (self.size[among] + self.size[i] - both)]
+
+    def _searched(self, i: int, among: np.ndarray) -> np.ndarray:
+        own, rest = self.own(i), np.concatenate([self.own(j) for j in among.tolist()])
+        place = np.minimum(np.searchsorted(own, rest), len(own) - 1)
+        return np.add.reduceat((own[place] == rest).astype(np.int64), np.cumsum(self.size[among]) - self.size[among])
+
+    def _indexed(self, i: int) -> np.ndarray:
+        """Sizes of the intersections with all members: of elements that many have by a matrix, of others by lists of owners."""
+        if self.hot is None:
+            owner = np.repeat(np.arange(len(self.size)), self.size)
+            order = np.argsort(self.members, kind="stable")
+            sorted_ = self.members[order]
+            first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            count = np.diff(np.append(first, len(sorted_)))
+            self.owners, self.first, self.count = owner[order], first, count
+            element = np.empty(len(order), np.int64)
+            element[order] = np.repeat(np.arange(len(first)), count)
+            self.element = element
+            self.column = np.full(len(first), -1)
+            hot = np.flatnonzero(count > len(self.size) // 4)
+            self.column[hot] = np.arange(len(hot))
+            self.hot = np.zeros((len(self.size), len(hot)), np.float32)
+            some = self.column[element] >= 0
+            self.hot[owner[some], self.column[element[some]]] = 1
+        both = (self.hot @ self.hot[i]).astype(np.int64)
+        rare = self.element[self.bounds[i] : self.bounds[i + 1]]
+        rare = rare[(self.column[rare] < 0) & (self.count[rare] > 1)]
+        n = self.count[rare]
+        place = np.arange(n.sum()) + np.repeat(self.first[rare] - (np.cumsum(n) - n), n)
+        return both + np.bincount(self.owners[place], minlength=len(self.size))
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, lo, hi, row, s0, .., full set): links that the full sets confirm."""
+
+    def component(group: pa.RecordBatch) -> np.ndarray:
+        sets = FullSets(_signs(group, 4), group.column(4 + PACKED))
+        return collapse(len(sets.size), sets.near)
+
+    def pairs(batch: pa.RecordBatch, two: np.ndarray) -> np.ndarray:
+        sets = FullSets(_signs(batch, 4), batch.column(4 + PACKED))
+        other = np.array([1])
+        found = [len(FullSets.near(sets, k, k + other)) > 0 for k in two.tolist()]
+        return np.array(found, bool)
+
+    return _labelled(batches, component, pairs)
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, blocks, row, s0, .., text) with the bytes of the full set in the place of the text."""
     for batch in batches:
-        for at, to, members, bounds in shingles(batch.column(1)):
-            own = np.flatnonzero(np.diff(bounds))
-            if len(own):
-                words_ = packed_bits(minima(members, bounds, functions), functions, WIDE_BITS)
-                columns = [pa.array(words_[:, k].copy().view(np.int64)) for k in range(WIDE_PACKED)]
-                whole = [members[bounds[k] : bounds[k + 1]].view(np.int64) if bounds[k + 1] - bounds[k] <= WHOLE else None for k in own]
-                ids = batch.column(0)[at:to].take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(whole, pa.list_(pa.int64())), *columns], ["id", "whole", *(f"s{k}" for k in range(WIDE_PACKED))])
-
-
-def equal_values(left: str, right: str, bits: int, packed: int) -> Column:
-    """How many of the packed values of two rows agree."""
-    ones = F.lit(sum(1 << k for k in range(0, 63, bits)))  # the lowest bit of each value
-
-    def differ(k: int) -> Column:
-        v = F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))
-        for shift in (1, 2)[: bits // 2]:
-            v = v.bitwiseOR(F.shiftrightunsigned(v, shift))
-        return F.bit_count(v.bitwiseAND(ones))
-
-    return F.lit(packed * 64 // bits) - reduce(lambda x, y: x + y, (differ(k) for k in range(packed)))
-
-
-def similar(left: str, right: str) -> Column:
-    """Whether two rows of the wide signature may be similar enough: exactly where both have their whole set."""
-    a, b = F.col(f"{left}.whole"), F.col(f"{right}.whole")
-    both, least, most = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    exact = (100 * least >= PERCENT * most) & (100 * both >= PERCENT * (least + most - both))
-    return F.when(a.isNotNull() & b.isNotNull(), exact).otherwise(equal_values(left, right, WIDE_BITS, WIDE_PACKED) >= WIDE_LEAST)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text of a, text of b) whose sets are similar enough."""
-    for batch in batches:
-        ids = [batch.column(0).to_pylist(), batch.column(1).to_pylist()]
-        keep = []
-        texts: dict[int, int] = {}
-        places = []
-        for side in (0, 1):
-            own = []
-            for k, i in enumerate(ids[side]):
-                if i not in texts:
-                    texts[i] = len(places)
-                    places.append((side, k))
-                own.append(texts[i])
-            ids[side] = own
-        sets = []
-        for side in (0, 1):
-            rows = [k for s, k in places if s == side]
-            column = batch.column(2 + side).take(pa.array(rows, pa.int64()))
-            for _, _, members, bounds in shingles(column):
-                sets += [members[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        for k, (x, y) in enumerate(zip(*ids)):
-            a, b = sets[x], sets[y]
-            if PERCENT * max(len(a), len(b)) > 100 * min(len(a), len(b)):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if both and 100 * both >= PERCENT * (len(a) + len(b) - both):
-                keep.append(k)
-        if keep:
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (id, text) of some documents; the ids are broadcast if they are few."""
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, texts["doc_id"] == ids["id"]).select("id", "text")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Of pairs (a, b), those that the full sets confirm."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-ids")
-    some = _texts_of(ids, texts)
-    left, right = some.alias("l"), some.alias("r")
-    rows = pairs.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id"))
-    rows = rows.select("a", "b", F.col("l.text").alias("ta"), F.col("r.text").alias("tb"))
-    return materialize(rows.mapInArrow(_confirm, "a long, b long"), f"{label}-links")
+        for at, to, members, bounds in shingles(batch.column(batch.num_columns - 1)):
+            sets = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(members)])
+            yield pa.RecordBatch.from_arrays([*(c[at:to] for c in batch.columns[:-1]), sets], [*batch.schema.names[:-1], "members"])
+
+
+def _met(rows: DataFrame, group: str) -> DataFrame:
+    """Each row once for each pair of its block with a block of its group, dealt out by pair."""
+    own = F.pmod(F.xxhash64("row"), F.col("blocks"))
+    other = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    named = other.select(group, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *(c for c in rows.columns if c not in (group, "blocks")))
+    # By row, so that the blocks that a member is in tend to name the same representative for it.
+    return named.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "row")
+
+
+def _grouped(texts: DataFrame) -> DataFrame:
+    """Of rows (row, doc_id, text): row, doc_id, n_shingles, component_id, and winner, the row that stays of the component."""
+    signed = materialize(texts.select("row", "doc_id", "text").mapInArrow(_signatures, SIGNATURE), "near-signatures")
+    first = lambda key: F.coalesce(F.min_by(key, "doc_id"), F.min(key))
+    digest = ["d0", "d1", "n_shingles"]
+    classes = signed.where("n_shingles > 0").groupBy(digest).agg(first("row").alias("rep"), F.min("doc_id").alias("rep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    whole = signed.join(materialize(classes, "near-classes"), digest, "left")
+    whole = whole.withColumns({"rep_id": F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep_id")), "rep": F.coalesce("rep", "row")})
+    lone = (F.col("row") == F.col("rep")) & (F.col("n_shingles") > 0)
+    members = materialize(whole.select("row", "doc_id", "n_shingles", "rep", "rep_id", F.when(lone, F.col("bands")).alias("bands"), *SIGN), "near-members")
+    discard(signed)
+    signs = members.where("bands IS NOT NULL").select("row", "n_shingles", *SIGN)
+    rows = members.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "row")
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialize(rows.join(counts, "key"), "near-shared")
+    alike = _met(shared.join(signs.drop("n_shingles"), "row"), "key").mapInArrow(_alike, "a long, b long")
+    clusters = connected(alike, "near-clusters").withColumnRenamed("id", "row").withColumnRenamed("component", "cluster")
+    signed = clusters.join(signs, "row")
+    sizes = signed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("n_shingles") / BLOCK_BYTES)).alias("blocks"))
+    wanted = materialize(signed.join(sizes, "cluster").select("cluster", "blocks", "row", *SIGN), "near-wanted")
+    schema = "cluster long, blocks long, row long, " + ", ".join(f"{s} long" for s in SIGN) + ", members binary"
+    sets = wanted.join(texts.select("row", "text"), "row").select("cluster", "blocks", "row", *SIGN, "text").mapInArrow(_full_sets, schema)
+    found = connected(_met(sets, "cluster").mapInArrow(_confirmed, "a long, b long"), "near-components")
+    named = found.join(members.select("row", "doc_id"), found["id"] == members["row"]).select("id", "component", "doc_id")
+    best = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), first("id").alias("winner"))
+    placed = materialize(found.join(best, "component").select(F.col("id").alias("rep"), "component_id", "winner"), "near-placed")
+    out = members.select("row", "doc_id", "n_shingles", "rep", "rep_id").join(placed, "rep", "left")
+    named = F.when(F.col("winner").isNull(), F.col("rep_id")).otherwise(F.col("component_id"))
+    return out.select("row", "doc_id", "n_shingles", named.alias("component_id"), F.coalesce("winner", "rep").alias("winner"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(_signatures, SIGNATURE), "near-signatures")
-    classes = signed.where("n_shingles > 0").groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes.where("n > 1").drop("n"), "near-classes")
-    whole = signed.join(classes, ["d0", "d1", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    sign = [f"s{k}" for k in range(PACKED)]
-    lone = (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)
-    members = materialize(whole.select("doc_id", "n_shingles", "rep", F.when(lone, F.col("bands")).alias("bands"), *sign), "near-members")
-    discard(signed)
-    packs = members.where("bands IS NOT NULL").select("rep", *sign)
-    rows = members.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "rep")
-    first = rows.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").drop("last")
-    first = materialize(first, "near-first")
-    shared = materialize(rows.join(first, "key").select("key", "rep", "a"), "near-shared")
-    pairs = shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    left, right = packs.alias("l"), packs.alias("r")
-    near = pairs.join(left, F.col("a") == F.col("l.rep")).join(right, F.col("b") == F.col("r.rep"))
-    near = materialize(near.where(equal_values("l", "r", BITS, PACKED) >= LEAST_EQUAL).select("a", "b"), "near-estimated")
-    links = _confirmed(near, texts, "near-star")
-    found = connected(links, "near-components")
-    # Members of one bucket in different components: the pairs that the star has left out.
-    placed = shared.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(placed, "near-placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    split = materialize(placed.join(materialize(split, "near-split"), "key"), "near-open")
-    ids = materialize(split.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
-    schema = "id long, whole array<long>, " + ", ".join(f"s{k} long" for k in range(WIDE_PACKED))
-    wide = materialize(_texts_of(ids, texts).mapInArrow(_wide, schema), "near-wide")
-    wide = wide.join(members.where("bands IS NOT NULL").select(F.col("rep").alias("own"), "bands"), F.col("id") == F.col("own")).drop("own")
-    split = materialize(split.join(wide, F.col("rep") == F.col("id")).drop("id"), "near-open-wide")
-    l, r = split.alias("l"), split.alias("r")
-    cross = l.join(
-        r,
-        (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.component") < F.col("r.component"))
-        & similar("l", "r")
-        & (F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.key")),  # once, in the first bucket that they share
-    )
-    cross = cross.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    cross = materialize(cross.join(near, ["a", "b"], "left_anti"), "near-cross")
-    more = _confirmed(cross, texts, "near-cross")
-    if not more.isEmpty():
-        found = connected(links.union(more), "near-components-2")
-    out = members.join(found, F.col("rep") == F.col("id"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = _grouped(materialize(texts, "near-texts"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns."""
-    gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    ship(docs.sparkSession)
+    own = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-documents")
+    found = _grouped(own.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    gone = found.where("row != winner").select(F.col("row").alias("__row"))
+    return own.join(gone, "__row", "left_anti").select(docs.columns)

@@ -74,9 +74,9 @@ def test_exact_repeated_rows_and_null_ids(spark):
 
 
 def test_drop_exact_of_an_id_on_two_texts(spark):
-    rows = [(1, "copied"), (2, "COPIED"), (1, "alone"), (3, None), (4, ""), (3, "other")]
-    got = drop_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == [(1, "alone"), (2, "COPIED"), (3, "other"), (4, "")]
+    rows = [(1, "copied"), (2, "COPIED"), (1, "alone"), (3, None), (4, ""), (3, "other"), (None, "copied"), (9, "twice"), (9, "twice"), (None, "none"), (None, "none")]
+    got = drop_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "alone"), (2, "COPIED"), (3, "other"), (4, ""), (9, "twice"), (None, "none")]))
 
 
 def shingle_set(t):
@@ -107,9 +107,7 @@ def test_near(docs, empty):
     assert near_groups(empty).count() == 0
 
 
-def test_near_pairs_at_the_bar_through_the_cross_join(spark, monkeypatch):
-    """Without the star's pairs, the cross join has to find them all."""
-    monkeypatch.setattr(near_dedup, "LEAST_EQUAL", near_dedup.HASHES + 1)
+def test_near_pairs_at_the_bar(spark):
     rows, r = [], random.Random(8)
     for short, long in ((7, 8), (10, 12), (22, 28), (49, 64)):  # 3 of 4 shingles, 6 of 8, 18 of 24, 45 of 60
         for k in range(40):
@@ -119,6 +117,54 @@ def test_near_pairs_at_the_bar_through_the_cross_join(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: i - i % 2 for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("block", [1 << 14, 64])
+def test_near_copies_around_the_bar(spark, monkeypatch, block):
+    """Near copies of one text, many pairs just below the bound: components are those of brute force, in one block or many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r, rows = random.Random(11), []
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    for least, most in ((8, 14), (6, 12), (5, 10)):
+        for _ in range(130):
+            w = list(base)
+            for k in r.sample(range(400), r.randint(least, most)):
+                w[k] = f"v{r.randrange(300)}"
+            rows.append(w)
+    r.shuffle(rows)
+    elements = {}
+    table = np.zeros((len(rows), 400 * len(rows)), np.float32)
+    for i, w in enumerate(rows):
+        table[i, [elements.setdefault(x, len(elements)) for x in zip(*(w[k:] for k in range(5)))]] = 1
+    both, size = table @ table.T, table.sum(1)
+    links = zip(*np.nonzero(100 * both >= 75 * (size[:, None] + size - both)))
+    want = components(range(len(rows)), links)
+    assert 1 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(5)
+    assert {x["doc_id"]: x["component_id"] for x in near_groups(df).collect()} == want
+
+
+def test_full_sets_by_index_equal_search():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((r.choice(base, 250, False), r.integers(0, 2**63, r.integers(0, 80), dtype=np.uint64)))) for _ in range(120)]
+    column = near_dedup.pa.array([x.tobytes() for x in sets], near_dedup.pa.binary())
+    block = near_dedup.FullSets(np.zeros((120, near_dedup.PACKED), np.uint64), column)
+    for i in range(120):
+        others = np.delete(np.arange(120), i)
+        want = [len(np.intersect1d(sets[i], sets[j])) for j in others]
+        assert block._indexed(i)[others].tolist() == want == block._searched(i, others).tolist()
+
+
+def test_near_repeated_ids(spark):
+    r = random.Random(9)
+    long = [words(r, 60) for _ in range(3)]
+    rows = [(5, long[0]), (7, long[0] + " more"), (5, long[1]), (None, long[0]), (None, long[2]), (7, long[0] + " more"), (8, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"]), x["kept"]) for x in near_groups(df).collect())
+    assert got == sorted([("5", 56, "5", True), ("7", 57, "5", False), ("5", 56, "5", True), ("None", 56, "5", False), ("None", 56, "None", True), ("7", 57, "5", False), ("8", 0, "8", True), ("8", 0, "8", True)])
+    kept = sorted(map(str, near_dedup.drop_near(df).collect()))
+    assert kept == sorted(map(str, spark.createDataFrame([rows[0], rows[2], rows[4], rows[6], rows[7]], "doc_id long, text string").collect()))
+
+
 def test_suffix(docs, empty):
     seen, want = set(), {}
     for i, t in texts():

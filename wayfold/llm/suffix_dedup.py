@@ -10,7 +10,10 @@ Successive windows of one key form a segment. A first pass sends only keys and
 ids and finds the keys that occur twice; only segments of those keys then send
 their bytes, each distinct segment once for each slice of a task. A passage
 that stands in a third of all documents therefore reaches its key's task once
-for each slice, not once for each document.
+for each slice, not once for each document. A key that more than ``HOT``
+documents share, such as a common line between ever other neighbours, is not
+sent as segments: each of its windows goes by a digest of its whole 100 bytes,
+again each distinct one once for each slice, so that no task holds a key whole.
 
 *Deciding.* The segments of a set of keys, apart by a separator that UTF-8
 lacks, form one text. Its suffixes are ordered by their first 128 bytes, and
@@ -22,10 +25,11 @@ border is not followed, and at ``length`` the expansion stops. Suffixes that no
 border parts share their first ``length`` bytes; of each such class all but the
 earliest are removed.
 
-Null counts as empty. Texts shorter than ``length`` bytes lose nothing. Ids
-should be unique: rows that repeat an id count as parts of one document, in no
-fixed order; a row without an id takes no part and keeps its text. Other columns
-are ignored; an empty table gives an empty result.
+Null counts as empty. Texts shorter than ``length`` bytes lose nothing. Rows are
+told apart by id and text: of two rows with one id and different texts, the one
+whose text has the smaller hash comes first; rows equal in both are one document
+given twice, and each gets its result. A row without an id takes no part and
+keeps its text. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ LENGTH, GRAM = 100, 40
 #: Bytes of text in which a task combines before it sends, and that it decides at once.
 SLICE = 8 << 20
 SHARD = 2 << 20
+#: Documents that share a key; the windows of a key of more are dealt one by one.
+HOT = 16384
 SEPARATOR = 0xFF
 
 
@@ -102,7 +108,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 def _keys(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, doc_id, known): known if the key occurs twice in the slice; one row of a key in a slice is never known."""
+        """Rows (text_id, text) as (key, text_id, known): known if the key occurs twice in the slice; one row of a key in a slice is never known."""
         for rows in _sliced(batches):
             keys, ids, again = [], [], []
             for i, text in ((r[0], r[1]) for r in rows):
@@ -126,13 +132,13 @@ def _keys(length: int):
             out_key = np.concatenate((key[first], key[known]))
             out_doc = np.concatenate((doc[first], doc[known]))
             out_known = np.concatenate((np.zeros(first.sum(), bool), np.ones(known.sum(), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_doc), pa.array(out_known)], ["key", "doc_id", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_doc), pa.array(out_known)], ["key", "text_id", "known"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, doc_id, known) by key, those known and those whose key another row shares."""
+    """Of rows (key, text_id, known) by key, those known and those whose key another row shares."""
     held, shared = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -149,29 +155,62 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = hit[:-1]
         held = [x[-1:] for x in (key, doc, known)]
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][out]), pa.array(key[:-1][out])], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][out]), pa.array(key[:-1][out])], ["text_id", "key"])
     if held is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[0])], ["doc_id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[0])], ["text_id", "key"])
+
+
+PIECE = "kind int, key long, sub long, doc_id long, text_id long, start long, stop long, twice boolean, bytes binary"
+SEGMENT, REPEAT, WINDOW = 0, 1, 2
+
+
+def _runs(own: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of successive numbers."""
+    if not len(own):
+        return []
+    cut = np.flatnonzero(np.diff(own) > 1)
+    return list(zip(own[np.concatenate(([0], cut + 1))].tolist(), own[np.concatenate((cut, [len(own) - 1]))].tolist()))
 
 
 def _pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, doc_id, start, stop, twice, bytes); without bytes: windows from start to stop are repeats."""
-        names = ["key", "doc_id", "start", "stop", "twice", "bytes"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        """Rows (text_id, text, doc_id, keys, hot keys) as PIECE: segments with their bytes, windows of hot keys by
+        their digest (key and sub), and repeats, whose windows from start to stop the slice has already."""
+        names = [c.split()[0] for c in PIECE.split(", ")]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         for rows in _sliced(batches):
-            seen: dict[bytes, int] = {}
-            out: list[list] = [[], [], [], [], [], []]
-            for i, text, keys in sorted(rows, key=lambda r: r[0]):
+            seen: set[bytes] = set()
+            out: list[list] = [[] for _ in names]
+
+            def put(*values) -> None:
+                for column, value in zip(out, values):
+                    column.append(value)
+
+            last = None
+            for r, text, i, keys, hot in sorted(rows, key=lambda x: (x[2], x[0])):
+                if (i, r) == last:  # the same document once more
+                    continue
+                last = (i, r)
                 start, stop, key, twice = segments(text, length)
                 chosen = np.flatnonzero(np.isin(key, np.array(keys, np.int64)))
                 for s, e, k, t in zip(start[chosen].tolist(), stop[chosen].tolist(), key[chosen].tolist(), twice[chosen].tolist()):
                     piece = text[s : e + length - 1]
-                    repeat = piece in seen
-                    if not repeat:
-                        seen[piece] = 1
-                    for column, value in zip(out, (k, i, s, e, t, None if repeat else piece)):
-                        column.append(value)
+                    if piece in seen:
+                        put(REPEAT, k, 0, i, r, s, e, t, None)
+                    else:
+                        seen.add(piece)
+                        put(SEGMENT, k, 0, i, r, s, e, t, piece)
+                again: list[int] = []
+                for k in np.flatnonzero(np.isin(key, np.array(hot, np.int64))).tolist() if hot else ():
+                    for s in range(int(start[k]), int(stop[k])):
+                        digest = hashlib.blake2b(text[s : s + length], digest_size=16).digest()
+                        if digest in seen:
+                            again.append(s)
+                        else:
+                            seen.add(digest)
+                            put(WINDOW, *np.frombuffer(digest, "<i8").tolist(), i, r, s, s + 1, False, None)
+                for s, e in _runs(np.array(again, np.int64)):
+                    put(REPEAT, s, 0, i, r, s, e + 1, False, None)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
@@ -256,53 +295,56 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
 
 
 def _decide(length: int):
-    names = ["doc_id", "start", "stop"]
+    names = ["doc_id", "text_id", "start", "stop"]
+    place = slice(3, 6)  # doc_id, text_id, start: the order of the corpus
 
     def decide(rows: list[tuple], out: list) -> None:
-        """Rows (key, doc_id, start, stop, twice, bytes) of whole keys."""
-        rows.sort(key=lambda r: (r[0], r[1], r[2]))
+        """Rows as PIECE of whole keys, segments only."""
+        rows.sort(key=lambda r: (r[1], *r[place]))
         active, k = [], 0
         while k < len(rows):
             distinct: dict[bytes, tuple] = {}
             j = k
-            while j < len(rows) and rows[j][0] == rows[k][0]:
+            while j < len(rows) and rows[j][1] == rows[k][1]:
                 r = rows[j]
-                if r[5] in distinct:
-                    out.append((r[1], r[2], r[3] + length - 1))
-                else:
-                    distinct[r[5]] = r
+                if r[8] not in distinct:
+                    distinct[r[8]] = r
+                elif distinct[r[8]][place] != r[place]:
+                    out.append((*r[place], r[6] + length - 1))
                 j += 1
-            if len(distinct) > 1 or rows[k][4]:
+            if len(distinct) > 1 or rows[k][7]:
                 active += distinct.values()
             k = j
         if not active:
             return
-        active.sort(key=lambda r: (r[1], r[2]))
-        for r, again in zip(active, repeated_windows([r[5] for r in active], length)):
-            if len(again):
-                cut = np.flatnonzero(np.diff(again) > 1)
-                firsts, lasts = again[np.concatenate(([0], cut + 1))], again[np.concatenate((cut, [len(again) - 1]))]
-                out += [(r[1], r[2] + a, r[2] + b + length) for a, b in zip(firsts.tolist(), lasts.tolist())]
+        active.sort(key=lambda r: r[place])
+        for r, again in zip(active, repeated_windows([r[8] for r in active], length)):
+            out += [(r[3], r[4], r[5] + a, r[5] + b + length) for a, b in _runs(again)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last, out = [], 0, None, []
+        held, size, last, window, out = [], 0, None, None, []
 
         def emitted():
-            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names)
             out.clear()
             return batch
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[5] is None:
-                    out.append((r[1], r[2], r[3] + length - 1))
-                    continue
-                if size >= SHARD and r[0] != last:
-                    decide(held, out)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[5])
-                last = r[0]
+                if r[0] == REPEAT:
+                    out.append((*r[place], r[6] + length - 1))
+                elif r[0] == WINDOW:  # in the order of the corpus within its digest
+                    if window is None or window[1:3] != r[1:3]:
+                        window = r
+                    elif window[place] != r[place]:
+                        out.append((*r[place], r[6] + length - 1))
+                else:
+                    if size >= SHARD and r[1] != last:
+                        decide(held, out)
+                        held, size = [], 0
+                    held.append(r)
+                    size += len(r[8])
+                    last = r[1]
             if len(out) >= 50_000:
                 yield emitted()
         decide(held, out)
@@ -313,10 +355,10 @@ def _decide(length: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, starts, stops) as (doc_id, removed runs, kept bytes)."""
+    """Rows (text_id, text, doc_id, starts, stops) as (doc_id, text_id, removed runs, kept bytes)."""
     for batch in batches:
-        ids, spans, kept = [], [], []
-        for i, text, starts, stops in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        spans, kept = [], []
+        for text, starts, stops in zip(utf8(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             runs: list[list[int]] = []
             for s, e in sorted(zip(starts, stops)):
                 if runs and s <= runs[-1][1]:
@@ -327,46 +369,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in runs:
                 rest.append(text[at:s])
                 at = e
-            ids.append(i)
             spans.append([{"start": s, "end": e} for s, e in runs])
             kept.append(b"".join([*rest, text[at:]]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
+        columns = [batch.column(2), batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "spans", "kept"])
 
 
 def _rest(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The slim table, and doc_id, spans (removed runs in bytes) and kept bytes of the documents that lose something."""
+    """The slim table, and doc_id, text_id, spans (removed runs in bytes) and kept bytes of the documents that lose something."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = slim.where("doc_id IS NOT NULL").mapInArrow(_keys(length), "key long, doc_id long, known boolean")
-    part = F.when(F.col("known"), F.xxhash64("doc_id", "key")).otherwise(F.col("key"))
+    # A hash of id and text names a row while keys are sought: two rows that share it only send keys in vain.
+    slim = slim.select(F.xxhash64("doc_id", "text").alias("text_id"), "text", "doc_id")
+    keys = slim.where("doc_id IS NOT NULL").select("text_id", "text").mapInArrow(_keys(length), "key long, text_id long, known boolean")
+    part = F.when(F.col("known"), F.xxhash64("text_id", "key")).otherwise(F.col("key"))
     dealt = keys.repartition(part).sortWithinPartitions("key", "known")
-    found = dealt.mapInArrow(_repeated, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    some = materialize(slim.join(found, "doc_id").select("doc_id", "text", "keys"), "suffix-documents")
-    pieces = some.mapInArrow(_pieces(length), "key long, doc_id long, start long, stop long, twice boolean, bytes binary")
-    part = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
-    dealt = pieces.repartition(part).sortWithinPartitions("key")
-    gone = dealt.mapInArrow(_decide(length), "doc_id long, start long, stop long")
-    gone = materialize(gone.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "suffix-runs")
-    rows = some.join(gone, "doc_id").select("doc_id", "text", "starts", "stops")
-    return slim, rows.mapInArrow(_cut, "doc_id long, spans array<struct<start:long,end:long>>, kept binary")
+    found = materialize(dealt.mapInArrow(_repeated, "text_id long, key long"), "suffix-keys")
+    hot = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+    found = found.join(hot, "key", "left")
+    lists = [F.collect_set(F.when(c, F.col("key"))).alias(n) for n, c in (("keys", F.col("hot").isNull()), ("hot", F.col("hot").isNotNull()))]
+    some = slim.join(found.groupBy("text_id").agg(*lists), "text_id").where("doc_id IS NOT NULL")
+    some = materialize(some.select("text_id", "text", "doc_id", "keys", "hot"), "suffix-documents")
+    pieces = some.mapInArrow(_pieces(length), PIECE)
+    part = F.when(F.col("kind") == REPEAT, F.xxhash64("text_id", "start")).otherwise(F.xxhash64("key", "sub"))
+    dealt = pieces.repartition(part).sortWithinPartitions("key", "sub", "doc_id", "text_id", "start")
+    gone = dealt.mapInArrow(_decide(length), "doc_id long, text_id long, start long, stop long").groupBy("doc_id", "text_id")
+    gone = materialize(gone.agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "suffix-runs")
+    # A document given twice is cut once.
+    rows = some.select("text_id", "text", "doc_id").join(gone, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"])
+    rows = rows.select("text_id", "text", "doc_id", "starts", "stops")
+    return slim, rows.mapInArrow(_cut, "doc_id long, text_id long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, spans (removed runs in bytes), kept (bytes that stay; characters may be cut)."""
     slim, cut = _rest(docs, length, id_col, text_col)
-    whole = slim.select("doc_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("whole"))
-    out = whole.join(cut, "doc_id", "left")
+    whole = slim.select("doc_id", "text_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("whole"))
+    out = whole.join(cut, ["doc_id", "text_id"], "left")
     return out.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("kept", "whole").alias("kept"))
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; only documents that lose something move their text."""
     slim, cut = _rest(docs, length, id_col, text_col)
-    cut = cut.select("doc_id", F.size("spans").cast("long").alias("n"), F.length("kept").cast("long").alias("rest"), F.sha2("kept", 256).alias("cut_sha"))
+    digest = F.sha2("kept", 256).alias("cut_sha")
+    cut = cut.select("doc_id", "text_id", F.size("spans").cast("long").alias("n"), F.length("kept").cast("long").alias("rest"), digest)
     cut = materialize(cut, "suffix-cut")
-    base = slim.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    return base.join(cut, "doc_id", "left").select(
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    base = slim.select("doc_id", "text_id", bytes_, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    return base.join(cut, ["doc_id", "text_id"], "left").select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.coalesce("rest", "n_bytes")).alias("n_removed"),

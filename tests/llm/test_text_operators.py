@@ -165,9 +165,10 @@ def test_near_repeated_ids(spark):
     assert kept == sorted(map(str, spark.createDataFrame([rows[0], rows[2], rows[4], rows[6], rows[7]], "doc_id long, text string").collect()))
 
 
-def test_suffix(docs, empty):
+def brute_repeats(rows):
+    """Rows (id, text) in the order of the corpus."""
     seen, want = set(), {}
-    for i, t in texts():
+    for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 99):
@@ -175,12 +176,42 @@ def test_suffix(docs, empty):
                 gone[k : k + 100] = True
             seen.add(b[k : k + 100])
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        want[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+        want.setdefault(i, []).append((len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return want
+
+
+def test_suffix(docs, empty):
+    want = {i: rows[0] for i, rows in brute_repeats(texts()).items()}
     got = {r["doc_id"]: tuple(r)[1:] for r in repeat_digests(docs).collect()}
     assert got == want
     assert repeat_digests(empty).count() == 0
 
 
+def test_suffix_repeated_ids(spark):
+    r = random.Random(21)
+    a, b, c = (words(r, 80) for _ in range(3))
+    for rows in ([(0, a), (1, "xxxxx" + a), (1, b), (None, a)], [(0, a), (1, a), (1, a)], [(1, a + c), (1, a + c), (0, b), (2, c + b)]):
+        got = sorted(tuple(x) for x in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("doc_id IS NOT NULL").collect())
+        distinct = list(dict.fromkeys((i, t) for i, t in rows if i is not None))
+        own = brute_repeats(sorted(distinct, key=lambda x: x[0]))
+        place = {x: own[x[0]][sum(y[0] == x[0] for y in distinct[:k])] for k, x in enumerate(distinct)}
+        assert got == sorted((i, *place[i, t]) for i, t in rows if i is not None)
+
+
+def test_suffix_hot_line(spark, monkeypatch):
+    """A common line of 40 to 130 bytes between ever other neighbours: its windows are dealt one by one."""
+    from wayfold.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1 << 13)
+    r = random.Random(22)
+    lines = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (40, 70, 99, 130)]
+    rows = [(i, words(r, r.randint(3, 40)) + lines[i % 4] + words(r, r.randint(3, 40)) + lines[(i + 1) % 4]) for i in range(400)]
+    rows += [(i + 400, rows[i][1]) for i in range(0, 40, 3)]
+    got = {x["doc_id"]: tuple(x)[1:] for x in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: x[0] for i, x in brute_repeats(rows).items()}
+
+
 def test_interval_expansion():
     r = random.Random(2)
     for _ in range(150):
@@ -385,6 +416,27 @@ def test_vectors(spark):
     assert vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_many_dimensions(spark, monkeypatch):
+    """Each dimension by itself, one of them through an index; repeated ids, clashing names."""
+    monkeypatch.setattr(vector_dedup, "FEW", 100)
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0]), (1, [2.0]), (2, [-3.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.01]), (5, [1e-200, 1e-200]), (6, [2e-200, 2e-200])]
+    for width, n in ((8, 150), (5, 40), (3, 30)):
+        base = rng.normal(size=(n, width))
+        rows += [(len(rows) + k, x.tolist()) for k, x in enumerate(np.concatenate((base, base[: n // 2] + 0.1 * rng.normal(size=(n // 2, width)))))]
+    rows += [(9, [9.0, 0.0, 0.0, 0.0]), (9, [0.0, 9.0, 0.0, 0.0]), (8000, [0.0, 1.0, 0.0, 0.01])]
+    n = len(rows)
+    unit = lambda v: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())
+    close = [[k for k in range(n) if k != j and len(rows[k][1]) == len(rows[j][1]) and unit(rows[j][1]) @ unit(rows[k][1]) >= 0.9] for j in range(n)]
+    place = components(range(n), [(j, k) for j in range(n) for k in close[j]])
+    least = {}
+    for k, root in place.items():
+        least[root] = min(least.get(root, rows[k][0]), rows[k][0])
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, home int, visits int, cell int, id int")
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in vector_links(df.repartition(3)).collect())
+    assert got == sorted((rows[k][0], len(close[k]), least[place[k]]) for k in range(n))
+
+
 def test_vectors_recall_by_band_beyond_the_sample(spark, monkeypatch):
     """Tight groups fill the sample; pairs near the bar are mostly not in it."""
     monkeypatch.setattr(vector_dedup, "SAMPLE", 1024)

@@ -1,13 +1,15 @@
 """Near duplicates of embeddings by an inverted multi-index.
 
-1. Vectors that are null, zero, of another dimension than most, or hold a null
-   or non-finite component link with nothing. Equal vectors form a class that
-   its smallest id stands for, so copies cost nothing further.
+1. Vectors that are null, empty, zero, or hold a null or non-finite component
+   link with nothing. Equal vectors form a class, so copies cost nothing
+   further. Vectors link with those of their own dimension: each dimension of
+   more than ``FEW`` classes has its own index, one of fewer is one cell.
 2. *Codebooks.* The halves of unit vectors are clustered apart from each other,
-   on a bounded sample (``SAMPLE`` classes by hash of the id). A pair of centres
+   on a bounded sample (``SAMPLE`` classes by hash of the value). A pair of centres
    is a cell of the product grid; the number of centres follows the root of the
-   number of vectors, so a cell's size does not grow with the table. Every
-   vector is indexed in the cell of its two nearest centres.
+   number of vectors, so a cell's size does not grow with the table, up to
+   ``CENTRES``, that is 16.8 million classes; beyond, cells grow and are met in
+   more blocks. Every vector is indexed in the cell of its two nearest centres.
 3. *Traversal.* A vector visits cells in the order of the summed squared
    distances of its halves to the cells' centres, by the multi-sequence
    algorithm, up to a margin above the distance of its own cell. The margin is
@@ -20,8 +22,9 @@
    visits the other's cell, and counts once for each. Blocks send each vector's
    number of links and a label of its component in the block, never pairs.
 
-Other columns are ignored; an empty table gives an empty result. Ids should be
-unique; a null id links with nothing.
+Other columns are ignored; an empty table gives an empty result. A row whose id
+is null links with nothing. Rows that repeat an id count each by its vector;
+their component is named by the smallest id that it holds.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import materialize, ship
 from wayfold.llm.components import connected
 
+#: Classes of a dimension from which it has an index of its own.
+FEW = 256
 SAMPLE, RECALL, CELL, CENTRES, BLOCK = 8192, 0.999, 64, 512, 2048
 #: Vectors that are held against all rows; bands of the cosine from the bar to 1; pairs from which a band counts; steps of a margin of 1.
 QUERIES, BANDS, LEAST_PAIRS, STEPS = 512, 4, 100, 256
@@ -51,7 +56,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in batch.column(1).to_pylist():
             ok = v is not None and len(v) and None not in v
             a = np.array(v, kind) if ok else None
-            out.append(a.tobytes() if ok and np.isfinite(a).all() and np.linalg.norm(a) > 0 else None)
+            out.append(a.tobytes() if ok and np.isfinite(a).all() and a.any() else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
@@ -179,6 +184,58 @@ def _labels(q: np.ndarray, m: np.ndarray, ids: np.ndarray) -> np.ndarray:
             return label
 
 
+def _meet(bar: float, kind: str):
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        """Of one block of a cell's members and one of its visitors: number of links and component of each that has some."""
+        mine, guest = block[block["inside"]], block[~block["inside"]]
+        if not len(mine) or not len(guest):
+            return pd.DataFrame({"id": [], "links": [], "label": []}).astype("int64")
+        x, y = unit([bytes(v) for v in guest["v"]], kind), unit([bytes(v) for v in mine["v"]], kind)
+        q, m = np.nonzero(x @ y.T >= bar)
+        qi, mi = guest["id"].to_numpy(), mine["id"].to_numpy()
+        other = qi[q] != mi[m]
+        q, m = q[other], m[other]
+        links = np.zeros(len(qi) + len(mi), np.int64)
+        np.add.at(links, q, mine["n"].to_numpy()[m])
+        lists = mine["visits"].tolist()
+        table = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+        for k, v in enumerate(lists):
+            table[k, : len(v)] = v
+        back = np.zeros(len(q), bool)  # the member finds this visitor itself
+        for s in range(0, len(q), 1 << 18):
+            back[s : s + (1 << 18)] = (table[m[s : s + (1 << 18)]] == guest["home"].to_numpy()[q[s : s + (1 << 18)]][:, None]).any(1)
+        np.add.at(links, len(qi) + m[~back], guest["n"].to_numpy()[q[~back]])
+        ids = np.concatenate((qi, mi))
+        label = _labels(q, len(qi) + m, ids)
+        some = (links > 0) | (label != ids)
+        return pd.DataFrame({"id": ids[some], "links": links[some], "label": label[some]})
+
+    return meet
+
+
+PLACED = "id long, n long, v binary, width long, home long, visits array<long>"
+
+
+def _indexed(own: DataFrame, width: int, total: int, bar: float, kind: str) -> DataFrame:
+    """The classes of one dimension in the cells of an index made for it, as PLACED."""
+    sample = [(r["id"], bytes(r["v"])) for r in own.orderBy(F.xxhash64("v")).limit(SAMPLE).collect()]
+    points = unit([v for _, v in sample], kind)
+    index = MultiIndex(points, min(CENTRES, max(2, int(np.ceil(np.sqrt(total / CELL))))), bar)
+    some = np.random.default_rng(4).permutation(len(sample))[:QUERIES]
+    index.margin = max(index.margin, _margins(own, index, np.array([i for i, _ in sample])[some], points[some], bar, kind))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = unit([bytes(v) for v in batch.column(2).to_pylist()], kind)
+            a, b = index.distances(x)
+            home = a.argmin(1) * index.k + b.argmin(1)
+            visits = [index.traverse(a[k], b[k]) for k in range(len(x))]
+            columns = [*batch.columns, pa.array(np.full(len(x), width)), pa.array(home), pa.array(visits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "width", "home", "visits"])
+
+    return own.mapInArrow(assign, PLACED)
+
+
 def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bar: float = 0.9) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
@@ -187,93 +244,42 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("e"))
     clean = materialize(slim.mapInArrow(_clean, "vec_id long, v binary"), "vector-clean")
     usable = clean.where("v IS NOT NULL AND vec_id IS NOT NULL")
-    classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    total = classes.count()
-    sample = sorted((r["rep"], bytes(r["v"])) for r in classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).collect())
-    sizes = pd.Series([len(v) for _, v in sample]).mode()
-    width = int(sizes.iloc[0]) if len(sizes) else 16
-    usual = [(i, v) for i, v in sample if len(v) == width]
-    points = unit([v for _, v in usual], kind) if usual else np.zeros((0, 2))
-    everything = clean.select("vec_id", "v")
-    if len(points) < 2 or width < 2 * np.dtype(kind).itemsize:
-        found = None
-        linked = classes.select("rep", (F.col("n") - 1).alias("n_links"))
-    else:
-        index = MultiIndex(points, min(CENTRES, max(2, int(np.ceil(np.sqrt(total / CELL))))), bar)
-
-        own = classes.where(F.length("v") == width).select("rep", "n", "v")
-        some = np.random.default_rng(4).permutation(len(usual))[:QUERIES]
-        index.margin = max(index.margin, _margins(own, index, np.array([i for i, _ in usual])[some], points[some], bar, kind))
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = unit([bytes(v) for v in batch.column(2).to_pylist()], kind)
-                a, b = index.distances(x)
-                home = a.argmin(1) * index.k + b.argmin(1)
-                visits = [index.traverse(a[k], b[k]) for k in range(len(x))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(visits, pa.list_(pa.int64()))], ["rep", "n", "v", "home", "visits"])
-
-        placed = materialize(own.mapInArrow(assign, "rep long, n long, v binary, home long, visits array<long>"), "vector-cells")
-        cells = index.k * index.k
-        members, visitors = np.ones(cells, np.int64), np.ones(cells, np.int64)
-        for r in placed.groupBy("home").count().collect():
-            members[r["home"]] = -(-r["count"] // BLOCK)
-        for r in placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().collect():
-            visitors[r["cell"]] = -(-r["count"] // BLOCK)
-        big = [int(c) for c in np.flatnonzero((members > 1) | (visitors > 1))]
-
-        def blocks(cell, counts: np.ndarray):
-            if not big:
-                return F.lit(1).cast("long")
-            table = F.create_map(*(F.lit(x) for c in big for x in (c, int(counts[c]))))
-            return F.coalesce(table[cell], F.lit(1)).cast("long")
-
-        salt = F.xxhash64("rep")
-        inside = placed.withColumn("cell", F.col("home")).withColumn("mb", F.pmod(salt, blocks(F.col("cell"), members)))
-        inside = inside.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("cell"), visitors) - 1))).withColumn("inside", F.lit(True))
-        guests = placed.withColumn("cell", F.explode("visits")).withColumn("vb", F.pmod(salt, blocks(F.col("cell"), visitors)))
-        guests = guests.withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("cell"), members) - 1))).withColumn("inside", F.lit(False))
-        guests = guests.withColumn("visits", F.lit(None).cast("array<long>"))
-        names = ["cell", "mb", "vb", "inside", "rep", "n", "v", "home", "visits"]
-        met = inside.select(names).unionByName(guests.select(names))
-
-        def meet(block: pd.DataFrame) -> pd.DataFrame:
-            mine, guest = block[block["inside"]], block[~block["inside"]]
-            if not len(mine) or not len(guest):
-                return pd.DataFrame({"rep": [], "links": [], "label": []}).astype("int64")
-            x, y = unit([bytes(v) for v in guest["v"]], kind), unit([bytes(v) for v in mine["v"]], kind)
-            q, m = np.nonzero(x @ y.T >= bar)
-            qi, mi = guest["rep"].to_numpy(), mine["rep"].to_numpy()
-            other = qi[q] != mi[m]
-            q, m = q[other], m[other]
-            links = np.zeros(len(qi) + len(mi), np.int64)
-            np.add.at(links, q, mine["n"].to_numpy()[m])
-            lists = mine["visits"].tolist()
-            table = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-            for k, v in enumerate(lists):
-                table[k, : len(v)] = v
-            back = np.zeros(len(q), bool)  # the member finds this visitor itself
-            for s in range(0, len(q), 1 << 18):
-                back[s : s + (1 << 18)] = (table[m[s : s + (1 << 18)]] == guest["home"].to_numpy()[q[s : s + (1 << 18)]][:, None]).any(1)
-            np.add.at(links, len(qi) + m[~back], guest["n"].to_numpy()[q[~back]])
-            ids = np.concatenate((qi, mi))
-            label = _labels(q, len(qi) + m, ids)
-            some = (links > 0) | (label != ids)
-            return pd.DataFrame({"rep": ids[some], "links": links[some], "label": label[some]})
-
-        parts = materialize(met.groupBy("cell", "mb", "vb").applyInPandas(meet, "rep long, links long, label long"), "vector-links")
-        found = connected(parts.where("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b")), "vector-components")
-        counted = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-        linked = classes.join(counted, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    if found is None:
-        linked = linked.withColumn("component", F.col("rep"))
-    else:
-        linked = linked.join(found, F.col("rep") == F.col("id"), "left").select("rep", "n_links", F.coalesce("component", "rep").alias("component"))
-    linked = materialize(classes.select("rep", "v").join(linked, "rep").drop("rep"), "vector-result")
-    out = everything.join(linked, "v", "left")
+    classes = usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "n", "v", "rep"), "vector-classes")
+    own = classes.select("id", "n", "v")
+    # One row for each dimension that has an index of its own.
+    large = {r["bytes"]: r["n"] for r in classes.groupBy(F.length("v").alias("bytes")).agg(F.count("*").alias("n")).where(F.col("n") > FEW).collect()}
+    rest = own.where(~F.length("v").isin(list(large))) if large else own
+    placed = rest.select("id", "n", "v", F.length("v").cast("long").alias("width"), F.lit(0).cast("long").alias("home"), F.array(F.lit(0).cast("long")).alias("visits"))
+    for width, total in large.items():
+        placed = placed.unionByName(_indexed(own.where(F.length("v") == width), width, total, bar, kind))
+    placed = materialize(placed, "vector-cells")
+    blocks = lambda n: F.ceil(F.count("*") / BLOCK).alias(n)
+    members = placed.groupBy("width", F.col("home").alias("cell")).agg(blocks("members")).where("members > 1")
+    visitors = placed.select("width", F.explode("visits").alias("cell")).groupBy("width", "cell").agg(blocks("visitors")).where("visitors > 1")
+    crowded = materialize(members.join(visitors, ["width", "cell"], "full"), "vector-crowded")  # a row for each BLOCK vectors or visits at most
+    salt = F.xxhash64("id")
+    m, v = (F.coalesce(c, F.lit(1).cast("long")) for c in ("members", "visitors"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    inside = placed.withColumn("cell", F.col("home")).join(crowded, ["width", "cell"], "left")
+    inside = inside.withColumn("mb", F.pmod(salt, m)).withColumn("vb", every(v)).withColumn("inside", F.lit(True))
+    guests = placed.withColumn("cell", F.explode("visits")).join(crowded, ["width", "cell"], "left")
+    guests = guests.withColumn("vb", F.pmod(salt, v)).withColumn("mb", every(m)).withColumn("inside", F.lit(False))
+    guests = guests.withColumn("visits", F.lit(None).cast("array<long>"))
+    names = ["width", "cell", "mb", "vb", "inside", "id", "n", "v", "home", "visits"]
+    met = inside.select(names).unionByName(guests.select(names)).groupBy("width", "cell", "mb", "vb")
+    parts = materialize(met.applyInPandas(_meet(bar, kind), "id long, links long, label long"), "vector-links")
+    found = connected(parts.where("id != label").select(F.col("id").alias("a"), F.col("label").alias("b")), "vector-components")
+    named = found.join(classes.select("id", "rep"), "id")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("id", "component_id")
+    counted = parts.groupBy("id").agg(F.sum("links").alias("links"))
+    linked = classes.join(counted, "id", "left").join(named, "id", "left")
+    total = (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    linked = materialize(linked.select("v", total, F.coalesce("component_id", "rep").alias("component_id")), "vector-result")
+    out = clean.join(linked, "v", "left")
     out = out.select(
         "vec_id",
         F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component")), F.col("vec_id")).alias("component_id"),
+        F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component_id")), F.col("vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

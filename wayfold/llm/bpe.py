@@ -12,13 +12,17 @@ Tokens that end at least so many bytes before the end of what has been read are
 stable: they are emitted, and the encoder keeps only what follows them.
 
 *Memory.* The encoder holds one chunk, the unstable rest of at most one
-pre-token, and caches of bounded size; none of it grows with the text.
+pre-token, and caches of bounded bytes; none of it grows with the text. The
+round trip takes a text chunk by chunk through encoder, decoder and both
+digests; only ``encode``, whose result is the array of ids, holds all of them.
 
 *Decoding* feeds the bytes of each token to an incremental UTF-8 state machine;
 bytes that no continuation can make valid become U+FFFD.
 
 Ids equal those of the tokenizers library for the same file, strings of special
-tokens in a text included. Null counts as empty and gives no tokens.
+tokens in a text included. Null counts as empty and gives no tokens. Each row is
+taken by itself, so repeated rows and ids give repeated results; a null id stays
+null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ RUNS = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "O": regex
 SPACES = re.compile(r"\s \s")
 CHUNK = 1 << 16
 WINDOW = 4096
-WORDS = 1 << 19  #: Entries of each cache; a full one starts anew.
+#: Bytes of keys and values in each cache (entries count OVERHEAD besides; a full cache starts anew), and characters of a key.
+HELD, OVERHEAD, KEY = 96 << 20, 160, 256
 
 
 def byte_characters() -> dict[str, int]:
@@ -140,14 +145,18 @@ class MergeList:
 
 
 class _Cache(dict):
-    def __init__(self, fill: Callable, limit: int = WORDS):
+    def __init__(self, fill: Callable):
         super().__init__()
-        self.fill, self.limit = fill, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.fill(key)
+        self.fill, self.size = fill, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.fill(key)
+        if len(key) <= KEY:
+            self.size += len(key) + len(value) + OVERHEAD
+            if self.size > HELD:
+                self.clear()
+                self.size = len(key) + len(value) + OVERHEAD
+            self[key] = value
         return value
 
 
@@ -329,10 +338,17 @@ def library_codec(path: str) -> Codec:
     return LibraryCodec(MergeList(path))
 
 
-def encode_text(text: str, own: Codec) -> bytes:
-    """Little-endian 32-bit ids of a whole text."""
+def encode_parts(text: str, own: Codec) -> Iterator[bytes]:
+    """Little-endian 32-bit ids of a text, chunk by chunk."""
     encoder = StreamEncoder(own)
-    return encoder.feed(text) + encoder.finish()
+    for k in range(0, len(text), CHUNK):
+        yield encoder.feed(text[k : k + CHUNK])
+    yield encoder.finish()
+
+
+def encode_text(text: str, own: Codec) -> bytes:
+    """The ids of a whole text."""
+    return b"".join(encode_parts(text, own))
 
 
 def decode_parts(ids: np.ndarray, merges: MergeList, step: int = 8192) -> Iterator[str]:
@@ -370,11 +386,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def row(text: str | None) -> tuple:
         own = codec(path)
-        ids = encode_text(text or "", own)
-        seen = hashlib.sha256()
-        for part in decode_parts(np.frombuffer(ids, "<u4"), own.merges):
-            seen.update(part.encode("utf-8"))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), seen.hexdigest()
+        decoder, n, ids_digest, text_digest = StreamDecoder(own.merges), 0, hashlib.sha256(), hashlib.sha256()
+        for part in encode_parts(text or "", own):
+            n += len(part) // 4
+            ids_digest.update(part)
+            text_digest.update(decoder.feed(np.frombuffer(part, "<u4").tolist()).encode("utf-8"))
+        text_digest.update(decoder.finish().encode("utf-8"))
+        return n, ids_digest.hexdigest(), text_digest.hexdigest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _by_batch(docs, id_col, text_col, row, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], schema)

@@ -9,10 +9,13 @@ window is kept by incremental counts: a step adds one character and removes
 one, and changes the sum of c*log2(c) by four looked-up terms. The windows at
 or above the class's threshold, joined, are the candidate's span, kind
 ``entropy``. An allow list then drops what only looks random: UUIDs, checksums
-that are named as such, data URIs, places in a url, placeholders.
+that are named as such, data URIs, the path of a url (not its query), placeholders.
 
 All patterns are ASCII, so they run on UTF-8 bytes; offsets are returned in
 code points. Null counts as empty; a very long text is scanned in linear time.
+Each row is taken by itself: repeated rows and ids give repeated results, an
+empty table gives an empty one, and other columns are ignored (``redact_secrets``
+keeps them).
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ LOG = [0.0] + [c * math.log2(c) for c in range(1, 65)]
 UUID = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 NAMED = re.compile(rb"(?:sha-?\d*|md5|checksum|digest|commit|integrity|etag|rev)[\"']?[\s:=@(-]*$", re.I)
 DATA = re.compile(rb"base64,$")
-INSIDE_URL = re.compile(rb"://[^\s\"'<>]*$")
+URL_EDGES = [bytes([c]) for c in b" \t\n\r\v\f\"'<>"]
 PLACEHOLDER = re.compile(rb"example|sample|placeholder|dummy|changeme|your[_-]|xxxx|0123456789|abcdefgh", re.I)
 
 SPAN = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -107,11 +110,24 @@ def tokens(text: bytes, start: int, end: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in parts if not CLASSES[0][1].fullmatch(text, s, e) or looks_random(text[s:e])]
 
 
-def allowed(text: bytes, start: int, end: int) -> bool:
-    run, before = text[start:end], text[max(0, start - 200) : start]
-    return bool(
-        UUID.search(run) or PLACEHOLDER.search(run) or NAMED.search(before[-24:]) or DATA.search(before[-8:]) or INSIDE_URL.search(before)
-    )
+class UrlPaths:
+    """Whether places of a text, asked for in ascending order, lie in the path of a url: each byte is looked at once."""
+
+    def __init__(self, text: bytes):
+        self.text, self.at, self.scheme, self.edge, self.query = text, 0, -1, -1, -1
+
+    def holds(self, place: int) -> bool:
+        look = lambda mark, back=0: self.text.rfind(mark, max(0, self.at - back), place)
+        self.scheme = max(self.scheme, look(b"://", 2))
+        self.edge = max(self.edge, *map(look, URL_EDGES))
+        self.query = max(self.query, look(b"?"))
+        self.at = place
+        return self.scheme > self.edge and self.query < self.scheme
+
+
+def allowed(text: bytes, start: int, end: int, urls: UrlPaths) -> bool:
+    run, before = text[start:end], text[max(0, start - 24) : start]
+    return urls.holds(start) or bool(UUID.search(run) or PLACEHOLDER.search(run) or NAMED.search(before) or DATA.search(before[-8:]))
 
 
 def scan(text: bytes) -> list[tuple[str, int, int, bool]]:
@@ -127,10 +143,10 @@ def scan(text: bytes) -> list[tuple[str, int, int, bool]]:
     for a, b in runs:
         found += [(2, *m.span()) for m in HEX.finditer(text, a, b)]  # a run of hex lies in one candidate
     found.sort(key=lambda s: (s[1], s[0]))
-    base = [(s[1], s[2]) for s in found]
+    base, urls = [(s[1], s[2]) for s in found], UrlPaths(text)
     for a, b in (piece for run in runs for piece in outside(*run, base)):
         for s, e in tokens(text, a, b):
-            if (at := high_entropy(text[s:e])) and not allowed(text, s, e):
+            if (at := high_entropy(text[s:e])) and not allowed(text, s, e, urls):
                 found.append((3, s + at[0], s + at[1]))
     found.sort(key=lambda s: (s[1], s[0]))
     return [(KINDS[k], s, e, k < 3) for k, s, e in found]

@@ -233,18 +233,31 @@ def test_bpe_equals_the_library(docs, empty):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(bpe.encode_text(t, own), "<u4").tolist() == ids
+        assert np.frombuffer(bpe.encode_text(t, bpe.library_codec(TOKENIZER)), "<u4").tolist() == ids
         assert "".join(bpe.decode_parts(np.array(ids, "<u4"), own.merges, 2)) == library.decode(ids, skip_special_tokens=False)
     for i, t in texts():
         assert np.frombuffer(bpe.encode_text(t or "", bpe.library_codec(TOKENIZER)), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
     got = {r["doc_id"]: r for r in bpe.round_trip(docs, TOKENIZER).collect()}
     for i, t in texts():
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-        assert got[i]["n_tokens"] == len(library.encode(t or "", add_special_tokens=False).ids)
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
     again = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
     assert {r["doc_id"]: r["text"] for r in again.collect()} == {i: t or "" for i, t in texts()}
     assert bpe.round_trip(empty, TOKENIZER).count() == 0
 
 
+def test_bpe_memory_is_constant(monkeypatch):
+    """No step of a long text gives more than its chunk, and the caches stay within their bytes."""
+    monkeypatch.setattr(bpe, "CHUNK", 512)
+    monkeypatch.setattr(bpe, "HELD", 1 << 14)
+    own, r = bpe.Codec(bpe.codec(TOKENIZER).merges), random.Random(12)
+    text = "".join(r.choice(["<|endoftext|>", words(r, 5), " ", "\n", "x" * 700, "中文 "]) for _ in range(900))
+    parts = list(bpe.encode_parts(text, own))
+    assert max(map(len, parts)) <= 4 * (512 + 2 * max(bpe.WINDOW, 4 * own.merges.lookahead)) and own.words.size <= 1 << 14 and own.units.size <= 1 << 14
+    assert b"".join(parts) == bpe.encode_text(text, bpe.codec(TOKENIZER))
+
+
 def test_bpe_lookahead_is_enough(monkeypatch):
     """Pieces that outgrow a small window are emitted in parts, and equal the whole."""
     own = bpe.codec(TOKENIZER)
@@ -315,6 +328,9 @@ def test_secrets_beside_base_spans_and_of_one_case():
     for text in (base36, base32, f"{hexes}/{base36}", f"key-{base36}", f"{base32}=="):
         spans = secrets.scan_text(f"see {text} end".encode())
         assert spans[-1]["kind"] == "entropy" and spans[-1]["end"] - spans[-1]["start"] == 24
+    path = "https://host.example.net/" + "p/" * 150 + base36
+    assert secrets.scan_text(path.encode()) == [] and secrets.scan_text((path + " " + base36).encode())[0]["start"] == len(path) + 1
+    assert secrets.scan_text(f"https://host.example.net/p?key={base36}&x=1".encode())[0]["kind"] == "entropy"
     for text in ("internationalization-of-documentation", "12345678901234567890123456", "/usr/share/documentation/getting_started"):
         assert secrets.scan_text(text.encode()) == []
 
@@ -364,6 +380,16 @@ def test_pii_selection_on_unseen_rows():
     assert ((trees.probability(x) >= 0.5) == y).mean() > 0.97
 
 
+def test_pii_written_emails():
+    chosen = pii.selector()
+    kinds = lambda t: [pii.KINDS[s[0]] for s in pii.scan(t.encode(), chosen)]
+    for t in ("mail jane at example.com now", "write to jane.doe [AT] mail [DOT] org please", "email bob (at) host dot net soon", "contact me: bob AT example.org today"):
+        assert kinds(t) == ["written_email"], t
+    for t in ("we were at home. Then we left", "the shop at street.corner and more", "look at this. Now", "at noon. at night."):
+        assert kinds(t) == [], t
+    assert pii.proposals((" at " * 50_000 + "a" * 200_000).encode()) == []  # linear
+
+
 def test_toxicity(spark, empty):
     r = random.Random(6)
     rows = []

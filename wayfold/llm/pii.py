@@ -13,7 +13,9 @@ The trees are trained when the operator is called, on rows made from templates
 with a fixed seed, about 6000 of them: no corpus row is used.
 
 Patterns are ASCII and run on UTF-8 bytes in linear time; offsets are code
-points. Null counts as empty.
+points. Null counts as empty. Each row is taken by itself: repeated rows and ids
+give repeated results, an empty table gives an empty one, other columns are
+ignored. A very long text is scanned in linear time.
 """
 
 from __future__ import annotations
@@ -42,11 +44,15 @@ NOT_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
 
 #: Kinds that the trees select, and what proposes them.
 PROPOSE = {
-    "written_email": re.compile(rb"[A-Za-z0-9._-]{1,64}[ ]?(?:\[at\]|\(at\)| at )[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\[dot\]|\(dot\)| dot |\.)[ ]?[A-Za-z0-9-]{2,63}){1,4}"),
+    "written_email": re.compile(rb"[ ]?(?:\[at\]|\(at\))[ ]?| at ", re.I),  # from it backwards and forwards
     "ssn": re.compile(rb"(?<![0-9])[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}(?![0-9])"),
     "iban": re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "national_phone": re.compile(rb"(?<![0-9])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,4}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![0-9])"),
 }
+#: What follows the mark of a written email: names apart by dots, written or not.
+WRITTEN_DOMAIN = re.compile(rb"[A-Za-z0-9-]{1,63}(?:[ ]?(?:\[dot\]|\(dot\)| dot |\.)[ ]?[A-Za-z0-9-]{2,63}){1,4}", re.I)
+WRITTEN_LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
+TOP = re.compile(rb"(?:\.|dot[ \])]{1,2})(?:com|org|net|edu|gov|info|io|de|fr|es|it|nl|uk|eu)$", re.I)
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + tuple(PROPOSE)
 PRECISION = 0.97
@@ -101,10 +107,22 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
+def written_emails(text: bytes) -> list[tuple[int, int]]:
+    """Spans of a name, a written @ and names apart by dots, leftmost first and apart from each other."""
+    out, free = [], 0
+    for m in PROPOSE["written_email"].finditer(text):
+        start = m.start()
+        while start > max(free, m.start() - 64) and text[start - 1] in WRITTEN_LOCAL:
+            start -= 1
+        rest = WRITTEN_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if rest:
+            out.append((start, rest.end()))
+            free = rest.end()
+    return out
+
+
 def proposals(text: bytes) -> list[tuple[int, int, int]]:
-    out = []
-    if b"at" in text and (b"[at]" in text or b"(at)" in text or b" dot " in text):
-        out += [(4, *m.span()) for m in PROPOSE["written_email"].finditer(text)]
+    out = [(4, s, e) for s, e in written_emails(text)]
     if DIGIT.search(text):
         for k, name in enumerate(("ssn", "iban", "national_phone")):
             out += [(5 + k, *m.span()) for m in PROPOSE[name].finditer(text)]
@@ -117,13 +135,14 @@ def features(text: bytes, kind: int, start: int, end: int) -> list[float]:
     digits = span.translate(None, NOT_DIGITS)
     parts = re.findall(rb"[0-9]+", span)
     seps = set(re.findall(rb"[ .()/-]", span))
-    word = bool(re.search(rb"\[at\]|\(at\)", span)) + bool(re.search(rb"\[dot\]|\(dot\)| dot ", span))
+    word = bool(re.search(rb"\[at\]|\(at\)", span, re.I)) + bool(re.search(rb"\[dot\]|\(dot\)| dot ", span, re.I))
     good = [m.end() for m in FOR.finditer(before)]
     bad = [m.end() for m in AGAINST.finditer(before)]
     nums = [int(p) for p in parts[:4]] + [0] * 4
     return [
         kind == 4, kind == 5, kind == 6, kind == 7,
         len(span), len(digits), len(parts), len(seps), word,
+        kind == 4 and bool(TOP.search(span)), kind == 4 and b". " in span,
         span.startswith(b"("), len(seps - {b"(", b")"}) == 1,
         len(set(digits)), kind == 6 and mod97(span),
         nums[0], nums[1], len(parts[-1]) if parts else 0,
@@ -155,6 +174,8 @@ def training_rows(n: int, seed: int) -> list[tuple[str, int]]:
         lambda: f"{r.choice(['iban', 'account', 'transfer to', ''])} {_iban(r)}",
         lambda: f"{r.choice(['mail', 'write to', 'email:', ''])} {w()}{r.choice(['.', '_', ''])}{w()}{at()}{w()}{dot()}{r.choice(['com', 'org', 'net', 'de'])}",
         lambda: f"{r.choice(['mail me:', 'email'])} {w()} at {w()} dot {r.choice(['com', 'org', 'net'])}",
+        lambda: f"{r.choice(['mail me:', 'email', 'write to', 'contact', ''])} {w()}{r.choice(['.' + w(), ''])} {r.choice(['at', 'AT', '[AT]', '(AT)'])} {w()}.{r.choice(['com', 'org', 'net', 'de', 'fr'])}",
+        lambda: f"{r.choice(['mail', ''])} {w()} [AT] {w()} [DOT] {r.choice(['com', 'org', 'net'])}",
     ]
     bad = [
         lambda: f"{r.choice(['order', 'invoice', 'serial', 'part no.', 'ref', 'model', 'item id'])} {r.choice([phone(), ssn(), d(9), d(8) + '-' + d(2)])}",
@@ -168,6 +189,8 @@ def training_rows(n: int, seed: int) -> list[tuple[str, int]]:
         lambda: f"{r.choice(['code', 'model', ''])} {w()[:2].upper()}{d(2)}{''.join(r.choice('ABCDEFGH0123456789') for _ in range(16))}",
         lambda: f"we met {w()} at {w()}. {w()} dot {w()} then",
         lambda: f"the {w()} at {w()} dot {w()} of {w()}",
+        lambda: f"the {w()} at {w()}. {w().title()} {w()} {w()}",
+        lambda: f"{w()} {w()} at {w()}.{w()} and {w()}",
     ]
     return [(f"{w()} {w()} {r.choice(good if label else bad)()} {w()} {w()}", label) for label in (r.randint(0, 1) for _ in range(n))]
 

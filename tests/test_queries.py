@@ -6,9 +6,14 @@ import os
 
 import pytest
 
-from wayfold.plans import catalogue
+from wayfold.plans import catalogue, commands, function_families, graph_queries, learning
+from wayfold.sources import files
 from wayfold.streaming import queries as streaming
 
+PARTS = (catalogue, function_families, commands, files, graph_queries, learning, streaming)
+OWN = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in PARTS for name, text in part.SQL.items()}
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -36,11 +41,38 @@ def rows(columns, found):
     return sorted((str([plain(r[k]) for k in order]) for r in found))
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES) + list(streaming.QUERIES))
+@pytest.mark.parametrize("name", [name for name in OWN if name in SQL])
 def test_query(spark, duck, name):
-    df = (catalogue.QUERIES | streaming.QUERIES)[name](spark, DATA)
+    df = OWN[name](spark, DATA)
     got = rows(df.columns, df.collect())
-    want = duck.execute((catalogue.SQL | streaming.SQL)[name])
+    want = duck.execute(SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == rows(columns, want.fetchall())
+
+
+#: Least and most of each measure of the models that are fitted in rounds.
+BOUNDS = {
+    "ml_classifiers": {None: (0.6, 1.0), "tree": (0.9, 1.0), "logistic": (0.9, 1.0)},
+    "ml_regressors": {None: (0.8, 1.0), "generalized": (0.999, 1.0)},
+    "ml_clusters": {None: (0.1, 1.0), "topics": (0.0, 20.0)},
+    "ml_factors": {None: (0.0, 5.0)},
+    "ml_projections": {None: (0.0, 1e6), "pca": (0.5, 1.0), "quantiles": (3, 4)},
+    "ml_tuning": {None: (0.8, 1.0), "ks": (0.0, 0.3)},
+}
+
+
+@pytest.mark.parametrize("name", list(BOUNDS))
+def test_models(spark, name):
+    found = {r["model"]: r["measure"] for r in learning.QUERIES[name](spark, DATA).collect()}
+    for model, value in found.items():
+        low, high = BOUNDS[name].get(model, BOUNDS[name][None])
+        assert low <= value <= high, (model, value)
+
+
+def test_strong_components(spark):
+    """Against the pairs that reach each other."""
+    from wayfold.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (5, 7), (7, 8)], "src long, dst long")
+    assert {r["id"]: r["value"] for r in graph.strong_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,20 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="wayfold-stream-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from wayfold.functions.shared import materialize
+from wayfold.sources.files import place
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that its source holds now; the last state of its result.
+    """Run a stream over all that its source holds now.
 
-    Append results go to Parquet files with the sink's own log; complete and
-    update results are written whole by each batch, under the batch's number.
+    Append results go to Parquet files with the sink's own log. Of complete
+    results the last batch's is returned; of update results all batches' rows,
+    with the number of the batch, since only the caller knows their key.
     """
-    spark, where = stream.sparkSession, shared(stream.sparkSession)
+    spark, where = stream.sparkSession, place(stream.sparkSession, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/log").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{where}/rows").start().awaitTermination()
@@ -38,7 +34,9 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     writer.foreachBatch(write).start().awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{where}/rows/batch={max(last)}" if mode == "complete" else f"{where}/rows/*")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{where}/rows/batch={max(last)}")
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{where}/rows")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +90,102 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_id": [top]})
 
     rows = events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last_id long", "n long, last_id long", "update", GroupStateTimeout.NoTimeout)
-    return drain(rows, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_id").alias("last_id"))
+    return latest(drain(rows, "update"), "user_id")
+
+
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    """Of update results the last row of each key."""
+    columns = [c for c in rows.columns if c not in (key, "batch")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("last"))
+    return last.select(key, *(F.col(f"last.{c}") for c in columns))
+
+
+def in_parts(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of several batches in the order of time: one file for each, one file a batch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = e.approxQuantile("event_id", [k / parts for k in range(1, parts)], 0.0)
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (F.col("event_id") > c).cast("int")
+    path = place(spark, "batches")
+    for k in range(parts):  # files are taken in the order in which they were written
+        e.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode over several batches: the last count that each type was given."""
+    counts = in_parts(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    return latest(drain(counts, "update"), "event_type")
+
+
+def appended_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: windows that the watermark has passed, each once."""
+    counts = in_parts(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return drain(counts, "append").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n").agg(F.count("*").alias("windows"), F.max("n").alias("most"))
+
+
+def late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come after the watermark are dropped: a batch of all events, one with the last moment again (late rows are
+    told by the watermark that the batch before began with), then all events sixty days older."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = place(spark, "late")
+    e.coalesce(1).write.parquet(path)
+    e.agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    e.select("event_id", (F.col("ts") - F.expr("INTERVAL 60 DAYS")).alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "1 hour")
+    counts = stream.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    rows = latest(drain(counts, "update"), "window")
+    return rows.agg(F.sum("n").alias("rows"))
+
+
+def distinct_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dropDuplicatesWithinWatermark: each user and type once within the span that the watermark keeps, here all."""
+    rows = in_parts(spark, sf_dir).withWatermark("ts", "1000 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return drain(rows.select("user_id", "event_type"), "append")
+
+
+def idle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State with an event-time timeout: a user whose events stop is reported with their number, the rest when the stream goes on."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (n,) = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+            return
+        n, last = (state.get[0] if state.exists else 0), 0
+        for f in frames:
+            n, last = n + len(f), max(last, int(f["ts"].max().timestamp() * 1000))
+        state.update((n,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        if False:
+            yield
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = place(spark, "idle")
+    e.coalesce(1).write.parquet(path)
+    for days in (400, 401):  # one late row moves the watermark, another lets the timeouts fire
+        e.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "1 hour")
+    rows = stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return drain(rows, "append").where("user_id >= 0")
+
+
+def rate_to_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate source by micro-batch into the memory sink, with a processing-time trigger: values from 0 without gaps."""
+    name = f"rate_{place(spark, 'm').rsplit('-', 1)[1]}"
+    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 10).load()
+    query = stream.select("value").writeStream.format("memory").queryName(name).trigger(processingTime="200 milliseconds").start()
+    try:
+        while (query.lastProgress or {}).get("batchId", 0) < 2:
+            query.awaitTermination(0.2)
+            if query.exception():
+                raise query.exception()
+        found = materialize(spark.table(name), "rate")
+    finally:
+        query.stop()
+    return found.agg((F.count("*") == F.max("value") + 1).alias("whole"), (F.countDistinct("value") == F.count("*")).alias("once"), (F.min("value") == 0).alias("first"))
 
 
 QUERIES = {
@@ -103,6 +196,12 @@ QUERIES = {
     "stream_static_join": enriched,
     "stream_stream_join": stream_join,
     "stream_state": totals,
+    "stream_update": updated,
+    "stream_append_windows": appended_windows,
+    "stream_late_rows": late,
+    "stream_distinct_within": distinct_within,
+    "stream_state_timeout": idle_users,
+    "stream_rate_memory": rate_to_memory,
 }
 
 SQL = {
@@ -114,5 +213,12 @@ SQL = {
     "stream_static_join": "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY c_mktsegment",
     "stream_stream_join": """SELECT a.event_id AS click_id, b.event_id AS buy_id FROM events a JOIN events b ON a.user_id = b.user_id
         AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""",
+    "stream_update": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "stream_append_windows": """SELECT count(*) AS windows, max(n) AS most FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS s, count(*) AS n FROM events GROUP BY 1)
+        WHERE s + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""",
+    "stream_late_rows": "SELECT CAST(count(*) + 1 AS BIGINT) AS rows FROM events",
+    "stream_distinct_within": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_state_timeout": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
+    "stream_rate_memory": "SELECT true AS whole, true AS once, true AS first",
     "stream_state": "SELECT user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id",
 }

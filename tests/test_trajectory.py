@@ -111,20 +111,19 @@ def orders(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_registered_joins(spark, orders, name):
-    """The joins named in QUERIES: of LEAST points and more, without an upper end, and of all trajectories."""
+    """The joins named in QUERIES, of all trajectories, with the narrow and the wide bar."""
     path, t = orders
-    want = {}
-    for i in t:
-        for j in t:
-            if (d := 0.0 if i == j else brute(name, t[i], t[j])) <= queries.JOIN_BARS[name]:
-                want[i, j] = pytest.approx(d, abs=1e-6)
-    for query, least in ((f"traj_threshold_join_{name.lower()}", queries.LEAST), (f"traj_whole_join_{name.lower()}", 1)):
+    all_ = {(i, j): 0.0 if i == j else brute(name, t[i], t[j]) for i in t for j in t}
+    for query, bars in ((f"traj_threshold_join_{name.lower()}", queries.JOIN_BARS), (f"traj_whole_join_{name.lower()}", queries.WIDE_BARS)):
         got = {(r[0], r[1]): r[2] for r in queries.QUERIES[query](spark, path).collect()}
-        assert got == {k: d for k, d in want.items() if min(len(t[k[0]]), len(t[k[1]])) >= least}
+        assert got == {k: pytest.approx(d, abs=1e-6) for k, d in all_.items() if d <= bars[name]}
         assert (0, 0) in got
 
 
-def test_ranges(spark, frame):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_ranges(spark, frame, indexed):
+    if indexed:
+        index.create_index(frame, "traj", "ranges")
     rows = [(i, t) for i, t in sample() if t]
     inside = lambda p: 0 <= p[0] <= 80 and 10 <= p[1] <= 90
     for mode, of in (("contains", all), ("intersects", any)):
@@ -133,6 +132,8 @@ def test_ranges(spark, frame):
         near = lambda p: math.dist(p, (50, 50)) <= 45
         got = {r["id"] for r in search.circle_range_search(frame, [50.0, 50.0], 45.0, "traj", mode).collect()}
         assert got == {i for i, t in rows if of(map(near, t))}
+    if indexed:
+        index.drop_index(frame, "traj")
     edge = spark.createDataFrame([(1, [[3.0, 4.0]])], SCHEMA)
     assert search.circle_range_search(edge, [0.0, 0.0], 5.0, "traj").count() == 1
     assert search.mbr_range_search(edge, [3.0, 4.0], [9.0, 9.0], "traj").count() == 1
@@ -149,6 +150,33 @@ def test_index_registry(spark, frame):
             call(frame, "nothing", "x")
 
 
+def test_index_reads_few_tiles(spark):
+    """Threshold, range and SQL searches over an index filter its partitions, and their results are those without one."""
+    r = random.Random(5)
+    walk = lambda x, y: [[x + r.uniform(0, 3) * k, y + r.uniform(0, 3) * k] for k in range(6)]
+    rows = [(i, walk(r.uniform(0, 900), r.uniform(0, 900))) for i in range(600)]
+    spark.createDataFrame(rows, SCHEMA).createOrReplaceTempView("spread")
+    frame, s = spark.table("spread"), TrajectorySession(spark)
+    query = rows[17][1]
+    literal = "TRAJECTORY(" + ", ".join(f"POINT({x}, {y})" for x, y in query) + ")"
+    texts = [f"SELECT id FROM spread WHERE DTW(traj, {literal}) <= 120", f"SELECT id FROM spread t WHERE FRECHET(t.traj, {literal}) <= 60 AND id > 3",
+             "SELECT id FROM spread WHERE traj IN MBRRANGE(POINT(100, 100), POINT(300, 300))", "SELECT id FROM spread WHERE NOT traj IN CIRCLERANGE(POINT(500, 500), 200)"]
+    want = [sorted(x["id"] for x in s.sql(t).collect()) for t in texts]
+    assert all(want) and s.sql(texts[0]).count() > 1
+    s.sql("CREATE TRIE INDEX few ON spread (traj)")
+    found = index.lookup(frame, "traj")
+    tiles = len(found.tiles)
+    assert sum(t["n"] for t in index.tile_statistics(frame, "traj").collect()) == 600 and tiles > 20
+    for name, bar in (("DTW", 120), ("FRECHET", 60), ("EDR", 2), ("LCSS", 2)):
+        keep = [t for t in found.tiles if search.tile_bound(t, query, name) <= bar]
+        assert len(keep) < tiles / 4 or name in ("EDR", "LCSS")
+    plan = search.threshold_search(frame, query, "traj", "DTW", 120)._jdf.queryExecution().executedPlan().toString()
+    assert "__tile" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [sorted(x["id"] for x in s.sql(t).collect()) for t in texts] == want
+    s.sql("DROP TRIE INDEX few ON spread")
+    assert index.lookup(frame, "traj") is None
+
+
 def test_indexed_search_returns_all(spark, monkeypatch):
     """More rows than the former limit, and none."""
     few = F.expr("array(array(50.0D, 50.0D))")
@@ -172,6 +200,12 @@ def test_sql(spark, frame):
     s.sql("CREATE TRIE INDEX i1 ON traj1 (traj)")
     assert s.sql("SHOW TRIE INDEXES").columns == ["index"] and s.sql("SHOW TRIE INDEXES").count() == 1
     assert s.sql("DROP TRIE INDEX i1 ON traj1").count() == 0
+    joined = s.sql("SELECT a.id, b.id FROM traj1 a JOIN traj1 b ON FRECHET(a.traj, b.traj) <= 40 -- KNN 5")
+    assert sorted(map(tuple, joined.collect())) == sorted((i, j) for i, t in sample() if t for j, u in sample() if u and brute("FRECHET", t, u) <= 40)
+    assert s.sql("SELECT 'POINT(1, 2) KNN 3' AS t, 'DTW(a, b) <= 3' AS u /* POINT(3, 4) */").first()[:] == ("POINT(1, 2) KNN 3", "DTW(a, b) <= 3")
+    for text in ("LEFT JOIN traj1 b ON DTW(a.traj, b.traj) <= 3", "JOIN (SELECT * FROM traj1) b ON DTW(a.traj, b.traj) <= 3"):
+        with pytest.raises(ValueError):
+            s.sql(f"SELECT a.id FROM traj1 a {text}")
 
 
 def test_text(spark, tmp_path):

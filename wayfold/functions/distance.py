@@ -181,9 +181,10 @@ def lower_bound_sql(name: str, a: str, b: str, dims: int = 2) -> str:
     return f"CASE WHEN size({a}) = 1 AND size({b}) = 1 THEN {first} ELSE {first} + {last} END"
 
 
-def box_bound(name: str, column: str, low: list[float], high: list[float], eps: float = EPS) -> Column:
-    """A bound from the points of a trajectory and the box of the other."""
-    outside = lambda p, k: F.greatest(F.lit(float(low[k])) - p[k], p[k] - F.lit(float(high[k])), F.lit(0.0))
+def box_bound(name: str, column: str, low: list, high: list, eps: float = EPS) -> Column:
+    """A bound from the points of a trajectory and the box of the other, given by numbers or columns."""
+    side = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    outside = lambda p, k: F.greatest(side(low[k]) - p[k], p[k] - side(high[k]), F.lit(0.0))
     gap = lambda p: F.sqrt(sum((outside(p, k) * outside(p, k) for k in range(1, len(low))), outside(p, 0) * outside(p, 0)))
     start = F.lit(0.0)
     if name == "DTW":

@@ -38,7 +38,8 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
-        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            if "/wayfold/" in f:
+        # .. /wayfold/<application>/<table>/..
+        for f in {"/".join(p.split("/")[: p.split("/").index("wayfold") + 3]) for p in df.inputFiles() if "/wayfold/" in p}:
+            if f.rsplit("/", 2)[-2] == spark.sparkContext.applicationId:
                 path = jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

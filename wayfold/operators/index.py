@@ -1,22 +1,32 @@
 """Named indexes on trajectory columns.
 
-An index is the frame itself, dealt out by a key of quantile tiles (the first
-points cut into tiles along each axis, then the last points), kept in memory and
-on disk, with a struct of summary columns: first and last point, box, number of
-points, tile. Searches use the struct to skip rows and whole cached batches.
+An index is a table in the shared folder, in one folder for each tile: the first
+points are cut into quantile tiles along each axis, then the last points. Beside
+the frame's columns it has a struct of summary columns: first and last point,
+box, number of points, and the ``PIVOTS`` interior points that lie farthest from
+their predecessors. The global part is one row for each tile (at most the square
+of the ``tiles`` asked for): boxes of its first points, last points and of all
+points, least and most points. A search bounds the distance of each tile from
+these, reads the folders of tiles that stay (a partition filter), and follows
+the levels first, last and pivots with what each leaves of the threshold.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUMMARY = "__summary"
+from wayfold.functions.distance import point_distance
+from wayfold.functions.shared import discard, shared_dir
+
+SUMMARY, TILE = "__summary", "__tile"
+PIVOTS = 3
+#: Indexes of this process by frame and column: names and bounds of tiles; the rows are in the shared folder.
 _indexes: dict[tuple[str, str], TrieIndex] = {}
 
 
@@ -26,6 +36,11 @@ class TrieIndex:
     key: tuple[str, str]
     column: str
     data: DataFrame
+    tiles: list
+
+    def rows(self, keep) -> DataFrame:
+        """The rows of the tiles that ``keep`` (of a tile's row) leaves."""
+        return self.data.where(F.col(TILE).isin([t[TILE] for t in self.tiles if keep(t)]))
 
 
 def _key(source: DataFrame, column: str) -> tuple[str, str]:
@@ -36,8 +51,16 @@ def _frame(source: DataFrame | str, spark: SparkSession | None) -> DataFrame:
     return source if isinstance(source, DataFrame) else (spark or SparkSession.active()).table(source)
 
 
+def pivots(column: str, dims: int):
+    """The interior points that lie farthest from the point before them."""
+    step = point_distance(f"{column}[i]", f"{column}[i - 1]", dims)
+    far = f"sort_array(transform(sequence(1, size({column}) - 2), i -> struct({step} AS d, i AS i, {column}[i] AS p)), false)"
+    none = "CAST(array() AS ARRAY<ARRAY<DOUBLE>>)"
+    return F.expr(f"CASE WHEN size({column}) > 2 THEN transform(slice({far}, 1, {PIVOTS}), x -> x.p) ELSE {none} END")
+
+
 def summary(column: str, dims: int):
-    """First and last point, box and number of points of a trajectory."""
+    """First and last point, box, number of points and pivots of a trajectory."""
     axis = lambda k: F.transform(column, lambda p: p[k])
     return F.struct(
         F.get(column, F.lit(0)).alias("first"),
@@ -45,6 +68,7 @@ def summary(column: str, dims: int):
         F.array(*(F.array_min(axis(k)) for k in range(dims))).alias("low"),
         F.array(*(F.array_max(axis(k)) for k in range(dims))).alias("high"),
         F.size(column).alias("points"),
+        pivots(column, dims).alias("pivots"),
     )
 
 
@@ -81,10 +105,20 @@ def create_index(source: DataFrame | str, column: str, name: str, tiles: int = 1
     dims = len(first[0][0]) if first else 2
     kept = usable.withColumn(SUMMARY, summary(column, dims))
     cuts = [tile_cuts(kept, f"{SUMMARY}.{end}", tiles, dims) for end in ("first", "last")]
-    kept = kept.withColumn("__tile", tile(F.col(SUMMARY)["first"], cuts[0]) * F.lit(1000) + tile(F.col(SUMMARY)["last"], cuts[1]))
-    kept = kept.repartitionByRange("__tile").sortWithinPartitions("__tile").persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    _indexes[key] = TrieIndex(name, key, column, kept)
+    last_tiles = 1
+    for own in cuts[1]:
+        last_tiles *= len(own) + 1
+    kept = kept.withColumn(TILE, (tile(F.col(SUMMARY)["first"], cuts[0]) * last_tiles + tile(F.col(SUMMARY)["last"], cuts[1])).cast("int"))
+    session = df.sparkSession
+    path = f"{shared_dir(session)}/wayfold/{session.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    kept.repartition(TILE).write.option("compression", "zstd").partitionBy(TILE).parquet(path)
+    data = session.read.schema(kept.schema).parquet(path)
+    axis = lambda of, end: [of(F.col(SUMMARY)[end][k]) for k in range(dims)]
+    ends = {f"{end}_{side}": F.array(*axis(of, end)) for end in ("first", "last") for side, of in (("low", F.min), ("high", F.max))}
+    ends |= {"low": F.array(*axis(F.min, "low")), "high": F.array(*axis(F.max, "high"))}
+    points = F.col(SUMMARY)["points"]
+    bounds = data.groupBy(TILE).agg(F.count("*").alias("n"), F.min(points).alias("least"), F.max(points).alias("most"), *(c.alias(n) for n, c in ends.items()))
+    _indexes[key] = TrieIndex(name, key, column, data, bounds.collect())  # a row for each tile
 
 
 def lookup(df: DataFrame, column: str) -> TrieIndex | None:
@@ -92,7 +126,9 @@ def lookup(df: DataFrame, column: str) -> TrieIndex | None:
 
 
 def _forget(key: tuple[str, str]) -> None:
-    _indexes.pop(key).data.unpersist()
+    found = _indexes.pop(key)
+    if found.tiles:
+        discard(found.data)
 
 
 def drop_index(source: DataFrame | str, column: str | None = None, name: str | None = None, spark: SparkSession | None = None) -> None:
@@ -120,4 +156,4 @@ def tile_statistics(df: DataFrame, column: str) -> DataFrame:
     found = lookup(df, column)
     if found is None:
         raise ValueError("no index on this column")
-    return found.data.groupBy(F.col("__tile").alias("tile")).agg(F.count("*").alias("n"))
+    return df.sparkSession.createDataFrame([(t[TILE], t["n"]) for t in found.tiles], "tile int, n long")

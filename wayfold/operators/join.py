@@ -3,8 +3,10 @@
 A distance bounds the distance of an anchor: the first point for DTW and
 Frechet, the number of points for EDR and LCSS. So both sides are dealt into
 cells of their anchors, one side into all cells within reach, and joined on the
-cell; then the cheap lower bound, then the exact distance. Each pair meets in
-one cell only.
+cell; then the cheap lower bounds (ends or lengths, then the points of the left
+side against the box of the right one), then the exact distance. Each pair meets
+in one cell only; a cell that holds much more than others is split by adaptive
+execution, as any skewed key of a sort-merge join is.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.distance import DELTA, EPS, check_name, distance, lower_bound_sql
+from wayfold.functions.distance import DELTA, EPS, box_bound, check_name, distance, lower_bound_sql
 
 #: Rows of the right side that are sampled to bound the k-th distance of each left row.
 SEEDS = 256
@@ -47,8 +49,11 @@ def threshold_join(
     """(left_id, right_id, distance) of all pairs within ``bar``."""
     name = check_name(name)
     a, b = _sides(left, right, c1, c2, id1, id2)
+    axes = [F.transform("b", lambda p: p[0]), F.transform("b", lambda p: p[1])]
+    b = b.withColumns({"b_low": F.array(*map(F.array_min, axes)), "b_high": F.array(*map(F.array_max, axes))})
     pairs = _meet(a, b, name, max(float(bar), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
     pairs = pairs.where(F.expr(lower_bound_sql(name, "a", "b")) <= bar)
+    pairs = pairs.where(box_bound(name, "a", [F.col("b_low")[k] for k in (0, 1)], [F.col("b_high")[k] for k in (0, 1)], eps) <= bar * (1 + 1e-9))
     return pairs.select("left_id", "right_id", distance(name, "a", "b", eps, delta).alias("distance")).where(F.col("distance") <= bar)
 
 

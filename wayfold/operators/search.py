@@ -1,12 +1,14 @@
 """Similarity search and range search over a trajectory column.
 
 Null and empty trajectories match nothing. Ties of a nearest-neighbour search
-go to the smaller id. A search over a frame that has an index reads the index's
-persisted columns instead of computing ends and boxes again.
+go to the smaller id. A search over a frame that has an index reads the tiles
+that the query can't be too far from, and their summary columns.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +23,56 @@ def literal(query: list[list[float]]) -> str:
     return "array(" + ", ".join("array(" + ", ".join(f"{float(c)!r}D" for c in p) + ")" for p in query) + ")"
 
 
-def _indexed(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    found = lookup(df, column)
-    return (found.data, True) if found is not None else (df, False)
+def _box_gap(p: list[float], low: list[float], high: list[float]) -> float:
+    """Distance of a point from a box."""
+    return math.sqrt(sum(max(a - c, c - b, 0.0) ** 2 for c, a, b in zip(p, low, high)))
+
 
+def tile_bound(tile, query: list[list[float]], name: str) -> float:
+    """A bound that no trajectory of the tile has a smaller distance than."""
+    if name in ("EDR", "LCSS"):
+        return max(tile["least"] - len(query), len(query) - tile["most"], 0)
+    first, last = (_box_gap(query[k], tile[f"{end}_low"], tile[f"{end}_high"]) for k, end in ((0, "first"), (-1, "last")))
+    return max(first, last) if name == "FRECHET" or (tile["least"] == 1 and len(query) == 1) else first + last
 
-def _pruned(df: DataFrame, column: str, query: list[list[float]], name: str, bar: float, eps: float, indexed: bool) -> DataFrame:
-    """Rows that the lower bounds leave: boxes of the index, then ends, then the query's box."""
+
+def _pivot_bound(query: list[list[float]], name: str, eps: float) -> Column:
+    """What the pivots of a row add to a distance beyond its ends: each is matched with some point of the query, or costs an edit."""
+    dims = len(query[0])
+    points = F.array(*(F.array(*(F.lit(float(c)) for c in p)) for p in query))
+
+    def nearest(p: Column) -> Column:
+        def squared(q: Column) -> Column:
+            terms = [(p[k] - q[k]) * (p[k] - q[k]) for k in range(dims)]
+            return sum(terms[1:], terms[0])
+
+        return F.sqrt(F.array_min(F.transform(points, squared)))
+
+    own, start = F.col(SUMMARY)["pivots"], F.lit(0.0)
+    if name == "DTW":
+        return F.aggregate(own, start, lambda s, p: s + nearest(p))
+    if name == "FRECHET":
+        return F.aggregate(own, start, lambda s, p: F.greatest(s, nearest(p)))
+    return F.aggregate(own, start, lambda s, p: s + F.when(nearest(p) > eps, 1.0).otherwise(0.0))
+
+
+def _pruned(df: DataFrame, column: str, query: list[list[float]], name: str, bar: float, eps: float) -> DataFrame:
+    """Rows that the lower bounds leave: of an index the tiles, boxes, ends and pivots; then ends and box of the query."""
     dims = len(query[0])
     low, high = [min(p[k] for p in query) for k in range(dims)], [max(p[k] for p in query) for k in range(dims)]
-    if indexed and name in ("DTW", "FRECHET"):
-        gap = [F.greatest(F.lit(low[k]) - F.col(SUMMARY)["high"][k], F.col(SUMMARY)["low"][k] - F.lit(high[k]), F.lit(0.0)) for k in range(dims)]
-        df = df.where(F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0])) <= bar)
-    if name in ("EDR", "LCSS") and indexed:
-        df = df.where(F.abs(F.col(SUMMARY)["points"] - len(query)) <= bar)
-    df = df.where(f"size({column}) > 0").where(F.expr(lower_bound_sql(name, column, literal(query), dims)) <= bar)
+    ends = F.expr(lower_bound_sql(name, column, literal(query), dims))
+    found = lookup(df, column)
+    if found is not None:
+        df = found.rows(lambda t: tile_bound(t, query, name) <= bar)
+        if name in ("DTW", "FRECHET"):
+            gap = [F.greatest(F.lit(low[k]) - F.col(SUMMARY)["high"][k], F.col(SUMMARY)["low"][k] - F.lit(high[k]), F.lit(0.0)) for k in range(dims)]
+            df = df.where(F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0])) <= bar)
+        else:
+            df = df.where(F.abs(F.col(SUMMARY)["points"] - len(query)) <= bar)
+        level = _pivot_bound(query, name, eps)
+        # The ends' cost is spent before the pivots are looked at; edits of pivots count by themselves.
+        df = df.where((ends <= bar) & (level <= bar - ends * (1 - 1e-12) + 1e-9 if name == "DTW" else level <= bar))
+    df = df.where(f"size({column}) > 0").where(ends <= bar)
     return df.where(box_bound(name, column, low, high, eps) <= bar)
 
 
@@ -44,8 +81,7 @@ def threshold_search(df: DataFrame, query: list[list[float]], column: str, name:
     name = check_name(name)
     if not query:
         return df.where("false").withColumn("distance", F.lit(None).cast("double"))
-    source, indexed = _indexed(df, column)
-    near = _pruned(source, column, query, name, bar, eps, indexed)
+    near = _pruned(df, column, query, name, bar, eps)
     return near.withColumn("distance", distance_to(name, F.col(column), query, eps, delta)).where(F.col("distance") <= bar).select(*df.columns, "distance")
 
 
@@ -58,13 +94,13 @@ def knn_search(df: DataFrame, query: list[list[float]], column: str, name: str,
     name = check_name(name)
     if not query or k <= 0:
         return df.where("false").withColumn("distance", F.lit(None).cast("double"))
-    source, indexed = _indexed(df, column)
-    whole = source.where(f"size({column}) > 0")
+    found_index = lookup(df, column)
+    whole = (df if found_index is None else found_index.data).where(f"size({column}) > 0")
     bound = F.expr(lower_bound_sql(name, column, literal(query), len(query[0])))
     likely = whole.select(column, bound.alias("bound"), F.col(id_col).alias("id")).orderBy("bound", "id").limit(k)
     found = likely.select(distance_to(name, F.col(column), query, eps, delta).alias("d")).agg(F.max("d").alias("bar"), F.count("d").alias("n")).first()
     if found["n"] >= k:
-        whole = _pruned(source, column, query, name, found["bar"] * (1 + 1e-12), eps, indexed)
+        whole = _pruned(df, column, query, name, found["bar"] * (1 + 1e-12), eps)
     return whole.withColumn("distance", distance_to(name, F.col(column), query, eps, delta)).orderBy("distance", id_col).limit(k).select(*df.columns, "distance")
 
 
@@ -83,9 +119,10 @@ def mbr_range_search(df: DataFrame, low: list[float], high: list[float], column:
             test = test & p[k].between(low[k], high[k])
         return test
 
-    source, indexed = _indexed(df, column)
-    if indexed:
-        box = F.col(SUMMARY)
+    found, source = lookup(df, column), df
+    if found is not None:
+        box, sides = F.col(SUMMARY), ("first_low", "first_high") if mode == "contains" else ("low", "high")
+        source = found.rows(lambda t: all(t[sides[0]][k] <= high[k] and t[sides[1]][k] >= low[k] for k in range(len(low))))
         for k in range(len(low)):
             within = (box["low"][k] >= low[k]) & (box["high"][k] <= high[k]) if mode == "contains" else (box["high"][k] >= low[k]) & (box["low"][k] <= high[k])
             source = source.where(within)
@@ -99,9 +136,10 @@ def circle_range_search(df: DataFrame, centre: list[float], radius: float, colum
         terms = [(p[k] - centre[k]) * (p[k] - centre[k]) for k in range(len(centre))]
         return F.sqrt(sum(terms[1:], terms[0])) <= radius
 
-    source, indexed = _indexed(df, column)
-    if indexed:
-        box = F.col(SUMMARY)
+    found, source = lookup(df, column), df
+    if found is not None:
+        box, sides = F.col(SUMMARY), ("first_low", "first_high") if mode == "contains" else ("low", "high")
+        source = found.rows(lambda t: _box_gap(centre, t[sides[0]], t[sides[1]]) <= radius * (1 + 1e-12))
         for k in range(len(centre)):
             source = source.where((box["low"][k] <= centre[k] + radius) & (box["high"][k] >= centre[k] - radius))
     return source.where(_each(column, inside, mode)).select(*df.columns)

@@ -13,10 +13,11 @@ from wayfold.sources.trajectories import from_events, from_orders, parse, render
 
 QUERY = [[20.0, 5.0], [60.0, 20.0], [30.0, 35.0], [80.0, 50.0], [50.0, 65.0], [20.0, 80.0], [70.0, 95.0]]
 BARS = {"DTW": 260.0, "FRECHET": 48.0, "EDR": 8.0, "LCSS": 8.0}
-JOIN_BARS = {"DTW": 330.0, "FRECHET": 40.0, "EDR": 9.0, "LCSS": 9.0}
-EVENT_BARS = {"DTW": 2600.0, "FRECHET": 150.0}
+#: Bars that less than 1 % of all pairs reach, and wide ones that about half of them do.
+JOIN_BARS = {"DTW": 80.0, "FRECHET": 20.0, "EDR": 1.0, "LCSS": 1.0}
+WIDE_BARS = {"DTW": 330.0, "FRECHET": 40.0, "EDR": 9.0, "LCSS": 9.0}
+EVENT_BARS = {"DTW": 2200.0, "FRECHET": 68.0}
 K = 10
-LEAST = 14  #: Points of a trajectory that takes part in traj_threshold_join_*, as in their SQL; traj_whole_join_* take all.
 
 # ---------------------------------------------------------------- the same in DuckDB
 
@@ -83,20 +84,10 @@ def _knn(name: str):
     return run
 
 
-def _threshold_join(name: str):
+def _threshold_join(name: str, bars: dict[str, float]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = from_orders(spark, sf_dir).where(F.size("traj") >= LEAST)
-        return rounded(join.threshold_join(t, t, "traj", "traj", name, JOIN_BARS[name]))
-
-    return run
-
-
-def _whole_join(name: str):
-    """The same join of all trajectories."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = from_orders(spark, sf_dir)
-        return rounded(join.threshold_join(t, t, "traj", "traj", name, JOIN_BARS[name]))
+        t = materialize(from_orders(spark, sf_dir), "join-orders")
+        return rounded(join.threshold_join(t, t, "traj", "traj", name, bars[name]))
 
     return run
 
@@ -180,16 +171,35 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many trajectories each quantile tile of the first point holds."""
-    o = from_orders(spark, sf_dir).where("size(traj) > 0").withColumn("first", F.col("traj")[0])
-    cuts = index.tile_cuts(o, "first", 16, 2)
-    return o.groupBy(index.tile(F.col("first"), cuts).alias("tile")).agg(F.count("*").alias("n"))
+    """Trajectories in index tiles: none is lost, and quantile cuts keep a first tile within twice its share."""
+    o = from_orders(spark, sf_dir)
+    index.create_index(o, "traj", "tiles_index")
+    try:
+        found = index.tile_statistics(o, "traj").groupBy(F.floor(F.col("tile") / 16).alias("first")).agg(F.sum("n").alias("n"))
+        out = found.agg(F.sum("n").alias("trajectories"), (F.max("n") * 16 <= 2 * F.sum("n")).alias("even"))
+        return materialize(out, "tiles")
+    finally:
+        index.drop_index(o, "traj")
+
+
+def indexed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold and range predicates of SQL text through an index."""
+    s = TrajectorySession(spark)
+    from_orders(spark, sf_dir).createOrReplaceTempView("traj_indexed_orders")
+    s.sql("CREATE TRIE INDEX orders_by_sql ON traj_indexed_orders (traj)")
+    try:
+        near = s.sql(f"SELECT id, 'near' AS kind FROM traj_indexed_orders WHERE DTW(traj, {LITERAL}) <= {BARS['DTW']}")
+        box = s.sql("SELECT id, 'box' AS kind FROM traj_indexed_orders WHERE traj IN MBRRANGE(POINT(0, 0), POINT(70, 95))")
+        circle = s.sql("SELECT id, 'circle' AS kind FROM traj_indexed_orders WHERE traj IN CIRCLERANGE(POINT(50, 50), 50)")
+        return materialize(near.union(box).union(circle), "indexed-sql")
+    finally:
+        s.sql("DROP TRIE INDEX orders_by_sql ON traj_indexed_orders")
 
 
 QUERIES = {f"traj_threshold_search_{n.lower()}": _threshold(n) for n in BARS}
 QUERIES |= {f"traj_knn_search_{n.lower()}": _knn(n) for n in BARS}
-QUERIES |= {f"traj_threshold_join_{n.lower()}": _threshold_join(n) for n in JOIN_BARS}
-QUERIES |= {f"traj_whole_join_{n.lower()}": _whole_join(n) for n in JOIN_BARS}
+QUERIES |= {f"traj_threshold_join_{n.lower()}": _threshold_join(n, JOIN_BARS) for n in JOIN_BARS}
+QUERIES |= {f"traj_whole_join_{n.lower()}": _threshold_join(n, WIDE_BARS) for n in WIDE_BARS}
 QUERIES |= {f"traj_event_join_{n.lower()}": _event_join(n) for n in EVENT_BARS}
 QUERIES |= {f"traj_knn_join_{n.lower()}": _knn_join(n) for n in BARS}
 QUERIES |= {
@@ -202,18 +212,29 @@ QUERIES |= {
     "traj_index_commands": index_commands,
     "traj_text_round_trip": text_round_trip,
     "traj_tiles": tiles,
+    "traj_indexed_sql": indexed_sql,
     "traj_sql_threshold": _sql(f"SELECT id FROM traj_orders WHERE DTW(traj_orders.traj, {LITERAL}) <= {BARS['DTW']}"),
     "traj_sql_knn_count": _sql(f"SELECT COUNT(*) AS n FROM traj_orders WHERE DTW(traj_orders.traj, {LITERAL}) KNN {K}"),
-    "traj_sql_join_count": _sql("SELECT COUNT(*) AS n FROM traj_events a JOIN traj_events b ON FRECHET(a.traj, b.traj) <= 200.0"),
+    "traj_sql_join_count": _sql("SELECT COUNT(*) AS n FROM traj_events a JOIN traj_events b ON FRECHET(a.traj, b.traj) <= 68.0"),
     "traj_sql_knn_join_count": _sql("SELECT COUNT(*) AS n FROM traj_events a JOIN traj_events b ON DTW(a.traj, b.traj) KNN 3"),
     "traj_sql_mbr_range": _sql("SELECT id FROM traj_orders WHERE traj_orders.traj IN MBRRANGE(POINT(0, 0), POINT(70, 95))"),
     "traj_sql_circle_range": _sql("SELECT id FROM traj_orders WHERE traj_orders.traj IN CIRCLERANGE(POINT(50, 50), 50)"),
 }
 
 
-def _join_sql(name: str, table: str, bar: float, where: str = "true") -> str:
-    return f"""WITH t AS MATERIALIZED (SELECT * FROM ({table}) WHERE {where}),
-        near AS MATERIALIZED (SELECT x.id AS left_id, y.id AS right_id, x.traj AS a, y.traj AS b FROM t x JOIN t y ON {duck_bound(name, 'x.traj', 'y.traj')} <= {bar}),
+def duck_nearest(name: str, a: str, b: str, bar: float) -> str:
+    """A condition that every pair within the bar meets: each point of one side is near some point of the other, or costs an edit."""
+    least = f"sqrt(list_min(list_transform({b}, lambda r: (p[1] - r[1]) * (p[1] - r[1]) + (p[2] - r[2]) * (p[2] - r[2]))))"
+    if name in ("DTW", "FRECHET"):
+        return f"list_{'sum' if name == 'DTW' else 'max'}(list_transform({a}, lambda p: {least})) <= {bar} + 1e-6"
+    return f"len(list_filter({a}, lambda p: {least} > {EPS} + 1e-9)) <= {bar}"
+
+
+def _join_sql(name: str, table: str, bar: float) -> str:
+    return f"""WITH t AS MATERIALIZED ({table}),
+        ends AS MATERIALIZED (SELECT x.id AS left_id, y.id AS right_id, x.traj AS a, y.traj AS b FROM t x JOIN t y ON {duck_bound(name, 'x.traj', 'y.traj')} <= {bar}),
+        one AS MATERIALIZED (SELECT * FROM ends WHERE {duck_nearest(name, 'a', 'b', bar)}),
+        near AS MATERIALIZED (SELECT * FROM one WHERE {duck_nearest(name, 'b', 'a', bar)}),
         d AS (SELECT left_id, right_id, {duck_distance(name, 'a', 'b')} AS distance FROM near)
         SELECT left_id, right_id, round(distance, 6) AS distance FROM d WHERE distance <= {bar}"""
 
@@ -230,13 +251,15 @@ for _n in BARS:
     _m = MEASURED.format(d=duck_distance(_n, "traj", "q"), q=DUCK_QUERY, t=ORDERS)
     SQL[f"traj_threshold_search_{_n.lower()}"] = f"SELECT id, round(distance, 6) AS distance FROM ({_m}) WHERE distance <= {BARS[_n]}"
     SQL[f"traj_knn_search_{_n.lower()}"] = f"SELECT id, round(distance, 6) AS distance FROM (SELECT * FROM ({_m}) ORDER BY distance, id LIMIT {K})"
-    SQL[f"traj_threshold_join_{_n.lower()}"] = _join_sql(_n, ORDERS, JOIN_BARS[_n], f"len(traj) >= {LEAST}")
+    SQL[f"traj_threshold_join_{_n.lower()}"] = _join_sql(_n, ORDERS, JOIN_BARS[_n])
     SQL[f"traj_knn_join_{_n.lower()}"] = f"""WITH t AS MATERIALIZED ({ORDERS}),
         d AS (SELECT left_id, right_id, {duck_distance(_n, 'a', 'b')} AS distance
               FROM (SELECT x.id AS left_id, y.id AS right_id, x.traj AS a, y.traj AS b FROM t x, t y WHERE x.id % 50 = 0))
         SELECT left_id, right_id, round(distance, 6) AS distance FROM d
         QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) <= 3"""
-# The joins of whole event trajectories and of all order trajectories have no SQL; tests hold them against brute force.
+for _n in EVENT_BARS:
+    SQL[f"traj_event_join_{_n.lower()}"] = _join_sql(_n, EVENTS, EVENT_BARS[_n])
+# The joins with wide bars have no SQL; tests hold the operator against brute force.
 _dtw = SQL["traj_threshold_search_dtw"]
 SQL |= {
     "traj_all_distances": "SELECT id, "
@@ -247,10 +270,13 @@ SQL |= {
     "traj_circle_range": _range_sql(f"{duck_point('p', '[50, 50]')} <= 50"),
     "traj_circle_intersects": _range_sql(f"{duck_point('p', '[50, 50]')} <= 5", "any"),
     "traj_indexed_search": _dtw,
+    "traj_tiles": f"SELECT count(*) AS trajectories, true AS even FROM ({ORDERS})",
+    "traj_indexed_sql": f"SELECT id, 'near' AS kind FROM ({_dtw}) UNION ALL SELECT id, 'box' FROM ({_range_sql('p[1] BETWEEN 0 AND 70 AND p[2] BETWEEN 0 AND 95')}) UNION ALL SELECT id, 'circle' FROM ({_range_sql(duck_point('p', '[50, 50]') + ' <= 50')})",
     "traj_index_commands": "SELECT 'traj_index' AS index",
     "traj_text_round_trip": f"SELECT id, len(traj) AS points, round(list_sum(flatten(traj)), 6) AS total FROM ({ORDERS})",
     "traj_sql_threshold": f"SELECT id FROM ({_dtw})",
     "traj_sql_knn_count": f"SELECT {K} AS n",
+    "traj_sql_join_count": f"SELECT count(*) AS n FROM ({_join_sql('FRECHET', EVENTS, 68.0)})",
     "traj_sql_knn_join_count": "SELECT 3 * count(DISTINCT user_id) AS n FROM events",
     "traj_sql_mbr_range": _range_sql("p[1] BETWEEN 0 AND 70 AND p[2] BETWEEN 0 AND 95"),
     "traj_sql_circle_range": _range_sql(f"{duck_point('p', '[50, 50]')} <= 50"),

@@ -51,7 +51,7 @@ def threshold_join(
     a, b = _sides(left, right, c1, c2, id1, id2)
     axes = [F.transform("b", lambda p: p[0]), F.transform("b", lambda p: p[1])]
     b = b.withColumns({"b_low": F.array(*map(F.array_min, axes)), "b_high": F.array(*map(F.array_max, axes))})
-    pairs = _meet(a, b, name, max(float(bar), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
+    pairs = _meet(a, b, name, max(float(bar) / (2 if name in ("DTW", "FRECHET") else 1), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
     pairs = pairs.where(F.expr(lower_bound_sql(name, "a", "b")) <= bar)
     pairs = pairs.where(box_bound(name, "a", [F.col("b_low")[k] for k in (0, 1)], [F.col("b_high")[k] for k in (0, 1)], eps) <= bar * (1 + 1e-9))
     return pairs.select("left_id", "right_id", distance(name, "a", "b", eps, delta).alias("distance")).where(F.col("distance") <= bar)

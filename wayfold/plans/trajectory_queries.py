@@ -14,7 +14,7 @@ from wayfold.sources.trajectories import from_events, from_orders, parse, render
 QUERY = [[20.0, 5.0], [60.0, 20.0], [30.0, 35.0], [80.0, 50.0], [50.0, 65.0], [20.0, 80.0], [70.0, 95.0]]
 BARS = {"DTW": 260.0, "FRECHET": 48.0, "EDR": 8.0, "LCSS": 8.0}
 #: Bars that less than 1 % of all pairs reach, and wide ones that about half of them do.
-JOIN_BARS = {"DTW": 80.0, "FRECHET": 20.0, "EDR": 1.0, "LCSS": 1.0}
+JOIN_BARS = {"DTW": 50.0, "FRECHET": 20.0, "EDR": 1.0, "LCSS": 1.0}
 WIDE_BARS = {"DTW": 330.0, "FRECHET": 40.0, "EDR": 9.0, "LCSS": 9.0}
 EVENT_BARS = {"DTW": 2200.0, "FRECHET": 68.0}
 K = 10

@@ -5,8 +5,7 @@ Frechet, the number of points for EDR and LCSS. So both sides are dealt into
 cells of their anchors, one side into all cells within reach, and joined on the
 cell; then the cheap lower bounds (ends or lengths, then the points of the left
 side against the box of the right one), then the exact distance. Each pair meets
-in one cell only; a cell that holds much more than others is split by adaptive
-execution, as any skewed key of a sort-merge join is.
+in one part of one cell only: each cell's right side is dealt into ``SALTS`` parts.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from wayfold.functions.distance import DELTA, EPS, box_bound, check_name, distan
 
 #: Rows of the right side that are sampled to bound the k-th distance of each left row.
 SEEDS = 256
+#: Parts of each cell's right side, so that a crowded cell is the work of several tasks.
+SALTS = 8
 
 
 def _sides(left: DataFrame, right: DataFrame, c1: str, c2: str, id1: str, id2: str) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,11 @@ def _meet(a: DataFrame, b: DataFrame, name: str, side: float, reach) -> DataFram
         a = a.withColumn(f"c{k}", F.explode(F.sequence(lo, hi)))
         b = b.withColumn(f"c{k}", F.floor(y / side))
         keys.append(f"c{k}")
-    return a.join(b, keys).drop(*keys)
+    # A few bytes make many pairs: without a fixed number of partitions adaptive execution would join them in one task.
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(parts, *keys, "salt")
+    b = b.withColumn("salt", F.pmod(F.xxhash64("right_id"), F.lit(SALTS)).cast("int")).repartition(parts, *keys, "salt")
+    return a.hint("merge").join(b, [*keys, "salt"]).drop(*keys, "salt")
 
 
 def threshold_join(
@@ -51,7 +56,7 @@ def threshold_join(
     a, b = _sides(left, right, c1, c2, id1, id2)
     axes = [F.transform("b", lambda p: p[0]), F.transform("b", lambda p: p[1])]
     b = b.withColumns({"b_low": F.array(*map(F.array_min, axes)), "b_high": F.array(*map(F.array_max, axes))})
-    pairs = _meet(a, b, name, max(float(bar) / (2 if name in ("DTW", "FRECHET") else 1), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
+    pairs = _meet(a, b, name, max(float(bar), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
     pairs = pairs.where(F.expr(lower_bound_sql(name, "a", "b")) <= bar)
     pairs = pairs.where(box_bound(name, "a", [F.col("b_low")[k] for k in (0, 1)], [F.col("b_high")[k] for k in (0, 1)], eps) <= bar * (1 + 1e-9))
     return pairs.select("left_id", "right_id", distance(name, "a", "b", eps, delta).alias("distance")).where(F.col("distance") <= bar)

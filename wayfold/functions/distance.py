@@ -21,6 +21,8 @@ NAMES = ("DTW", "FRECHET", "EDR", "LCSS")
 EPS, DELTA = 25.0, 8
 #: Doubles of point distances that are held at once.
 HELD = 4_000_000
+#: Left rows whose ends are held against those of all right rows at once.
+STRIP = 256
 
 
 def check_name(name: str) -> str:
@@ -105,6 +107,115 @@ def _programme(name: str, x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.nda
         prev = row
     return np.maximum(m, n) - out if name == "LCSS" else out
 
+def _ends_bound(name: str, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The bound of ``lower_bound_sql`` for all pairs of some rows."""
+    (pa_, sa, na), (pb, sb, nb) = a, b
+    if name in ("EDR", "LCSS"):
+        return np.abs(na[rows][:, None] - nb[columns])
+
+    def gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = x[:, None, :] - y
+        return np.sqrt((d * d).sum(axis=2))
+
+    first = gap(pa_[sa[rows]], pb[sb[columns]])
+    last = gap(pa_[sa[rows] + na[rows] - 1], pb[sb[columns] + nb[columns] - 1])
+    if name == "FRECHET":
+        return np.maximum(first, last)
+    return np.where((na[rows][:, None] == 1) & (nb[columns] == 1), first, first + last)
+
+
+def pairs_within(name: str, a: pa.Array, b: pa.Array, bar: float, eps: float = EPS, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of a row of ``a`` and a row of ``b``: the places and the distance of those within ``bar``.
+
+    The ends or lengths drop most pairs, strip by strip; the programme leaves
+    each of the others as soon as it can't end within the bar.
+    """
+    left, right = _points(a), _points(b)
+    na, nb = left[2], right[2]
+    rows, columns = np.flatnonzero(na > 0), np.flatnonzero(nb > 0)
+    rows = rows[np.argsort(na[rows], kind="stable")]
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(rows), STRIP):
+        strip = rows[at : at + STRIP]
+        i, j = np.nonzero(_ends_bound(name, left, right, strip, columns) <= bar * (1 + 1e-9))
+        i, j = strip[i], columns[j]
+        order = np.argsort(nb[j], kind="stable")  # alike lengths together
+        i, j = i[order], j[order]
+        sizes, start = nb[j], 0
+        while start < len(j):
+            stop = int(np.searchsorted(sizes, 2 * sizes[start] + 4, "right"))
+            stop = min(stop, start + max(1, HELD // int(sizes[stop - 1])))
+            place, d = _programme_within(name, left, right, i[start:stop], j[start:stop], bar, eps, delta)
+            found.append((i[start:stop][place], j[start:stop][place], d))
+            start = stop
+    i, j, d = (np.concatenate(part) for part in zip(*found))
+    return i, j, d
+
+
+def _programme_within(
+    name: str, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, bar: float, eps: float, delta: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some pairs are within the bar, and their distances.
+
+    After each row of the programme the pairs go whose best cell is over the
+    bar. A pair within the bar of EDR or LCSS leaves at most ``bar`` points of
+    either side alone, so only cells that near the diagonal count.
+    """
+    xs, ys = a[0].T.copy(), b[0].T.copy()
+    at, to, m, n = a[1][i], b[1][j], a[2][i], b[2][j]
+    edit, far = name in ("EDR", "LCSS"), -np.inf if name == "LCSS" else np.inf
+    columns, place, loose = int(n.max()), np.arange(len(i)), bar * (1 + 1e-9)
+    band = int(min(max(bar, 0), columns + int(m.max()))) if edit else 0
+    kept, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    # Cell k of a row stands for the first k points of the right side; cell 0 is the edge.
+    prev = [np.full(len(i), float(k) if name == "EDR" else 0.0) if k <= band else far for k in range(columns + 1)] if edit else []
+    for r in range(int(m.max())):
+        if not len(place):
+            break
+        p = xs[:, at + r]
+        low, high = (max(1, r + 1 - band), min(columns, r + 1 + band)) if edit else (1, columns)
+        row = [far] * (columns + 1)
+        if edit and r + 1 <= band:
+            row[0] = np.full(len(place), float(r + 1) if name == "EDR" else 0.0)
+        for k in range(low, high + 1):
+            q = ys[:, to + np.minimum(k, n) - 1]
+            c = p[0] - q[0]
+            c = c * c
+            for x, y in zip(p[1:], q[1:]):
+                c += (x - y) * (x - y)
+            c = np.sqrt(c)
+            if name == "EDR":
+                row[k] = np.minimum(np.minimum(prev[k - 1] + (c > eps), prev[k] + 1), row[k - 1] + 1)
+            elif name == "LCSS":
+                skip = np.maximum(prev[k], row[k - 1])
+                row[k] = np.where(c <= eps, np.maximum(prev[k - 1] + 1, skip), skip) if abs(r + 1 - k) <= delta else np.broadcast_to(skip, c.shape)
+            else:
+                if r and k > 1:
+                    best = np.minimum(np.minimum(prev[k], prev[k - 1]), row[k - 1])
+                else:
+                    best = prev[1] if r else row[k - 1] if k > 1 else 0.0
+                row[k] = c + best if name == "DTW" else np.maximum(c, best)
+        open_ = np.zeros(len(place), bool)
+        ended = m == r + 1
+        for k in range(0 if edit and r + 1 <= band else low, high + 1):
+            if name == "LCSS":
+                open_ |= np.maximum(m, n) - (row[k] + np.minimum(m - r - 1, n - k)) <= loose
+            else:
+                open_ |= row[k] <= loose
+            done = np.flatnonzero(ended & (n == k))
+            if len(done):
+                d = np.maximum(m[done], n[done]) - row[k][done] if name == "LCSS" else row[k][done]
+                within = d <= bar
+                kept.append(place[done[within]])
+                values.append(d[within])
+        open_ &= ~ended
+        if open_.all():
+            prev = row
+        else:
+            at, to, m, n, place = at[open_], to[open_], m[open_], n[open_], place[open_]
+            prev = [cell[open_] if isinstance(cell, np.ndarray) else cell for cell in row]
+    return np.concatenate(kept), np.concatenate(values)
+
 
 def distance(name: str, a: Column | str, b: Column | str, eps: float = EPS, delta: int = DELTA) -> Column:
     """Arrow function of two trajectory columns."""

@@ -3,22 +3,28 @@
 A distance bounds the distance of an anchor: the first point for DTW and
 Frechet, the number of points for EDR and LCSS. So both sides are dealt into
 cells of their anchors, one side into all cells within reach, and joined on the
-cell; then the cheap lower bounds (ends or lengths, then the points of the left
-side against the box of the right one), then the exact distance. Each pair meets
-in one part of one cell only: each cell's right side is dealt into ``SALTS`` parts.
+cell; then the cheap lower bounds (ends or lengths), then the exact distance.
+Each pair meets in one part of one cell only. A threshold join deals both sides
+of a cell into parts of about ``BLOCK`` rows by their number, and part meets part
+in one bounded call; rows that are alike in id and points share a part. A nearest
+join deals each cell's right side into ``SALTS`` parts.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wayfold.functions.distance import DELTA, EPS, box_bound, check_name, distance, lower_bound_sql
+from wayfold.functions.distance import DELTA, EPS, check_name, distance, lower_bound_sql, pairs_within
 
 #: Rows of the right side that are sampled to bound the k-th distance of each left row.
 SEEDS = 256
 #: Parts of each cell's right side, so that a crowded cell is the work of several tasks.
 SALTS = 8
+#: Rows of either side of a cell that meet in one call.
+BLOCK = 1024
 
 
 def _sides(left: DataFrame, right: DataFrame, c1: str, c2: str, id1: str, id2: str) -> tuple[DataFrame, DataFrame]:
@@ -33,14 +39,20 @@ def _anchor(name: str, column: str) -> list:
     return [F.size(column).cast("double")]
 
 
-def _meet(a: DataFrame, b: DataFrame, name: str, side: float, reach) -> DataFrame:
-    """Pairs whose anchors are within ``reach`` (a column of the left side) along each axis, by cells of ``side``."""
+def _cells(a: DataFrame, b: DataFrame, name: str, side: float, reach) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The left side in all cells of ``side`` within ``reach`` (a column of it) of its anchor, the right side in its own, and the cells' columns."""
     keys = []
     for k, (x, y) in enumerate(zip(_anchor(name, "a"), _anchor(name, "b"))):
         lo, hi = F.floor((x - reach) / side), F.floor((x + reach) / side)
         a = a.withColumn(f"c{k}", F.explode(F.sequence(lo, hi)))
         b = b.withColumn(f"c{k}", F.floor(y / side))
         keys.append(f"c{k}")
+    return a, b, keys
+
+
+def _meet(a: DataFrame, b: DataFrame, name: str, side: float, reach) -> DataFrame:
+    """Pairs whose anchors are within ``reach`` along each axis."""
+    a, b, keys = _cells(a, b, name, side, reach)
     # A few bytes make many pairs: without a fixed number of partitions adaptive execution would join them in one task.
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(parts, *keys, "salt")
@@ -54,12 +66,25 @@ def threshold_join(
     """(left_id, right_id, distance) of all pairs within ``bar``."""
     name = check_name(name)
     a, b = _sides(left, right, c1, c2, id1, id2)
-    axes = [F.transform("b", lambda p: p[0]), F.transform("b", lambda p: p[1])]
-    b = b.withColumns({"b_low": F.array(*map(F.array_min, axes)), "b_high": F.array(*map(F.array_max, axes))})
-    pairs = _meet(a, b, name, max(float(bar), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
-    pairs = pairs.where(F.expr(lower_bound_sql(name, "a", "b")) <= bar)
-    pairs = pairs.where(box_bound(name, "a", [F.col("b_low")[k] for k in (0, 1)], [F.col("b_high")[k] for k in (0, 1)], eps) <= bar * (1 + 1e-9))
-    return pairs.select("left_id", "right_id", distance(name, "a", "b", eps, delta).alias("distance")).where(F.col("distance") <= bar)
+    a, b, keys = _cells(a, b, name, max(float(bar), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
+    blocks = [side.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias(n)) for side, n in ((a, "a_blocks"), (b, "b_blocks"))]
+    blocks = blocks[0].join(blocks[1], keys)
+    parts = 4 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes make much work
+    own = lambda of, n: F.pmod(F.xxhash64(*of), n)
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(blocks, keys).select("left_id", "a", *keys, own(["left_id", "a"], F.col("a_blocks")).alias("i"), all_("b_blocks").alias("j"))
+    b = b.join(blocks, keys).select("right_id", "b", *keys, all_("a_blocks").alias("i"), own(["right_id", "b"], F.col("b_blocks")).alias("j"))
+    keys = [*keys, "i", "j"]
+    schema = StructType([a.schema["left_id"], b.schema["right_id"], StructField("distance", DoubleType())])
+
+    def matched(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"left_id": [], "right_id": [], "distance": []})
+        i, j, d = pairs_within(name, x["a"], y["b"], bar, eps, delta)
+        return pa.table({"left_id": x["left_id"].take(pa.array(i)), "right_id": y["right_id"].take(pa.array(j)), "distance": d})
+
+    a, b = (side.repartition(parts, *keys).groupBy(*keys) for side in (a, b))
+    return a.cogroup(b).applyInArrow(matched, schema)
 
 
 def knn_join(

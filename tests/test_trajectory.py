@@ -111,13 +111,192 @@ def orders(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_registered_joins(spark, orders, name):
-    """The joins named in QUERIES, of all trajectories, with the narrow and the wide bar."""
+    """The joins named in QUERIES, of all trajectories."""
     path, t = orders
-    all_ = {(i, j): 0.0 if i == j else brute(name, t[i], t[j]) for i in t for j in t}
-    for query, bars in ((f"traj_threshold_join_{name.lower()}", queries.JOIN_BARS), (f"traj_whole_join_{name.lower()}", queries.WIDE_BARS)):
+    all_ = {(i, j): brute(name, t[i], t[j]) for i in t for j in t if i != j}
+    for query, pairs in ((f"traj_threshold_join_{name.lower()}", lambda i, j: i < j), (f"traj_whole_join_{name.lower()}", lambda i, j: i % 2 < j % 2)):
         got = {(r[0], r[1]): r[2] for r in queries.QUERIES[query](spark, path).collect()}
-        assert got == {k: pytest.approx(d, abs=1e-6) for k, d in all_.items() if d <= bars[name]}
-        assert (0, 0) in got
+        assert got == {k: pytest.approx(d, abs=1e-6) for k, d in all_.items() if d <= queries.JOIN_BARS[name] and pairs(*k)}
+
+
+def test_joins_of_repeated_and_null_ids(spark):
+    """Rows count by themselves: k for each left row, whatever its id."""
+    rows = [(i % 3 if i % 5 else None, t) for i, t in sample(3, 25)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    usable = [(i, t) for i, t in rows if t]
+    near = join.knn_join(frame, frame, "traj", "traj", "DTW", 4).collect()
+    assert len(near) == 4 * len(usable)
+    key = lambda i: (i is None, i or 0)
+    want = sorted((key(i), d) for i, t in usable for d in sorted(brute("DTW", t, u) for _, u in usable)[:4])
+    assert sorted((key(r[0]), r[2]) for r in near) == want
+    got = sorted((key(r[0]), key(r[1]), r[2]) for r in join.threshold_join(frame, frame, "traj", "traj", "FRECHET", 50.0).collect())
+    assert got == sorted((key(i), key(j), d) for i, t in usable for j, u in usable if (d := brute("FRECHET", t, u)) <= 50)
+
+
+def test_nearest_join_with_outliers(spark, monkeypatch):
+    """Left rows far from all others, one of them ten thousand times as far as the rest lie apart."""
+    r = random.Random(9)
+    near = lambda i: (i, [[r.uniform(0, 1), r.uniform(0, 1)] for _ in range(3)])
+    right = [near(i) for i in range(60)]
+    left = [near(100 + i) for i in range(50)] + [(200, [[400.0, 400.0]]), (201, [[1e4, -1e4], [1e4, -1e4]])]
+    monkeypatch.setattr(index, "TILE_ROWS", 5)
+    monkeypatch.setattr(join, "BLOCK", 4)
+    for name in NAMES:
+        found = join.knn_join(*(spark.createDataFrame(x, SCHEMA) for x in (left, right)), "traj", "traj", name, 3).collect()
+        want = sorted(x for i, t in left for x in sorted((i, brute(name, t, u), j) for j, u in right)[:3])
+        assert sorted((x[0], x[2], x[1]) for x in found) == want
+    few = join.knn_join(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right[:2], SCHEMA), "traj", "traj", "DTW", 5)
+    assert few.count() == 2 * len(left)
+
+
+@pytest.mark.parametrize("dims", [1, 3])
+def test_other_dimensions(spark, dims):
+    r = random.Random(dims)
+    rows = [(i, [[r.uniform(0, 50) for _ in range(dims)] for _ in range(r.randint(1, 6))]) for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    far = lambda a, b: frechet(a, b)
+
+    def frechet(a, b):
+        t = {}
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                near = [t[x] for x in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if x in t] or [0.0]
+                t[i, j] = max(math.dist(p, q), min(near))
+        return t[len(a) - 1, len(b) - 1]
+
+    want = {(i, j): far(t, u) for i, t in rows for j, u in rows}
+    got = {(x[0], x[1]): x[2] for x in join.threshold_join(frame, frame, "traj", "traj", "FRECHET", 20.0).collect()}
+    assert got == {k: pytest.approx(d) for k, d in want.items() if d <= 20}
+    index.create_index(frame, "traj", "dims")
+    try:
+        found = search.threshold_search(frame, rows[3][1], "traj", "FRECHET", 20.0).collect()
+        assert {x["id"] for x in found} == {j for (i, j), d in want.items() if i == 3 and d <= 20}
+    finally:
+        index.drop_index(frame, "traj")
+
+
+def test_points_of_mixed_dimensions_are_refused(spark):
+    frame = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, [[1.0, 2.0, 3.0, 4.0]])], SCHEMA).coalesce(1)
+    with pytest.raises(Exception, match="one number of coordinates"):
+        frame.select(distance("DTW", "traj", "traj")).collect()
+
+
+def test_tiles_are_even(spark):
+    """Along a diagonal, in clusters and all over: no tile holds over twice its share; coinciding points share one."""
+    import numpy as np
+
+    from wayfold.operators.tiling import fan_outs, tiling
+
+    r = np.random.default_rng(1)
+    line = r.uniform(0, 1, 20_000)
+    shapes = [np.stack([line, line + r.normal(0, 1e-4, len(line))], 1), r.normal(0, 1, (20_000, 2)) + 50 * r.integers(0, 3, (20_000, 1)), r.uniform(0, 1, (20_000, 2))]
+    for points in shapes:
+        for tiles in (1, 7, 16, 100):
+            own = tiling(points, tiles, [2]).place(points)
+            n = np.bincount(own)
+            assert n.max() * len(n) <= 2 * len(points) and tiles <= len(n) <= max(2 * tiles, 1)
+    assert fan_outs(27, [3]) == [3, 3, 3] and fan_outs(16, [2, 2]) == [2, 2, 2, 2] and fan_outs(1, [2]) == [1, 1]
+    same = np.full((100, 2), 7.0)
+    assert set(tiling(same, 16, [2]).place(same)) == {0}
+    assert tiling(np.zeros((0, 2)), 16, [2]).place(np.array([[3.0, np.nan]])).tolist() == [0]
+    cut = tiling(np.array([[0.0], [1.0], [2.0], [3.0]]), 2, [1])
+    assert cut.place(np.array([[1.9], [2.0], [-9.0], [np.inf]])).tolist() == [0, 1, 0, 1]
+
+
+def test_pivot_levels_cut_the_folders_read(spark):
+    """Trajectories with the same ends and different ways between them: only the pivots tell their tiles apart."""
+    r = random.Random(2)
+    rows = []
+    for i in range(600):
+        x, y = r.choice([(0, 90), (90, 0), (90, 90), (45, 45)])
+        rows.append((i, [[r.random(), r.random()], [x + r.random(), y + r.random()], [x + 2 * r.random(), y + r.random()], [5 + r.random(), 5 + r.random()]]))
+    frame, query = spark.createDataFrame(rows, SCHEMA), rows[0][1]
+    index.create_index(frame, "traj", "ways", 16)
+    try:
+        tiles = index.lookup(frame, "traj").tiles
+        for name, bar in (("DTW", 30.0), ("FRECHET", 20.0), ("EDR", 0.0), ("LCSS", 0.0)):
+            by_ends, by_all = ([t for t in tiles if search.tile_bound(t, query, name, bar, levels=n) <= bar] for n in (2, 3))
+            assert 0 < len(by_all) <= len(by_ends) / 2
+            got = {x["id"] for x in search.threshold_search(frame, query, "traj", name, bar).collect()}
+            assert got == {i for i, t in rows if brute(name, t, query) <= bar} and got
+    finally:
+        index.drop_index(frame, "traj")
+
+
+def test_tile_pairs_that_cannot_join_never_meet(spark):
+    """Bounds of pairs of tiles lie below every distance of their rows, and far tiles are left out."""
+    r = random.Random(6)
+    walk = lambda x, y: [[x + r.uniform(0, 3) * k, y + r.uniform(0, 3) * k] for k in range(5)]
+    rows = [(i, walk(r.uniform(0, 900), r.uniform(0, 900))) for i in range(150)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index.create_index(frame, "traj", "pairs", 32)
+    try:
+        side = index.lookup(frame, "traj")
+        tile = {x["id"]: [t[index.TILE] for t in side.tiles].index(x[index.TILE]) for x in side.data.select("id", index.TILE).collect()}
+        for name in NAMES:
+            bounds = join.tile_distances(side, side, name, EPS)
+            for i, t in rows[:40]:
+                for j, u in rows[:40]:
+                    assert bounds[tile[i], tile[j]] <= brute(name, t, u) + 1e-6
+        assert (join.tile_distances(side, side, "DTW", EPS) <= 30).mean() < 0.3
+        got = {(x[0], x[1]) for x in join.threshold_join(frame, frame, "traj", "traj", "DTW", 90.0).collect()}
+        assert got == {(i, j) for i, t in rows for j, u in rows if brute("DTW", t, u) <= 90}
+    finally:
+        index.drop_index(frame, "traj")
+
+
+def test_index_knows_its_files(spark, tmp_path):
+    """After an append the index isn't used; made anew it holds the new rows."""
+    path = str(tmp_path / "t")
+    here, there = [[10.0, 10.0], [50.0, 60.0]], [[900.0, 900.0]]
+    spark.createDataFrame([(1, here), (2, there)], SCHEMA).write.parquet(path)
+    find = lambda: sorted(x["id"] for x in search.threshold_search(spark.read.parquet(path), here, "traj", "DTW", 5.0).collect())
+    index.create_index(spark.read.parquet(path), "traj", "files")
+    assert index.lookup(spark.read.parquet(path), "traj") is not None and find() == [1]
+    spark.createDataFrame([(3, here), (4, there)], SCHEMA).write.mode("append").parquet(path)
+    assert index.lookup(spark.read.parquet(path), "traj") is None and find() == [1, 3]
+    index.create_index(spark.read.parquet(path), "traj", "files")
+    assert index.lookup(spark.read.parquet(path), "traj") is not None and find() == [1, 3]
+    spark.createDataFrame([(5, here)], SCHEMA).write.mode("overwrite").parquet(path)
+    assert find() == [5]
+    index.drop_index(spark.read.parquet(path), "traj")
+    assert index.show_indexes(spark).count() == 0
+
+
+def test_sql_by_row_with_and_without_index(spark):
+    """Repeated and null ids give the same rows with an index as without."""
+    here, there = [[10.0, 10.0], [50.0, 60.0]], [[90.0, 90.0]]
+    spark.createDataFrame([(1, here), (1, there), (2, here), (None, here), (None, there), (3, []), (4, None)], SCHEMA).createOrReplaceTempView("by_row")
+    s, q = TrajectorySession(spark), "TRAJECTORY(POINT(10, 10), POINT(50, 60))"
+    texts = {
+        f"SELECT id FROM by_row WHERE DTW(traj, {q}) <= 1": [1, 2, None],
+        f"SELECT id FROM by_row t WHERE 1 >= DTW(t.traj, {q}) AND t.id BETWEEN 0 AND 1": [1],
+        f"SELECT id FROM by_row WHERE FRECHET(traj, {q}) < 0": [],
+        f"SELECT id FROM by_row WHERE DTW(traj, {q}) <= 1 OR id = 3": [1, 2, 3, None],
+        f"SELECT id FROM by_row WHERE NOT (DTW(traj, {q}) <= 1)": [1, None],
+        f"SELECT id FROM by_row WHERE DTW(traj, {q}) KNN 3": [1, 2, None],
+        f"SELECT id FROM by_row WHERE DTW(traj, {q}) KNN 3 AND id > 0 ORDER BY id": [1, 2],
+        "SELECT id FROM by_row WHERE traj IN MBRRANGE(POINT(0, 0), POINT(60, 60))": [1, 2, None],
+        "SELECT id FROM by_row WHERE traj IN CIRCLERANGE(POINT(90, 90), 1) AND id IS NULL": [None],
+        f"SELECT count(*) FROM (SELECT id FROM by_row WHERE DTW(traj, {q}) <= 1) t": [3],
+        f"SELECT id FROM by_row WHERE DTW(traj, {q}) <= 1 UNION ALL SELECT id FROM by_row WHERE EDR(traj, {q}) KNN 1": [1, 1, 2, None],
+        f"WITH by_row AS (SELECT 9 AS id, {q} AS traj) SELECT id FROM by_row WHERE DTW(traj, {q}) <= 1": [9],
+    }
+    key = lambda x: (x is None, x or 0)
+    joined = "SELECT * FROM by_row a JOIN by_row b ON DTW(a.traj, b.traj) <= 1"
+    for made in (False, True):
+        if made:
+            s.sql("CREATE TRIE INDEX rows_ ON by_row (traj)")
+        for text, want in texts.items():
+            assert sorted((x[0] for x in s.sql(text).collect()), key=key) == want, (made, text)
+        pairs = s.sql(joined)
+        assert pairs.columns == ["id", "traj", "id", "traj"] and pairs.count() == 9 + 4
+        assert s.sql(joined.replace("<=", "<").replace("<= 1", "< 1")).count() == 13
+        assert s.sql(joined.replace("<= 1", "KNN 2")).count() == 10
+    s.sql("DROP TRIE INDEX rows_ ON by_row")
+    for text in (f"SELECT id FROM by_row WHERE DTW(traj, {q}) KNN 3 OR id = 1", f"SELECT DTW(traj, {q}) KNN 3 FROM by_row", f"SELECT id FROM (SELECT * FROM by_row) t WHERE DTW(t.traj, {q}) KNN 3"):
+        with pytest.raises(ValueError):
+            s.sql(text)
 
 
 @pytest.mark.parametrize("indexed", [False, True])

@@ -42,6 +42,8 @@ def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = column.flatten()
     flat = np.asarray(inner.flatten().fill_null(np.nan), dtype=float)
     width = len(flat) // len(inner) if len(inner) else 1
+    if len(inner) and not np.all(np.asarray(inner.value_lengths().fill_null(-1)) == width):
+        raise ValueError("the points of a trajectory column have to have one number of coordinates, and none may be null")
     ends = np.cumsum(size)
     return flat.reshape(-1, width) if len(inner) else np.zeros((0, 1)), ends - size, np.asarray(size[:n])
 
@@ -124,20 +126,21 @@ def _ends_bound(name: str, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...],
     return np.where((na[rows][:, None] == 1) & (nb[columns] == 1), first, first + last)
 
 
-def pairs_within(name: str, a: pa.Array, b: pa.Array, bar: float, eps: float = EPS, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all pairs of a row of ``a`` and a row of ``b``: the places and the distance of those within ``bar``.
+def pairs_within(name: str, a: pa.Array, b: pa.Array, bar: float | np.ndarray, eps: float = EPS, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of a row of ``a`` and a row of ``b``: the places and the distance of those within ``bar``, which may be a number for each row of ``a``.
 
     The ends or lengths drop most pairs, strip by strip; the programme leaves
     each of the others as soon as it can't end within the bar.
     """
     left, right = _points(a), _points(b)
     na, nb = left[2], right[2]
+    bars = np.broadcast_to(np.asarray(bar, float), len(na))
     rows, columns = np.flatnonzero(na > 0), np.flatnonzero(nb > 0)
     rows = rows[np.argsort(na[rows], kind="stable")]
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for at in range(0, len(rows), STRIP):
         strip = rows[at : at + STRIP]
-        i, j = np.nonzero(_ends_bound(name, left, right, strip, columns) <= bar * (1 + 1e-9))
+        i, j = np.nonzero(_ends_bound(name, left, right, strip, columns) <= bars[strip][:, None] * (1 + 1e-9))
         i, j = strip[i], columns[j]
         order = np.argsort(nb[j], kind="stable")  # alike lengths together
         i, j = i[order], j[order]
@@ -145,7 +148,7 @@ def pairs_within(name: str, a: pa.Array, b: pa.Array, bar: float, eps: float = E
         while start < len(j):
             stop = int(np.searchsorted(sizes, 2 * sizes[start] + 4, "right"))
             stop = min(stop, start + max(1, HELD // int(sizes[stop - 1])))
-            place, d = _programme_within(name, left, right, i[start:stop], j[start:stop], bar, eps, delta)
+            place, d = _programme_within(name, left, right, i[start:stop], j[start:stop], bars[i[start:stop]], eps, delta)
             found.append((i[start:stop][place], j[start:stop][place], d))
             start = stop
     i, j, d = (np.concatenate(part) for part in zip(*found))
@@ -153,9 +156,9 @@ def pairs_within(name: str, a: pa.Array, b: pa.Array, bar: float, eps: float = E
 
 
 def _programme_within(
-    name: str, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, bar: float, eps: float, delta: int
+    name: str, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, bar: np.ndarray, eps: float, delta: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Which of some pairs are within the bar, and their distances.
+    """Which of some pairs are within their bars, and their distances.
 
     After each row of the programme the pairs go whose best cell is over the
     bar. A pair within the bar of EDR or LCSS leaves at most ``bar`` points of
@@ -165,7 +168,7 @@ def _programme_within(
     at, to, m, n = a[1][i], b[1][j], a[2][i], b[2][j]
     edit, far = name in ("EDR", "LCSS"), -np.inf if name == "LCSS" else np.inf
     columns, place, loose = int(n.max()), np.arange(len(i)), bar * (1 + 1e-9)
-    band = int(min(max(bar, 0), columns + int(m.max()))) if edit else 0
+    band = int(min(max(bar.max(initial=0.0), 0), columns + int(m.max()))) if edit else 0
     kept, values = [np.zeros(0, np.int64)], [np.zeros(0)]
     # Cell k of a row stands for the first k points of the right side; cell 0 is the edge.
     prev = [np.full(len(i), float(k) if name == "EDR" else 0.0) if k <= band else far for k in range(columns + 1)] if edit else []
@@ -205,14 +208,14 @@ def _programme_within(
             done = np.flatnonzero(ended & (n == k))
             if len(done):
                 d = np.maximum(m[done], n[done]) - row[k][done] if name == "LCSS" else row[k][done]
-                within = d <= bar
+                within = d <= bar[done]
                 kept.append(place[done[within]])
                 values.append(d[within])
         open_ &= ~ended
         if open_.all():
             prev = row
         else:
-            at, to, m, n, place = at[open_], to[open_], m[open_], n[open_], place[open_]
+            at, to, m, n, place, bar, loose = at[open_], to[open_], m[open_], n[open_], place[open_], bar[open_], loose[open_]
             prev = [cell[open_] if isinstance(cell, np.ndarray) else cell for cell in row]
     return np.concatenate(kept), np.concatenate(values)
 

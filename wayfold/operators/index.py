@@ -1,32 +1,50 @@
 """Named indexes on trajectory columns.
 
-An index is a table in the shared folder, in one folder for each tile: the first
-points are cut into quantile tiles along each axis, then the last points. Beside
-the frame's columns it has a struct of summary columns: first and last point,
-box, number of points, and the ``PIVOTS`` interior points that lie farthest from
-their predecessors. The global part is one row for each tile (at most the square
-of the ``tiles`` asked for): boxes of its first points, last points and of all
-points, least and most points. A search bounds the distance of each tile from
-these, reads the folders of tiles that stay (a partition filter), and follows
-the levels first, last and pivots with what each leaves of the threshold.
+An index is a table in the shared folder with a folder for each tile. A row's key
+is its first point, its last point, and its first pivot (the interior points that
+lie farthest from their predecessors are its pivots, ``PIVOTS`` at most); the
+tiles are the leaves of a tree that cuts keys level under level
+(``wayfold.operators.tiling``), fitted on a sample of about ``SAMPLE`` keys. Beside
+the frame's columns, the table has a row number and summary columns: coordinates
+of first and last point, box, number of points, pivots.
+
+The global part is a row for each tile, at most ``MOST_TILES``: boxes of first
+points, last points, each pivot, and of all points; least and most points; counts.
+A search descends the levels first, last, pivots with what each leaves of the
+threshold, and reads the folders of the tiles that stay.
+
+An index belongs to a frame's plan and to the files that it read. A frame whose
+files have changed since (files added, removed, or of other size or time) doesn't
+find the index: it is searched without, and ``create_index`` builds anew.
+Row numbers tell rows apart; ids play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.distance import point_distance
 from wayfold.functions.shared import discard, shared_dir
+from wayfold.functions.shipping import ship
+from wayfold.operators.tiling import Tiling, tiling
 
-SUMMARY, TILE = "__summary", "__tile"
+PREFIX, TILE, ROW = "__", "__tile", "__row"
 PIVOTS = 3
-#: Indexes of this process by frame and column: names and bounds of tiles; the rows are in the shared folder.
+#: Rows that tiles are fitted on; tiles of an index, and of one that a join makes for itself; bytes and rows that a tile is made for.
+SAMPLE = 65_536
+LEAST_TILES, MOST_TILES = 32, 4096
+TILE_BYTES, TILE_ROWS = 64 << 20, 256
+#: Indexes of this process by frame and column; the rows are in the shared folder.
 _indexes: dict[tuple[str, str], TrieIndex] = {}
 
 
@@ -37,16 +55,45 @@ class TrieIndex:
     column: str
     data: DataFrame
     tiles: list
+    dims: int
+    source: DataFrame | None = None
+    files: str = ""
+    _arrays: dict[str, np.ndarray] = field(default_factory=dict)
 
     def rows(self, keep) -> DataFrame:
         """The rows of the tiles that ``keep`` (of a tile's row) leaves."""
-        return self.data.where(F.col(TILE).isin([t[TILE] for t in self.tiles if keep(t)]))
+        return self.of_tiles([t[TILE] for t in self.tiles if keep(t)])
+
+    def of_tiles(self, tiles: list[int]) -> DataFrame:
+        return self.data.where(F.col(TILE).isin(tiles) if len(tiles) < len(self.tiles) else F.lit(True))
+
+    def array(self, name: str) -> np.ndarray:
+        """A column of the tiles' rows."""
+        if name not in self._arrays:
+            self._arrays[name] = np.array([t[name] for t in self.tiles], float)
+        return self._arrays[name]
 
 
 def _key(source: DataFrame, column: str) -> tuple[str, str]:
     return f"{source.sparkSession.sparkContext.applicationId}:{source.semanticHash()}", column
 
 
+def files_of(df: DataFrame) -> str:
+    """A digest of the files that a frame reads, with their sizes and times."""
+    seen = []
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for k in range(leaves.size()):
+        try:
+            location = leaves.apply(k).relation().location()
+        except Exception:  # no relation of files: rows in memory, a range, another source
+            continue
+        try:
+            seen.append(re.sub(r"access_time=\d+", "", location.allFiles().mkString("\n")))
+        except Exception:
+            seen.append("\n".join([*df.inputFiles(), str(location.sizeInBytes())]))
+    return hashlib.sha256("\n\n".join(seen).encode()).hexdigest()
+
+
 def _frame(source: DataFrame | str, spark: SparkSession | None) -> DataFrame:
     return source if isinstance(source, DataFrame) else (spark or SparkSession.active()).table(source)
 
@@ -59,70 +106,121 @@ def pivots(column: str, dims: int):
     return F.expr(f"CASE WHEN size({column}) > 2 THEN transform(slice({far}, 1, {PIVOTS}), x -> x.p) ELSE {none} END")
 
 
-def summary(column: str, dims: int):
-    """First and last point, box, number of points and pivots of a trajectory."""
+def summary(column: str, dims: int) -> dict:
+    """First and last point, box, number of points and pivots of a trajectory, as columns."""
     axis = lambda k: F.transform(column, lambda p: p[k])
-    return F.struct(
-        F.get(column, F.lit(0)).alias("first"),
-        F.try_element_at(column, F.lit(-1)).alias("last"),
-        F.array(*(F.array_min(axis(k)) for k in range(dims))).alias("low"),
-        F.array(*(F.array_max(axis(k)) for k in range(dims))).alias("high"),
-        F.size(column).alias("points"),
-        pivots(column, dims).alias("pivots"),
-    )
-
-
-def tile_cuts(df: DataFrame, point: str, tiles: int, dims: int) -> list[list[float]]:
-    """Cut points along each axis that give each tile about as many points: (tiles ** (1/dims)) pieces an axis."""
-    pieces = max(1, round(tiles ** (1 / dims)))
-    wanted = [k / pieces for k in range(1, pieces)]
-    if not wanted:
-        return [[] for _ in range(dims)]
-    axes = df.select(*(F.expr(f"{point}[{k}]").alias(f"a{k}") for k in range(dims)))
-    return [sorted(set(c)) for c in axes.approxQuantile([f"a{k}" for k in range(dims)], wanted, 0.01)]
-
-
-def tile(point, cuts: list[list[float]]):
-    """Number of the half-open tile of a point; on a cut it belongs to the upper one."""
-    out = F.lit(0)
-    for k, own in enumerate(cuts):
-        place = F.size(F.filter(F.array(*(F.lit(c) for c in own)) if own else F.array().cast("array<double>"), lambda c: c <= point[k]))
-        out = out * (len(own) + 1) + place
-    return out
-
-
-def create_index(source: DataFrame | str, column: str, name: str, tiles: int = 16, spark: SparkSession | None = None) -> None:
-    """Build and keep an index now. One on the same frame and column stays as it is, with a warning."""
+    out = {}
+    for k in range(dims):
+        out[f"{PREFIX}first{k}"] = F.get(column, F.lit(0))[k]
+        out[f"{PREFIX}last{k}"] = F.try_element_at(column, F.lit(-1))[k]
+        out[f"{PREFIX}low{k}"], out[f"{PREFIX}high{k}"] = F.array_min(axis(k)), F.array_max(axis(k))
+    return out | {f"{PREFIX}points": F.size(column), f"{PREFIX}pivots": pivots(column, dims)}
+
+
+def axes(dims: int, by_length: bool) -> tuple[list, list[int]]:
+    """The key of a row as columns, and how many of them each level of tiles has."""
+    ends = [[F.col(f"{PREFIX}{end}{k}") for k in range(dims)] for end in ("first", "last")]
+    if by_length:
+        return [F.col(f"{PREFIX}points").cast("double"), *ends[0]], [1, dims]
+    pivot = [F.get(F.get(f"{PREFIX}pivots", F.lit(0)), F.lit(k)) for k in range(dims)]
+    return [*ends[0], *ends[1], *pivot], [dims, dims, dims]
+
+
+def dimensions(df: DataFrame, column: str) -> int:
+    """Coordinates of a point, of the first trajectory that has any."""
+    first = df.where(f"size({column}) > 0").select(F.size(F.col(column)[0])).head()
+    return first[0] if first else 2
+
+
+def fit(df: DataFrame, columns: list, tiles: int, levels: list[int], rows: int) -> Tiling:
+    """Tiles for the keys of a frame of so many rows. The sample goes to the driver: about SAMPLE keys, whatever the frame's size."""
+    if tiles <= 1:
+        return tiling(np.zeros((0, len(columns))), 1, levels)
+    sampled = df if rows <= SAMPLE else df.sample(SAMPLE / rows, 11)
+    found = sampled.select(*(c.alias(f"k{k}") for k, c in enumerate(columns))).toArrow()
+    return tiling(np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in found.columns], 1), tiles, levels)
+
+
+def tile_points(df: DataFrame, columns: list, tiles: int, name: str = "tile") -> DataFrame:
+    """A column with the number of each row's tile, of tiles over the coordinates in ``columns`` (recursive, half open, of about equal counts)."""
+    ship(df.sparkSession)
+    return df.withColumn(name, tile_of(fit(df, columns, tiles, [len(columns)], df.count()), columns))
+
+
+def tile_of(fitted: Tiling, columns: list):
+    @F.arrow_udf("int")
+    def place(*parts: pa.Array) -> pa.Array:
+        points = np.stack([np.asarray(p.cast(pa.float64()).fill_null(np.nan)) for p in parts], 1)
+        return pa.array(fitted.place(points), pa.int32())
+
+    return place(*columns)
+
+
+def build(df: DataFrame, column: str, tiles: int | None = None, folders: bool = True, by_length: bool = False) -> tuple[DataFrame, list, int]:
+    """Write the rows with summary columns, row numbers and tiles; the table, a row for each tile, the dimensions."""
+    spark = df.sparkSession
+    ship(spark)
+    usable = df.where(f"size({column}) > 0")
+    dims = dimensions(df, column)
+    kept = usable.withColumns(summary(column, dims))
+    keys, levels = axes(dims, by_length)
+    size = usable.select(F.count("*").alias("n"), F.sum(F.size(column)).alias("points")).first()
+    if tiles is None:
+        tiles = max(LEAST_TILES, 16 * dims * (size["points"] or 0) // TILE_BYTES) if folders else size["n"] // TILE_ROWS
+    tiles = min(max(tiles, 1), MOST_TILES)
+    fitted = fit(kept, keys, tiles, levels, size["n"])
+    placed = kept.withColumn(ROW, F.monotonically_increasing_id()).withColumn(TILE, tile_of(fitted, keys))
+    path = f"{shared_dir(spark)}/wayfold/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    if folders:
+        # A rebalance splits a tile of many rows among tasks; a repartition would give it to one.
+        placed.hint("rebalance", TILE).write.option("compression", "zstd").partitionBy(TILE).parquet(path)
+    else:
+        placed.write.option("compression", "zstd").parquet(path)
+    data = spark.read.schema(placed.schema).parquet(path)
+    return data, _tile_rows(data, dims), dims
+
+
+def _tile_rows(data: DataFrame, dims: int) -> list:
+    """A row for each tile: what every row of it lies within."""
+    of = lambda f, name: F.array(*(f(F.col(f"{PREFIX}{name}{k}")) for k in range(dims)))
+    ends = {f"{end}_{side}": of(f, end) for end in ("first", "last") for side, f in (("low", F.min), ("high", F.max))}
+    ends |= {"low": of(F.min, "low"), "high": of(F.max, "high")}
+    for j in range(PIVOTS):
+        pivot = [F.get(F.get(f"{PREFIX}pivots", F.lit(j)), F.lit(k)) for k in range(dims)]
+        ends |= {f"pivot{j}_{side}": F.array(*(F.coalesce(f(p), F.lit(0.0)) for p in pivot)) for side, f in (("low", F.min), ("high", F.max))}
+    points = F.col(f"{PREFIX}points")
+    counts = {"n": F.count("*"), "least": F.min(points), "most": F.max(points), "points": F.sum(points.cast("long")), "pivots": F.min(F.size(f"{PREFIX}pivots"))}
+    return data.groupBy(TILE).agg(*(c.alias(n) for n, c in (counts | ends).items())).orderBy(TILE).collect()  # a row for each tile
+
+
+def create_index(source: DataFrame | str, column: str, name: str, tiles: int | None = None, spark: SparkSession | None = None) -> None:
+    """Build and keep an index now, of about ``tiles`` tiles (by default as its bytes need).
+
+    One on the same frame and column stays as it is, with a warning, unless the frame's files have changed.
+    """
     df = _frame(source, spark)
     if column not in df.columns:
         raise AnalysisException(f"Column {column} does not exist.")
     key = _key(df, column)
-    if key in _indexes:
+    if lookup(df, column) is not None:
         logging.getLogger(__name__).warning("an index on this column exists: %s", _indexes[key].name)
         return
-    usable = df.where(f"size({column}) > 0")
-    first = usable.select(column).head()
-    dims = len(first[0][0]) if first else 2
-    kept = usable.withColumn(SUMMARY, summary(column, dims))
-    cuts = [tile_cuts(kept, f"{SUMMARY}.{end}", tiles, dims) for end in ("first", "last")]
-    last_tiles = 1
-    for own in cuts[1]:
-        last_tiles *= len(own) + 1
-    kept = kept.withColumn(TILE, (tile(F.col(SUMMARY)["first"], cuts[0]) * last_tiles + tile(F.col(SUMMARY)["last"], cuts[1])).cast("int"))
-    session = df.sparkSession
-    path = f"{shared_dir(session)}/wayfold/{session.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
-    kept.repartition(TILE).write.option("compression", "zstd").partitionBy(TILE).parquet(path)
-    data = session.read.schema(kept.schema).parquet(path)
-    axis = lambda of, end: [of(F.col(SUMMARY)[end][k]) for k in range(dims)]
-    ends = {f"{end}_{side}": F.array(*axis(of, end)) for end in ("first", "last") for side, of in (("low", F.min), ("high", F.max))}
-    ends |= {"low": F.array(*axis(F.min, "low")), "high": F.array(*axis(F.max, "high"))}
-    points = F.col(SUMMARY)["points"]
-    bounds = data.groupBy(TILE).agg(F.count("*").alias("n"), F.min(points).alias("least"), F.max(points).alias("most"), *(c.alias(n) for n, c in ends.items()))
-    _indexes[key] = TrieIndex(name, key, column, data, bounds.collect())  # a row for each tile
+    if key in _indexes:
+        _forget(key)
+    files = files_of(df)
+    data, rows, dims = build(df, column, tiles)
+    _indexes[key] = TrieIndex(name, key, column, data, rows, dims, df, files)
 
 
 def lookup(df: DataFrame, column: str) -> TrieIndex | None:
-    return _indexes.get(_key(df, column)) if _indexes else None
+    """The index of a frame's column, if its files are those that the index was built from."""
+    found = _indexes.get(_key(df, column)) if _indexes else None
+    if found is None or not found.source.sameSemantics(df):
+        return None
+    if files_of(df) != found.files:
+        logging.getLogger(__name__).warning("index %s is left out: the files of its frame have changed", found.name)
+        return None
+    return found
 
 
 def _forget(key: tuple[str, str]) -> None:
@@ -157,3 +255,12 @@ def tile_statistics(df: DataFrame, column: str) -> DataFrame:
     if found is None:
         raise ValueError("no index on this column")
     return df.sparkSession.createDataFrame([(t[TILE], t["n"]) for t in found.tiles], "tile int, n long")
+
+
+def indexed(df: DataFrame, column: str, by_length: bool = False) -> tuple[TrieIndex, bool]:
+    """The index of a frame's column, or tiles of a table made for one join; and whether they were."""
+    found = lookup(df, column)
+    if found is not None:
+        return found, False
+    data, rows, dims = build(df, column, folders=False, by_length=by_length)
+    return TrieIndex("", ("", ""), column, data, rows, dims), True

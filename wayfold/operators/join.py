@@ -1,63 +1,203 @@
-"""Similarity joins of two trajectory frames.
-
-A distance bounds the distance of an anchor: the first point for DTW and
-Frechet, the number of points for EDR and LCSS. So both sides are dealt into
-cells of their anchors, one side into all cells within reach, and joined on the
-cell; then the cheap lower bounds (ends or lengths), then the exact distance.
-Each pair meets in one part of one cell only. A threshold join deals both sides
-of a cell into parts of about ``BLOCK`` rows by their number, and part meets part
-in one bounded call; rows that are alike in id and points share a part. A nearest
-join deals each cell's right side into ``SALTS`` parts.
+"""Similarity joins of two trajectory frames over the tiles of two indexes.
+
+Each side has tiles: those of its index, or of a table made for the join. Pairs
+of tiles that no pair of rows can join between go by their boxes, on the driver,
+of at most ``MOST_TILES`` tiles a side. A left row is then sent to those right
+tiles of its tile's pairs that its own ends and length allow, and meets the rows
+of a tile in blocks of about ``BLOCK`` rows or ``BLOCK_POINTS`` points on either
+side. Rows are told apart and dealt out by row number, so repeated ids and
+copies of a trajectory neither count as one nor share a block.
+
+A threshold join sends every left row with the same bar. A nearest join first
+measures each left row against a few rows of the nearest tiles, which gives a
+distance that its k-th nearest can't exceed; that is its bar. A row that lies
+far from all others has a wide bar and meets every tile, at most as often as
+there are tiles; the others are not touched by it.
+
+Null and empty trajectories join with nothing. Results are written to the shared
+folder, and what the join has written for itself is deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from wayfold.functions.distance import DELTA, EPS, check_name, distance, pairs_within
+from wayfold.functions.shared import discard, materialize
+from wayfold.operators.index import PIVOTS, PREFIX, ROW, TILE, TrieIndex, indexed
+
+#: Rows and points of either side that meet in one call.
+BLOCK, BLOCK_POINTS = 1024, 1 << 17
+
+
+def _gap(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    """Distance of boxes from boxes, each of a from each of b."""
+    apart = np.maximum(np.maximum(low_a[:, None, :] - high_b[None], low_b[None] - high_a[:, None, :]), 0.0)
+    return np.sqrt((apart * apart).sum(2))
+
+
+def _boxes(side: TrieIndex, name: str) -> tuple[np.ndarray, np.ndarray]:
+    return side.array(f"{name}_low"), side.array(f"{name}_high")
+
 
-from wayfold.functions.distance import DELTA, EPS, check_name, distance, lower_bound_sql, pairs_within
+def tile_distances(a: TrieIndex, b: TrieIndex, name: str, eps: float) -> np.ndarray:
+    """A bound for each pair of tiles that no pair of their rows has a smaller distance than."""
+    whole = lambda x: (x.array("low"), x.array("high"))
+    out = np.zeros((len(a.tiles), len(b.tiles)))
+    if name in ("EDR", "LCSS"):
+        longer = lambda x, y: x.array("least")[:, None] - y.array("most")[None]
+        out = np.maximum(np.maximum(longer(a, b), longer(b, a).T), 0.0)
+        apart = lambda x, y, n: (_gap(*_boxes(x, n), *whole(y)) > eps * (1 + 1e-9)).astype(float)
+        return np.maximum(out, np.maximum(apart(a, b, "first"), apart(b, a, "first").T))
+    first, last = (_gap(*_boxes(a, end), *_boxes(b, end)) for end in ("first", "last"))
+    single = (a.array("least") == 1)[:, None] & (b.array("least") == 1)[None]
+    out = np.maximum(first, last) if name == "FRECHET" else np.where(single, np.maximum(first, last), first + last)
+    sides = []
+    for x, y in ((a, b), (b, a)):
+        inner = np.zeros((len(x.tiles), len(y.tiles)))
+        for j in range(PIVOTS):  # a pivot of one side is matched with some point of the other
+            has = (x.array("pivots") > j)[:, None]
+            own = np.where(has, _gap(*_boxes(x, f"pivot{j}"), *whole(y)), 0.0)
+            inner = np.maximum(inner, own) if name == "FRECHET" else inner + own
+        sides.append(inner if x is a else inner.T)
+    inner = np.maximum(*sides)
+    return np.maximum(out, inner) if name == "FRECHET" else out + inner
 
-#: Rows of the right side that are sampled to bound the k-th distance of each left row.
-SEEDS = 256
-#: Parts of each cell's right side, so that a crowded cell is the work of several tasks.
-SALTS = 8
-#: Rows of either side of a cell that meet in one call.
-BLOCK = 1024
 
+def row_distances(rows: dict[str, np.ndarray], b: TrieIndex, tiles: np.ndarray, name: str, eps: float) -> np.ndarray:
+    """The same for some rows (their first and last points and lengths) and some tiles of the other side."""
+    at = lambda n: tuple(x[tiles] for x in _boxes(b, n))
+    first, last, n = rows["first"], rows["last"], rows["points"][:, None]
+    least, most = b.array("least")[tiles][None], b.array("most")[tiles][None]
+    if name in ("EDR", "LCSS"):
+        low, high = b.array("low")[tiles], b.array("high")[tiles]
+        apart = (_gap(first, first, low, high) > eps * (1 + 1e-9)).astype(float)
+        return np.maximum(np.maximum(np.maximum(least - n, n - most), 0.0), apart)
+    x, y = _gap(first, first, *at("first")), _gap(last, last, *at("last"))
+    if name == "FRECHET":
+        return np.maximum(x, y)
+    return np.where((n == 1) & (least == 1), np.maximum(x, y), x + y)
 
-def _sides(left: DataFrame, right: DataFrame, c1: str, c2: str, id1: str, id2: str) -> tuple[DataFrame, DataFrame]:
-    a = left.select(F.col(id1).alias("left_id"), F.col(c1).alias("a")).where("size(a) > 0")
-    b = right.select(F.col(id2).alias("right_id"), F.col(c2).alias("b")).where("size(b) > 0")
-    return a, b
 
+def _plain(b: TrieIndex) -> TrieIndex:
+    """The tiles alone, as a task gets them."""
+    for name in ("least", "most", "n", "low", "high", "first_low", "first_high", "last_low", "last_high"):
+        b.array(name)
+    return TrieIndex("", ("", ""), "", None, [None] * len(b.tiles), b.dims, _arrays=dict(b._arrays))  # type: ignore[arg-type]
 
-def _anchor(name: str, column: str) -> list:
-    if name in ("DTW", "FRECHET"):
-        return [F.get(column, F.lit(0))[k] for k in (0, 1)]
-    return [F.size(column).cast("double")]
 
+def _side(side: TrieIndex, id_col: str, prefix: str) -> DataFrame:
+    """Row number, id, trajectory and what a row is sent by."""
+    ends = [F.array(*(F.col(f"{PREFIX}{end}{k}") for k in range(side.dims))).alias(end) for end in ("first", "last")]
+    names = (F.col(ROW).alias(f"{prefix}row"), F.col(id_col).alias(f"{prefix}id"), F.col(side.column).alias(prefix[0]), F.col(TILE).alias("tile"))
+    return side.data.select(*names, *ends, F.col(f"{PREFIX}points").alias("points"))
 
-def _cells(a: DataFrame, b: DataFrame, name: str, side: float, reach) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The left side in all cells of ``side`` within ``reach`` (a column of it) of its anchor, the right side in its own, and the cells' columns."""
-    keys = []
-    for k, (x, y) in enumerate(zip(_anchor(name, "a"), _anchor(name, "b"))):
-        lo, hi = F.floor((x - reach) / side), F.floor((x + reach) / side)
-        a = a.withColumn(f"c{k}", F.explode(F.sequence(lo, hi)))
-        b = b.withColumn(f"c{k}", F.floor(y / side))
-        keys.append(f"c{k}")
-    return a, b, keys
 
+def _sent(a: DataFrame, choose: Callable[[dict[str, np.ndarray]], list], columns: list[str]) -> DataFrame:
+    """A row for each tile that ``choose`` names for a left row, in the place of its own; without its ends and length."""
+
+    @F.arrow_udf("array<int>")
+    def tiles(*parts: pa.Array) -> pa.Array:
+        flat = lambda p: np.asarray(p.flatten(), float).reshape(len(p), -1)
+        rows = {n: flat(p) if pa.types.is_list(p.type) else np.asarray(p.cast(pa.float64())) for n, p in zip(columns, parts)}
+        return pa.array(choose(rows) if len(parts[0]) else [], pa.list_(pa.int32()))
+
+    return a.withColumn("tile", F.explode(tiles(*columns))).drop("first", "last", "points", "bar_")
+
+
+def _within(b: TrieIndex, near: list[np.ndarray] | None, name: str, eps: float, bar: float | None) -> Callable[[dict[str, np.ndarray]], list]:
+    """Chooses the tiles of ``b`` within a row's bar; ``near`` holds those that its own tile is near."""
+    number, every = np.array([t[TILE] for t in b.tiles], np.int64), np.arange(len(b.tiles))
+    tiles = _plain(b)
+
+    def choose(rows: dict[str, np.ndarray]) -> list:
+        own = rows["tile"].astype(np.int64)
+        bars = np.full(len(own), bar) if bar is not None else rows["bar_"]
+        out: list = [None] * len(own)
+        for t in np.unique(own).tolist():
+            at = np.flatnonzero(own == t)
+            among = every if near is None else near[t]
+            step = max(1, (1 << 20) // max(len(among), 1))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                found = row_distances({n: v[some] for n, v in rows.items()}, tiles, among, name, eps) <= bars[some][:, None] * (1 + 1e-9) + 1e-9
+                for i, hit in zip(some.tolist(), found):
+                    out[i] = number[among[hit]].tolist()
+        return out
+
+    return choose
+
+
+def _met(a: DataFrame, b: DataFrame, b_side: TrieIndex, matched: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """Left rows, sent to tiles, meet the rows of their tile block by block."""
+    spark = b.sparkSession
+    visits = a.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("l")) / BLOCK_POINTS)).alias("a_blocks"))
+    own = [(t[TILE], int(max(-(-t["n"] // BLOCK), -(-t["points"] // BLOCK_POINTS)))) for t in b_side.tiles]
+    # Both tables have a row for each tile.
+    blocks = F.broadcast(materialize(visits.join(F.broadcast(spark.createDataFrame(own, "tile int, b_blocks long")), "tile"), "join-blocks"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few bytes make much work
+    place = lambda row, n: F.pmod(F.xxhash64(row), n)
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = ["tile", "i", "j"]
+    a = a.join(blocks, "tile").withColumns({"i": place("left_row", F.col("a_blocks")), "j": all_("b_blocks")}).drop("a_blocks", "b_blocks")
+    b = b.drop("first", "last", "points").join(blocks, "tile").withColumns({"i": all_("a_blocks"), "j": place("right_row", F.col("b_blocks"))}).drop("a_blocks", "b_blocks")
+    left, right = (side.repartition(parts, *keys).groupBy(*keys) for side in (a, b))
+
+    none = to_arrow_schema(schema).empty_table()
 
-def _meet(a: DataFrame, b: DataFrame, name: str, side: float, reach) -> DataFrame:
-    """Pairs whose anchors are within ``reach`` along each axis."""
-    a, b, keys = _cells(a, b, name, side, reach)
-    # A few bytes make many pairs: without a fixed number of partitions adaptive execution would join them in one task.
-    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(parts, *keys, "salt")
-    b = b.withColumn("salt", F.pmod(F.xxhash64("right_id"), F.lit(SALTS)).cast("int")).repartition(parts, *keys, "salt")
-    return a.hint("merge").join(b, [*keys, "salt"]).drop(*keys, "salt")
+    def met(x: pa.Table, y: pa.Table) -> pa.Table:
+        return matched(x, y) if x.num_rows and y.num_rows else none
+
+    return left.cogroup(right).applyInArrow(met, schema)
+
+
+def _ids(a: DataFrame, b: DataFrame) -> StructType:
+    """Left and right row and id, and the distance."""
+    of = lambda df, n: StructField(n, df.schema[n].dataType)
+    return StructType([of(a, "left_row"), of(a, "left_id"), of(b, "right_row"), of(b, "right_id"), StructField("distance", DoubleType())])
+
+
+def _none(left: DataFrame, right: DataFrame, id1: str, id2: str) -> DataFrame:
+    kinds = [StructField("left_row", LongType()), StructField("left_id", left.schema[id1].dataType), StructField("right_row", LongType())]
+    return left.sparkSession.createDataFrame([], StructType([*kinds, StructField("right_id", right.schema[id2].dataType), StructField("distance", DoubleType())]))
+
+
+def sides(left: DataFrame, right: DataFrame, c1: str, c2: str, name: str) -> tuple[TrieIndex, TrieIndex, list[TrieIndex]]:
+    """Both sides with their tiles, and those made for this join. A frame joined with itself is tiled once."""
+    by_length = name in ("EDR", "LCSS")
+    a, made = indexed(left, c1, by_length)
+    mine = [a] if made else []
+    if c1 == c2 and (left is right or left.sameSemantics(right)):
+        return a, a, mine
+    b, made = indexed(right, c2, by_length)
+    if a.tiles and b.tiles and a.dims != b.dims:
+        raise ValueError("the points of both sides have to have the same number of coordinates")
+    return a, b, [*mine, b] if made else mine
+
+
+def threshold_pairs(a_side: TrieIndex, b_side: TrieIndex, name: str, bar: float, id1: str, id2: str, eps: float = EPS, delta: int = DELTA) -> DataFrame:
+    """(left_row, left_id, right_row, right_id, distance) of all pairs within ``bar``; rows by the numbers in the sides' tables."""
+    if not a_side.tiles or not b_side.tiles:
+        return _none(a_side.data, b_side.data, id1, id2)
+    near = tile_distances(a_side, b_side, name, eps) <= bar * (1 + 1e-9) + 1e-9
+    of_tile = {t[TILE]: np.flatnonzero(near[k]) for k, t in enumerate(a_side.tiles)}
+    a, b = _side(a_side, id1, "left_"), _side(b_side, id2, "right_")
+    schema = _ids(a, b)
+
+    def matched(x: pa.Table, y: pa.Table) -> pa.Table:
+        i, j, d = pairs_within(name, x["l"], y["r"], bar, eps, delta)
+        own = lambda t, n, k: t[n].take(pa.array(k))
+        return pa.table([own(x, "left_row", i), own(x, "left_id", i), own(y, "right_row", j), own(y, "right_id", j), d], schema.names)
+
+    a = _sent(a, _within(b_side, of_tile, name, eps, bar), ["tile", "first", "last", "points"])  # type: ignore[arg-type]
+    return materialize(_met(a, b, b_side, matched, schema), "threshold-join")
 
 
 def threshold_join(
@@ -65,56 +205,66 @@ def threshold_join(
 ) -> DataFrame:
     """(left_id, right_id, distance) of all pairs within ``bar``."""
     name = check_name(name)
-    a, b = _sides(left, right, c1, c2, id1, id2)
-    a, b, keys = _cells(a, b, name, max(float(bar), 1e-9), F.lit(float(bar) * (1 + 1e-9)))
-    blocks = [side.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias(n)) for side, n in ((a, "a_blocks"), (b, "b_blocks"))]
-    blocks = blocks[0].join(blocks[1], keys)
-    parts = 4 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes make much work
-    own = lambda of, n: F.pmod(F.xxhash64(*of), n)
-    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = a.join(blocks, keys).select("left_id", "a", *keys, own(["left_id", "a"], F.col("a_blocks")).alias("i"), all_("b_blocks").alias("j"))
-    b = b.join(blocks, keys).select("right_id", "b", *keys, all_("a_blocks").alias("i"), own(["right_id", "b"], F.col("b_blocks")).alias("j"))
-    keys = [*keys, "i", "j"]
-    schema = StructType([a.schema["left_id"], b.schema["right_id"], StructField("distance", DoubleType())])
+    a, b, made = sides(left, right, c1, c2, name)
+    out = threshold_pairs(a, b, name, bar, id1, id2, eps, delta)
+    discard(*(side.data for side in made if side.tiles))
+    return out.select("left_id", "right_id", "distance")
+
+
+def _nearest(b: TrieIndex, name: str, eps: float, wanted: int, most: int) -> Callable[[dict[str, np.ndarray]], list]:
+    """Chooses the nearest tiles that together have ``wanted`` rows, of which ``most`` a tile count."""
+    number, every = np.array([t[TILE] for t in b.tiles], np.int64), np.arange(len(b.tiles))
+    tiles, count = _plain(b), np.minimum(b.array("n"), most)
+
+    def choose(rows: dict[str, np.ndarray]) -> list:
+        out, step = [], max(1, (1 << 20) // len(every))
+        for k in range(0, len(rows["points"]), step):
+            far = row_distances({n: v[k : k + step] for n, v in rows.items()}, tiles, every, name, eps)
+            order = np.argsort(far, 1, kind="stable")
+            enough = np.cumsum(count[order], 1) < wanted
+            out += [number[o[: int(e.sum()) + 1]].tolist() for o, e in zip(order, enough)]
+        return out
+
+    return choose
+
+
+def knn_pairs(a_side: TrieIndex, b_side: TrieIndex, name: str, k: int, id1: str, id2: str, eps: float = EPS, delta: int = DELTA) -> DataFrame:
+    """(left_row, left_id, right_row, right_id, distance): for each left row the k nearest right rows by (distance, id, row)."""
+    if k <= 0 or not a_side.tiles or not b_side.tiles:
+        return _none(a_side.data, b_side.data, id1, id2)
+    a, b = _side(a_side, id1, "left_"), _side(b_side, id2, "right_")
+    most = 2 * k
+    in_tile = Window.partitionBy("tile").orderBy(F.xxhash64("right_row"))  # a group limit: each task sends ``most`` rows of a tile
+    seeds = b.select("tile", "r", "right_row").withColumn("at", F.row_number().over(in_tile)).where(F.col("at") <= most).select("tile", "r")
+    tried = _sent(a, _nearest(b_side, name, eps, k, most), ["tile", "first", "last", "points"]).join(seeds, "tile")
+    measured = tried.select("left_row", distance(name, "l", "r", eps, delta).alias("d")).groupBy("left_row").agg(F.sort_array(F.collect_list("d")).alias("d"))
+    bars = materialize(measured.select("left_row", F.get("d", F.lit(k - 1)).alias("bar_")), "nearest-bars")
+    bounded = a.join(bars, "left_row", "left").withColumn("bar_", F.coalesce("bar_", F.lit(float("inf"))))
+    schema = _ids(a, b)
 
     def matched(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table({"left_id": [], "right_id": [], "distance": []})
-        i, j, d = pairs_within(name, x["a"], y["b"], bar, eps, delta)
-        return pa.table({"left_id": x["left_id"].take(pa.array(i)), "right_id": y["right_id"].take(pa.array(j)), "distance": d})
+        i, j, d = pairs_within(name, x["l"], y["r"], np.asarray(x["bar"].combine_chunks()) * (1 + 1e-9), eps, delta)
+        left_row, right_id, right_row = x["left_row"].take(pa.array(i)), y["right_id"].take(pa.array(j)), y["right_row"].take(pa.array(j))
+        found = pa.table([left_row, x["left_id"].take(pa.array(i)), right_row, right_id, pa.array(d, pa.float64())], schema.names)
+        found = found.sort_by([("left_row", "ascending"), ("distance", "ascending"), ("right_id", "ascending"), ("right_row", "ascending")])
+        rows = np.asarray(found["left_row"].combine_chunks())
+        first = np.searchsorted(rows, rows)  # the k nearest of each left row in this block
+        return found.filter(pa.array(np.arange(len(rows)) - first < k))
 
-    a, b = (side.repartition(parts, *keys).groupBy(*keys) for side in (a, b))
-    return a.cogroup(b).applyInArrow(matched, schema)
+    sent = _sent(bounded.withColumn("bar", F.col("bar_")), _within(b_side, None, name, eps, None), ["tile", "first", "last", "points", "bar_"])
+    best = Window.partitionBy("left_row").orderBy("distance", F.col("right_id").asc_nulls_last(), "right_row")
+    out = _met(sent, b, b_side, matched, schema).withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).drop("at")
+    out = materialize(out, "nearest-join")
+    discard(bars)
+    return out
 
 
 def knn_join(
     left: DataFrame, right: DataFrame, c1: str, c2: str, name: str, k: int, id1: str = "id", id2: str = "id", eps: float = EPS, delta: int = DELTA
 ) -> DataFrame:
-    """(left_id, right_id, distance): for each left row the k nearest right rows by (distance, id).
-
-    A bounded sample of the right side gives each left row a distance that its
-    k-th nearest can't exceed; candidates are then the right rows whose anchors
-    lie within it. Where the sample has fewer than k rows, it is the whole of
-    the right side or k of its rows at least are added.
-    """
+    """(left_id, right_id, distance): for each left row the k nearest right rows by (distance, id)."""
     name = check_name(name)
-    a, b = _sides(left, right, c1, c2, id1, id2)
-    seeds = b.orderBy(F.xxhash64("right_id")).limit(max(SEEDS, 2 * k))
-    seen = a.crossJoin(F.broadcast(seeds))  # a bounded side
-    bound = F.expr(lower_bound_sql(name, "a", "b"))
-    near = Window.partitionBy("left_id").orderBy("bound", "right_id")
-    likely = seen.withColumn("bound", bound).withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * k)
-    measured = likely.select("left_id", distance(name, "a", "b", eps, delta).alias("d"))
-    kth = Window.partitionBy("left_id").orderBy("d")
-    bars = measured.withColumn("r", F.row_number().over(kth)).where((F.col("r") == k)).select("left_id", F.col("d").alias("bar"))
-    bounded = a.join(bars, "left_id", "left")
-    middle = bars.agg(F.percentile_approx("bar", 0.5)).first()[0]
-    if middle is None:  # fewer than k rows on the right: all of them are wanted
-        pairs = a.crossJoin(F.broadcast(b.limit(max(SEEDS, 2 * k)))).withColumn("bar", F.lit(float("inf")))
-    else:
-        reach = F.col("bar") * (1 + 1e-9) + 1e-9
-        pairs = _meet(bounded.where("bar IS NOT NULL"), b, name, max(float(middle), 1e-9), reach)
-        pairs = pairs.where(F.expr(lower_bound_sql(name, "a", "b")) <= F.col("bar") * (1 + 1e-12))
-    out = pairs.select("left_id", "right_id", distance(name, "a", "b", eps, delta).alias("distance"))
-    best = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    a, b, made = sides(left, right, c1, c2, name)
+    out = knn_pairs(a, b, name, k, id1, id2, eps, delta)
+    discard(*(side.data for side in made if side.tiles))
+    return out.select("left_id", "right_id", "distance")

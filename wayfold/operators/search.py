@@ -1,7 +1,7 @@
 """Similarity search and range search over a trajectory column.
 
 Null and empty trajectories match nothing. Ties of a nearest-neighbour search
-go to the smaller id. A search over a frame that has an index reads the tiles
+go to the smaller id, a null one last. A search over a frame that has an index reads the tiles
 that the query can't be too far from, and their summary columns.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.distance import DELTA, EPS, box_bound, check_name, distance_to, lower_bound_sql
-from wayfold.operators.index import SUMMARY, lookup
+from wayfold.operators.index import PIVOTS, PREFIX, lookup
 
 
 def literal(query: list[list[float]]) -> str:
@@ -28,12 +28,32 @@ def _box_gap(p: list[float], low: list[float], high: list[float]) -> float:
     return math.sqrt(sum(max(a - c, c - b, 0.0) ** 2 for c, a, b in zip(p, low, high)))
 
 
-def tile_bound(tile, query: list[list[float]], name: str) -> float:
-    """A bound that no trajectory of the tile has a smaller distance than."""
-    if name in ("EDR", "LCSS"):
-        return max(tile["least"] - len(query), len(query) - tile["most"], 0)
-    first, last = (_box_gap(query[k], tile[f"{end}_low"], tile[f"{end}_high"]) for k, end in ((0, "first"), (-1, "last")))
-    return max(first, last) if name == "FRECHET" or (tile["least"] == 1 and len(query) == 1) else first + last
+def tile_bound(tile, query: list[list[float]], name: str, bar: float = math.inf, eps: float = EPS, levels: int = 3) -> float:
+    """A bound that no trajectory of the tile has a smaller distance than, by the first ``levels`` of the tree.
+
+    The levels are first points, last points and pivots. Each leaves the next
+    what it hasn't used of the bar; once that is spent the descent ends.
+    """
+    edit = name in ("EDR", "LCSS")
+    boxes = [(query[0], "first"), (query[-1], "last"), *((None, f"pivot{j}") for j in range(min(PIVOTS, tile["pivots"] or 0)))]
+    if tile["least"] == 1 and (edit or len(query) == 1):
+        del boxes[1]  # the last point may be the first
+    by_length = max(tile["least"] - len(query), len(query) - tile["most"], 0) if edit else 0
+    spent = 0.0
+    for end, level in boxes:
+        if levels < 3 and level[:5] not in ("first", "last", "pivot")[:levels]:
+            continue
+        low, high = tile[f"{level}_low"], tile[f"{level}_high"]
+        if edit or end is None:  # any point of the query may be the one that it is matched with
+            gap = min(_box_gap(q, low, high) for q in query)
+            gap = float(gap > eps * (1 + 1e-12)) if edit else gap
+        else:
+            gap = _box_gap(end, low, high)
+        spent = max(spent, gap) if name == "FRECHET" else spent + gap
+        if spent > bar:
+            break
+    # Sums of rounded distances, which a distance itself may fall short of by a little.
+    return max(spent, by_length) if edit else spent * (1 - 1e-12)
 
 
 def _pivot_bound(query: list[list[float]], name: str, eps: float) -> Column:
@@ -48,7 +68,7 @@ def _pivot_bound(query: list[list[float]], name: str, eps: float) -> Column:
 
         return F.sqrt(F.array_min(F.transform(points, squared)))
 
-    own, start = F.col(SUMMARY)["pivots"], F.lit(0.0)
+    own, start = F.col(f"{PREFIX}pivots"), F.lit(0.0)
     if name == "DTW":
         return F.aggregate(own, start, lambda s, p: s + nearest(p))
     if name == "FRECHET":
@@ -63,12 +83,16 @@ def _pruned(df: DataFrame, column: str, query: list[list[float]], name: str, bar
     ends = F.expr(lower_bound_sql(name, column, literal(query), dims))
     found = lookup(df, column)
     if found is not None:
-        df = found.rows(lambda t: tile_bound(t, query, name) <= bar)
+        df = found.rows(lambda t: tile_bound(t, query, name, bar, eps) <= bar)
         if name in ("DTW", "FRECHET"):
-            gap = [F.greatest(F.lit(low[k]) - F.col(SUMMARY)["high"][k], F.col(SUMMARY)["low"][k] - F.lit(high[k]), F.lit(0.0)) for k in range(dims)]
-            df = df.where(F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0])) <= bar)
+            # Plain comparisons, which reach the files' statistics.
+            for k in range(dims):
+                wide = bar * (1 + 1e-9) + 1e-9
+                for end, q in (("first", query[0]), ("last", query[-1])):
+                    df = df.where(F.col(f"{PREFIX}{end}{k}").between(q[k] - wide, q[k] + wide))
+                df = df.where((F.col(f"{PREFIX}high{k}") >= low[k] - wide) & (F.col(f"{PREFIX}low{k}") <= high[k] + wide))
         else:
-            df = df.where(F.abs(F.col(SUMMARY)["points"] - len(query)) <= bar)
+            df = df.where(F.col(f"{PREFIX}points").between(len(query) - bar, len(query) + bar))
         level = _pivot_bound(query, name, eps)
         # The ends' cost is spent before the pivots are looked at; edits of pivots count by themselves.
         df = df.where((ends <= bar) & (level <= bar - ends * (1 - 1e-12) + 1e-9 if name == "DTW" else level <= bar))
@@ -97,11 +121,11 @@ def knn_search(df: DataFrame, query: list[list[float]], column: str, name: str,
     found_index = lookup(df, column)
     whole = (df if found_index is None else found_index.data).where(f"size({column}) > 0")
     bound = F.expr(lower_bound_sql(name, column, literal(query), len(query[0])))
-    likely = whole.select(column, bound.alias("bound"), F.col(id_col).alias("id")).orderBy("bound", "id").limit(k)
+    likely = whole.select(column, bound.alias("bound"), F.col(id_col).alias("id")).orderBy("bound", F.col("id").asc_nulls_last()).limit(k)
     found = likely.select(distance_to(name, F.col(column), query, eps, delta).alias("d")).agg(F.max("d").alias("bar"), F.count("d").alias("n")).first()
     if found["n"] >= k:
         whole = _pruned(df, column, query, name, found["bar"] * (1 + 1e-12), eps)
-    return whole.withColumn("distance", distance_to(name, F.col(column), query, eps, delta)).orderBy("distance", id_col).limit(k).select(*df.columns, "distance")
+    return whole.withColumn("distance", distance_to(name, F.col(column), query, eps, delta)).orderBy("distance", F.col(id_col).asc_nulls_last()).limit(k).select(*df.columns, "distance")
 
 
 def _each(column: str, test, mode: str) -> Column:
@@ -121,11 +145,11 @@ def mbr_range_search(df: DataFrame, low: list[float], high: list[float], column:
 
     found, source = lookup(df, column), df
     if found is not None:
-        box, sides = F.col(SUMMARY), ("first_low", "first_high") if mode == "contains" else ("low", "high")
+        sides = ("first_low", "first_high") if mode == "contains" else ("low", "high")
         source = found.rows(lambda t: all(t[sides[0]][k] <= high[k] and t[sides[1]][k] >= low[k] for k in range(len(low))))
         for k in range(len(low)):
-            within = (box["low"][k] >= low[k]) & (box["high"][k] <= high[k]) if mode == "contains" else (box["high"][k] >= low[k]) & (box["low"][k] <= high[k])
-            source = source.where(within)
+            least, most = F.col(f"{PREFIX}low{k}"), F.col(f"{PREFIX}high{k}")
+            source = source.where((least >= low[k]) & (most <= high[k]) if mode == "contains" else (most >= low[k]) & (least <= high[k]))
     return source.where(_each(column, inside, mode)).select(*df.columns)
 
 
@@ -138,8 +162,8 @@ def circle_range_search(df: DataFrame, centre: list[float], radius: float, colum
 
     found, source = lookup(df, column), df
     if found is not None:
-        box, sides = F.col(SUMMARY), ("first_low", "first_high") if mode == "contains" else ("low", "high")
+        sides = ("first_low", "first_high") if mode == "contains" else ("low", "high")
         source = found.rows(lambda t: _box_gap(centre, t[sides[0]], t[sides[1]]) <= radius * (1 + 1e-12))
         for k in range(len(centre)):
-            source = source.where((box["low"][k] <= centre[k] + radius) & (box["high"][k] >= centre[k] - radius))
+            source = source.where((F.col(f"{PREFIX}low{k}") <= centre[k] + radius) & (F.col(f"{PREFIX}high{k}") >= centre[k] - radius))
     return source.where(_each(column, inside, mode)).select(*df.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,9 @@ from wayfold.sources.trajectories import from_events, from_orders, parse, render
 
 QUERY = [[20.0, 5.0], [60.0, 20.0], [30.0, 35.0], [80.0, 50.0], [50.0, 65.0], [20.0, 80.0], [70.0, 95.0]]
 BARS = {"DTW": 260.0, "FRECHET": 48.0, "EDR": 8.0, "LCSS": 8.0}
-#: Bars that less than 1 % of all pairs reach, and wide ones that about half of them do.
-JOIN_BARS = {"DTW": 50.0, "FRECHET": 20.0, "EDR": 1.0, "LCSS": 1.0}
-WIDE_BARS = {"DTW": 330.0, "FRECHET": 40.0, "EDR": 9.0, "LCSS": 9.0}
-EVENT_BARS = {"DTW": 2200.0, "FRECHET": 68.0}
+#: Bars that 1 to 3 % of all pairs of different trajectories reach.
+JOIN_BARS = {"DTW": 160.0, "FRECHET": 30.0, "EDR": 3.0, "LCSS": 2.0}
+EVENT_BARS = {"DTW": 2700.0, "FRECHET": 80.0}
 K = 10
 
 # ---------------------------------------------------------------- the same in DuckDB
@@ -84,25 +85,44 @@ def _knn(name: str):
     return run
 
 
-def _threshold_join(name: str, bars: dict[str, float]):
+def _threshold_join(name: str):
+    """Pairs of different customers, the smaller id on the left."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = materialize(from_orders(spark, sf_dir), "join-orders")
+        return rounded(join.threshold_join(t, t, "traj", "traj", name, JOIN_BARS[name]).where("left_id < right_id"))
+
+    return run
+
+
+def _index_join(name: str):
+    """Pairs of a customer with an even id and one with an odd id, by the indexes of both tables."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = materialize(from_orders(spark, sf_dir), "join-orders")
-        return rounded(join.threshold_join(t, t, "traj", "traj", name, bars[name]))
+        even, odd = t.where("id % 2 = 0"), t.where("id % 2 = 1")
+        for side, own in (("even", even), ("odd", odd)):
+            index.create_index(own, "traj", f"{side}_{name.lower()}")
+        try:
+            return rounded(join.threshold_join(even, odd, "traj", "traj", name, JOIN_BARS[name]))
+        finally:
+            index.drop_index(even, "traj")
+            index.drop_index(odd, "traj")
 
     return run
 
 
 def _event_join(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = from_events(spark, sf_dir)
-        return rounded(join.threshold_join(t, t, "traj", "traj", name, EVENT_BARS[name]))
+        t = materialize(from_events(spark, sf_dir), "join-events")
+        return rounded(join.threshold_join(t, t, "traj", "traj", name, EVENT_BARS[name]).where("left_id < right_id"))
 
     return run
 
 
 def _knn_join(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        o = from_orders(spark, sf_dir)
+        o = materialize(from_orders(spark, sf_dir), "join-orders")
         return rounded(join.knn_join(o.where("id % 50 = 0"), o, "traj", "traj", name, 3))
 
     return run
@@ -131,15 +151,59 @@ def circle_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.circle_range_search(from_orders(spark, sf_dir), [50.0, 50.0], 5.0, "traj", "intersects").select("id")
 
 
-def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _indexed_search(name: str):
     """The threshold search through an index, which is dropped once its result is written down."""
-    t = from_orders(spark, sf_dir)
-    index.create_index(t, "traj", "orders_index")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = materialize(from_orders(spark, sf_dir), "indexed-orders")
+        index.create_index(t, "traj", f"orders_{name.lower()}")
+        try:
+            found = rounded(search.threshold_search(t, QUERY, "traj", name, BARS[name]).select("id", "distance"))
+            return materialize(found, "indexed-search")
+        finally:
+            index.drop_index(t, "traj")
+
+    return run
+
+
+indexed_search = _indexed_search("DTW")
+
+
+def index_after_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches over an index, after rows were inserted into its table, and over the index made anew."""
+    o = from_orders(spark, sf_dir)
+    name = f"traj_grown_{uuid.uuid4().hex}"
+    o.where("id % 3 = 0").write.format("parquet").saveAsTable(name)
     try:
-        found = rounded(search.threshold_search(t, QUERY, "traj", "DTW", BARS["DTW"]).select("id", "distance"))
-        return materialize(found, "indexed-search")
+        found = []
+        for stage in ("first", "grown", "anew"):
+            if stage == "grown":
+                o.where("id % 3 != 0").write.insertInto(name)
+            else:
+                index.create_index(name, "traj", name, spark=spark)
+            own = search.threshold_search(spark.table(name), QUERY, "traj", "DTW", BARS["DTW"])
+            found.append(own.select(F.lit(stage).alias("stage"), "id"))
+            found[-1] = materialize(found[-1], f"grown-{stage}")
+        return found[0].union(found[1]).union(found[2])
     finally:
-        index.drop_index(t, "traj")
+        index.drop_index(name, "traj", spark=spark)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def str_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive tiles of the orders' first points: rows and box of each."""
+    ends = from_orders(spark, sf_dir).select(F.col("traj")[0][0].alias("x"), F.col("traj")[0][1].alias("y"))
+    placed = index.tile_points(materialize(ends, "first-points"), [F.col("x"), F.col("y")], 16)
+    box = [f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))]
+    return placed.groupBy(F.col("tile").cast("long").alias("tile")).agg(F.count("*").alias("n"), *box)
+
+
+def diagonal_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of points along a diagonal: each order's price on both axes."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_totalprice").cast("double").alias("x"))
+    placed = index.tile_points(o, [F.col("x"), F.col("x")], 16)
+    n = placed.groupBy("tile").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("tiles"), F.sum("n").alias("points"), (F.max("n") * F.count("*") <= 2 * F.sum("n")).alias("even"))
 
 
 def index_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,12 +235,12 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trajectories in index tiles: none is lost, and quantile cuts keep a first tile within twice its share."""
-    o = from_orders(spark, sf_dir)
-    index.create_index(o, "traj", "tiles_index")
+    """Trajectories in index tiles: none is lost, and no tile has more than twice its share."""
+    o = materialize(from_orders(spark, sf_dir), "tiled-orders")
+    index.create_index(o, "traj", "tiles_index", 16)
     try:
-        found = index.tile_statistics(o, "traj").groupBy(F.floor(F.col("tile") / 16).alias("first")).agg(F.sum("n").alias("n"))
-        out = found.agg(F.sum("n").alias("trajectories"), (F.max("n") * 16 <= 2 * F.sum("n")).alias("even"))
+        n = index.tile_statistics(o, "traj")
+        out = n.agg(F.sum("n").alias("trajectories"), (F.max("n") * F.count("*") <= 2 * F.sum("n")).alias("even"))
         return materialize(out, "tiles")
     finally:
         index.drop_index(o, "traj")
@@ -185,7 +249,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold and range predicates of SQL text through an index."""
     s = TrajectorySession(spark)
-    from_orders(spark, sf_dir).createOrReplaceTempView("traj_indexed_orders")
+    materialize(from_orders(spark, sf_dir), "indexed-orders").createOrReplaceTempView("traj_indexed_orders")
     s.sql("CREATE TRIE INDEX orders_by_sql ON traj_indexed_orders (traj)")
     try:
         near = s.sql(f"SELECT id, 'near' AS kind FROM traj_indexed_orders WHERE DTW(traj, {LITERAL}) <= {BARS['DTW']}")
@@ -198,8 +262,9 @@ def indexed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"traj_threshold_search_{n.lower()}": _threshold(n) for n in BARS}
 QUERIES |= {f"traj_knn_search_{n.lower()}": _knn(n) for n in BARS}
-QUERIES |= {f"traj_threshold_join_{n.lower()}": _threshold_join(n, JOIN_BARS) for n in JOIN_BARS}
-QUERIES |= {f"traj_whole_join_{n.lower()}": _threshold_join(n, WIDE_BARS) for n in WIDE_BARS}
+QUERIES |= {f"traj_threshold_join_{n.lower()}": _threshold_join(n) for n in JOIN_BARS}
+QUERIES |= {f"traj_whole_join_{n.lower()}": _index_join(n) for n in JOIN_BARS}
+QUERIES |= {f"traj_indexed_search_{n.lower()}": _indexed_search(n) for n in BARS if n != "DTW"}
 QUERIES |= {f"traj_event_join_{n.lower()}": _event_join(n) for n in EVENT_BARS}
 QUERIES |= {f"traj_knn_join_{n.lower()}": _knn_join(n) for n in BARS}
 QUERIES |= {
@@ -212,6 +277,12 @@ QUERIES |= {
     "traj_index_commands": index_commands,
     "traj_text_round_trip": text_round_trip,
     "traj_tiles": tiles,
+    "traj_str_tiles": str_tiles,
+    "traj_diagonal_tiles": diagonal_tiles,
+    "traj_index_after_insert": index_after_insert,
+    "traj_sql_knn_rows": _sql(f"SELECT o.id FROM traj_orders o WHERE DTW(o.traj, {LITERAL}) KNN {K}"),
+    "traj_sql_join_rows": _sql("SELECT a.id AS left_id, b.id AS right_id FROM traj_events a JOIN traj_events b ON FRECHET(a.traj, b.traj) < 80.0 WHERE a.id < b.id"),
+    "traj_sql_subquery": _sql(f"SELECT count(*) AS n, min(t.id) AS least FROM (SELECT id FROM traj_orders WHERE DTW(traj, {LITERAL}) < {BARS['DTW']} OR NOT traj IN CIRCLERANGE(POINT(50, 50), 60)) t"),
     "traj_indexed_sql": indexed_sql,
     "traj_sql_threshold": _sql(f"SELECT id FROM traj_orders WHERE DTW(traj_orders.traj, {LITERAL}) <= {BARS['DTW']}"),
     "traj_sql_knn_count": _sql(f"SELECT COUNT(*) AS n FROM traj_orders WHERE DTW(traj_orders.traj, {LITERAL}) KNN {K}"),
@@ -230,9 +301,9 @@ def duck_nearest(name: str, a: str, b: str, bar: float) -> str:
     return f"len(list_filter({a}, lambda p: {least} > {EPS} + 1e-9)) <= {bar}"
 
 
-def _join_sql(name: str, table: str, bar: float) -> str:
+def _join_sql(name: str, table: str, bar: float, pairs: str = "x.id < y.id") -> str:
     return f"""WITH t AS MATERIALIZED ({table}),
-        ends AS MATERIALIZED (SELECT x.id AS left_id, y.id AS right_id, x.traj AS a, y.traj AS b FROM t x JOIN t y ON {duck_bound(name, 'x.traj', 'y.traj')} <= {bar}),
+        ends AS MATERIALIZED (SELECT x.id AS left_id, y.id AS right_id, x.traj AS a, y.traj AS b FROM t x JOIN t y ON {pairs} AND {duck_bound(name, 'x.traj', 'y.traj')} <= {bar}),
         one AS MATERIALIZED (SELECT * FROM ends WHERE {duck_nearest(name, 'a', 'b', bar)}),
         near AS MATERIALIZED (SELECT * FROM one WHERE {duck_nearest(name, 'b', 'a', bar)}),
         d AS (SELECT left_id, right_id, {duck_distance(name, 'a', 'b')} AS distance FROM near)
@@ -252,6 +323,8 @@ for _n in BARS:
     SQL[f"traj_threshold_search_{_n.lower()}"] = f"SELECT id, round(distance, 6) AS distance FROM ({_m}) WHERE distance <= {BARS[_n]}"
     SQL[f"traj_knn_search_{_n.lower()}"] = f"SELECT id, round(distance, 6) AS distance FROM (SELECT * FROM ({_m}) ORDER BY distance, id LIMIT {K})"
     SQL[f"traj_threshold_join_{_n.lower()}"] = _join_sql(_n, ORDERS, JOIN_BARS[_n])
+    SQL[f"traj_whole_join_{_n.lower()}"] = _join_sql(_n, ORDERS, JOIN_BARS[_n], "x.id % 2 = 0 AND y.id % 2 = 1")
+    SQL[f"traj_indexed_search_{_n.lower()}"] = SQL[f"traj_threshold_search_{_n.lower()}"]
     SQL[f"traj_knn_join_{_n.lower()}"] = f"""WITH t AS MATERIALIZED ({ORDERS}),
         d AS (SELECT left_id, right_id, {duck_distance(_n, 'a', 'b')} AS distance
               FROM (SELECT x.id AS left_id, y.id AS right_id, x.traj AS a, y.traj AS b FROM t x, t y WHERE x.id % 50 = 0))
@@ -259,8 +332,9 @@ for _n in BARS:
         QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) <= 3"""
 for _n in EVENT_BARS:
     SQL[f"traj_event_join_{_n.lower()}"] = _join_sql(_n, EVENTS, EVENT_BARS[_n])
-# The joins with wide bars have no SQL; tests hold the operator against brute force.
+del SQL["traj_indexed_search_dtw"]  # its name is traj_indexed_search
 _dtw = SQL["traj_threshold_search_dtw"]
+_m_dtw = f"SELECT id, traj, {duck_distance('DTW', 'traj', 'q')} AS distance FROM (SELECT id, traj, {DUCK_QUERY} AS q FROM ({ORDERS}))"
 SQL |= {
     "traj_all_distances": "SELECT id, "
     + ", ".join(f"round({duck_distance(n, 'traj', 'q')}, 6) AS {n.lower()}" for n in BARS)
@@ -276,7 +350,20 @@ SQL |= {
     "traj_text_round_trip": f"SELECT id, len(traj) AS points, round(list_sum(flatten(traj)), 6) AS total FROM ({ORDERS})",
     "traj_sql_threshold": f"SELECT id FROM ({_dtw})",
     "traj_sql_knn_count": f"SELECT {K} AS n",
-    "traj_sql_join_count": f"SELECT count(*) AS n FROM ({_join_sql('FRECHET', EVENTS, 68.0)})",
+    "traj_sql_join_count": f"SELECT count(*) AS n FROM ({_join_sql('FRECHET', EVENTS, 68.0, 'true')})",
+    "traj_sql_join_rows": f"SELECT left_id, right_id FROM ({_join_sql('FRECHET', EVENTS, 80.0)})",
+    "traj_sql_knn_rows": f"SELECT id FROM ({SQL['traj_knn_search_dtw']})",
+    "traj_sql_subquery": f"""SELECT count(*) AS n, min(id) AS least FROM ({_m_dtw})
+        WHERE distance < {BARS['DTW']} OR len(list_filter(traj, lambda p: {duck_point('p', '[50, 50]')} <= 60)) < len(traj)""",
+    "traj_index_after_insert": " UNION ALL ".join(f"SELECT '{stage}' AS stage, id FROM ({_dtw}) WHERE {of}" for stage, of in (("first", "id % 3 = 0"), ("grown", "true"), ("anew", "true"))),
+    "traj_str_tiles": f"""WITH p AS MATERIALIZED (SELECT traj[1][1] AS x, traj[1][2] AS y, row_number() OVER (ORDER BY traj[1][1]) - 1 AS k, count(*) OVER () AS n FROM ({ORDERS})),
+        cut_x AS (SELECT DISTINCT x AS cut FROM p WHERE k IN (n * 1 // 4, n * 2 // 4, n * 3 // 4) AND x > (SELECT min(x) FROM p)),
+        slab AS MATERIALIZED (SELECT x, y, (SELECT count(*) FROM cut_x WHERE cut <= p.x) AS s FROM p),
+        q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY s) AS n, min(y) OVER (PARTITION BY s) AS least FROM slab),
+        cut_y AS (SELECT DISTINCT s, y AS cut FROM q WHERE k IN (n * 1 // 4, n * 2 // 4, n * 3 // 4) AND y > least),
+        placed AS (SELECT x, y, s * 4 + (SELECT count(*) FROM cut_y c WHERE c.s = slab.s AND c.cut <= slab.y) AS tile FROM slab)
+        SELECT tile, count(*) AS n, min(x) AS low_x, max(x) AS high_x, min(y) AS low_y, max(y) AS high_y FROM placed GROUP BY tile""",
+    "traj_diagonal_tiles": "SELECT 16 AS tiles, count(*) AS points, true AS even FROM orders",
     "traj_sql_knn_join_count": "SELECT 3 * count(DISTINCT user_id) AS n FROM events",
     "traj_sql_mbr_range": _range_sql("p[1] BETWEEN 0 AND 70 AND p[2] BETWEEN 0 AND 95"),
     "traj_sql_circle_range": _range_sql(f"{duck_point('p', '[50, 50]')} <= 50"),

@@ -3,13 +3,15 @@
 Three patterns give the base spans. Beside them, candidate strings (maximal
 runs of 20 or more characters of base64 and its url-safe form) go through a
 sliding window for their narrowest character class. Base spans are cut out of
-them first. What is left goes through whole if it mixes digits and letters of
-both cases, or else in its parts between separators, whatever their case. The Shannon entropy of the
+them first, and so is what an allow list says only looks random: UUIDs, placeholders
+(words such as ``example``). What is left goes through whole if it mixes digits and
+letters of both cases, or else in its parts between separators, whatever their
+case. The Shannon entropy of the
 window is kept by incremental counts: a step adds one character and removes
 one, and changes the sum of c*log2(c) by four looked-up terms. The windows at
 or above the class's threshold, joined, are the candidate's span, kind
-``entropy``. An allow list then drops what only looks random: UUIDs, checksums
-that are named as such, data URIs, the path of a url (not its query), placeholders.
+``entropy``. The allow list further passes over what is named a checksum (its first
+``CHECKSUM`` characters), data URIs, and the path of a url (not its query).
 
 All patterns are ASCII, so they run on UTF-8 bytes; offsets are returned in
 code points. Null counts as empty; a very long text is scanned in linear time.
@@ -45,6 +47,8 @@ CLASSES = (
     ("base64", re.compile(rb"[0-9A-Za-z+/_=-]+"), 20, 3.6),
 )
 LOG = [0.0] + [c * math.log2(c) for c in range(1, 65)]
+#: Characters of the longest checksum in use: 512 bits in hexadecimal.
+CHECKSUM = 128
 UUID = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 NAMED = re.compile(rb"(?:sha-?\d*|md5|checksum|digest|commit|integrity|etag|rev)[\"']?[\s:=@(-]*$", re.I)
 DATA = re.compile(rb"base64,$")
@@ -57,6 +61,8 @@ ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), (
 
 def high_entropy(run: bytes) -> tuple[int, int] | None:
     """First start and last end of the windows at or above the threshold of the run's class."""
+    if not run:
+        return None
     window, least = next((w, t) for _, chars, w, t in CLASSES if chars.fullmatch(run))
     if len(run) < window:
         return None
@@ -90,15 +96,20 @@ def looks_random(run: bytes) -> bool:
     return digits >= 2 and upper >= 2 and lower >= 2
 
 
-def outside(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pieces of a run that no base span covers; base by start."""
-    out = []
-    for s, e in base:
-        if s < end and e > start:
-            if s > start:
-                out.append((start, s))
-            start = e
-    return [*out, (start, end)] if start < end else out
+def outside(runs: list[tuple[int, int]], covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The pieces of runs that no span covers. Runs lie apart; both are in the order of their starts, and are walked once, side by side."""
+    k, reach = 0, 0
+    for start, end in runs:
+        at = max(start, reach)
+        while k < len(covered) and covered[k][0] < end:
+            s, e = covered[k]
+            if s > at:
+                yield at, s
+            at = max(at, e)
+            reach = max(reach, e)
+            k += 1
+        if at < end:
+            yield at, end
 
 
 def tokens(text: bytes, start: int, end: int) -> list[tuple[int, int]]:
@@ -125,9 +136,17 @@ class UrlPaths:
         return self.scheme > self.edge and self.query < self.scheme
 
 
-def allowed(text: bytes, start: int, end: int, urls: UrlPaths) -> bool:
-    run, before = text[start:end], text[max(0, start - 24) : start]
-    return urls.holds(start) or bool(UUID.search(run) or PLACEHOLDER.search(run) or NAMED.search(before) or DATA.search(before[-8:]))
+def suspect(text: bytes, start: int, end: int, urls: UrlPaths) -> int | None:
+    """Where a piece starts that the place it stands at doesn't explain."""
+    before = text[max(0, start - 24) : start]
+    if urls.holds(start) or DATA.search(before[-8:]):
+        return None
+    return min(end, start + CHECKSUM) if NAMED.search(before) else start
+
+
+def harmless(text: bytes, start: int, end: int) -> list[tuple[int, int]]:
+    """UUIDs and placeholders in a piece."""
+    return sorted(m.span() for pattern in (UUID, PLACEHOLDER) for m in pattern.finditer(text, start, end))
 
 
 def scan(text: bytes) -> list[tuple[str, int, int, bool]]:
@@ -144,10 +163,13 @@ def scan(text: bytes) -> list[tuple[str, int, int, bool]]:
         found += [(2, *m.span()) for m in HEX.finditer(text, a, b)]  # a run of hex lies in one candidate
     found.sort(key=lambda s: (s[1], s[0]))
     base, urls = [(s[1], s[2]) for s in found], UrlPaths(text)
-    for a, b in (piece for run in runs for piece in outside(*run, base)):
-        for s, e in tokens(text, a, b):
-            if (at := high_entropy(text[s:e])) and not allowed(text, s, e, urls):
-                found.append((3, s + at[0], s + at[1]))
+    for a, b in outside(runs, base):
+        if b - a < CLASSES[1][2]:
+            continue
+        for piece in outside([(a, b)], harmless(text, a, b)):
+            for s, e in tokens(text, *piece):
+                if high_entropy(text[s:e]) and (s := suspect(text, s, e, urls)) is not None and (at := high_entropy(text[s:e])):
+                    found.append((3, s + at[0], s + at[1]))
     found.sort(key=lambda s: (s[1], s[0]))
     return [(KINDS[k], s, e, k < 3) for k, s, e in found]
 

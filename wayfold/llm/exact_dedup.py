@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize, ship, utf8
 
-#: Bytes of distinct text that a task holds before it starts anew; later steps join what this parts.
+#: Bytes of distinct text and of rows that a task holds before it starts anew; later steps join what this parts.
 HOLD_BYTES = 64 << 20
+#: What a row costs beside its text, when it is held and when it is sent.
+MEMBER_BYTES = 400
 LOCAL = "row long, doc_id long, group long, lead boolean, digest string, crc long, copies long"
 
 
@@ -71,6 +73,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 same.append((text, [(row, i)]))
                 size += len(text)
+            size += MEMBER_BYTES
         if size > HOLD_BYTES:
             out, group = flush(group)
             yield out

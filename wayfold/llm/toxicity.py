@@ -6,8 +6,10 @@ its terms, and the sum over pairs of terms of the inner product of their
 factors, so a pair such as an insult and the mention of a group may weigh more
 than both alone.
 
-Learning takes a bounded sample: ``SAMPLE`` labelled rows, those with the
-smallest hash of the id. Of these a third calibrates the score (Platt) and the
+Learning takes a bounded sample: ``SAMPLE`` labelled ids, those with the smallest
+hash, of each one document (an id that stands on several documents gives the one
+with the least set of terms), and of each document at most ``TERMS`` terms, those
+with the smallest hash. Of these a third calibrates the score (Platt) and the
 rest fits the weights. Terms enter by a score test against the bias alone, and
 then, among texts that hold such a term, by a score test against the linear
 fit, which admits terms that matter only beside others. Only admitted terms
@@ -15,7 +17,11 @@ have weights; all texts of the table are scored in whole.
 
 Null counts as empty. An empty text, and every text if no row is labelled or
 all labels are equal, gets the score of the bias. Labels other than 0 and 1 are
-passed over; a repeated label row counts once. Other columns are ignored.
+passed over; of labels that repeat an id the larger one counts. Rows that repeat a
+document's id are scored each by its own text. A row without an id is scored and
+counts as not held out. A very long text is scored in whole, in runs of about a
+megabyte of several texts or alone. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ from wayfold.llm.common import ship
 from wayfold.llm.words import LETTERS, slices, words
 
 BITS, FACTORS = 18, 8
-SAMPLE = 8192  #: Labelled rows that are fitted at most.
+SAMPLE = 8192  #: Labelled documents that are fitted at most.
+TERMS = 4096  #: Terms of a document that take part in the fit at most.
 STRICT = 4.5  #: Standard errors that the gradient of a term must exceed.
 LEAST = 3.0  #: And its least size: a term in fewer texts never enters.
 
@@ -184,10 +191,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 upto = np.searchsorted(key >> BITS, np.arange(to - at + 1))
                 own = (key & ((1 << BITS) - 1)).astype("<u4")
                 for k in range(to - at):
-                    sets[at + k] = own[upto[k] : upto[k + 1]].tobytes()
+                    sets[at + k] = own[upto[k] : min(upto[k + 1], upto[k] + TERMS)].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "y", "terms"])
 
     rows = texts.select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "id long, y int, terms binary")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min("terms").alias("terms"))  # so that the driver gets a row for each id
     got = sorted((x["id"], x["y"], bytes(x["terms"])) for x in rows.toLocalIterator())
     if not got:
         return Machine(bias=-40.0)

@@ -8,11 +8,14 @@
    once; the outcome is that of best fit on the single pieces.
 4. Pieces take the planned slots by their rank within their length. Ranks are
    row numbers within (length, salt) plus the sizes of the salts before, so a
-   length that a third of all pieces share is ranked by many tasks.
-
-Null counts as empty; an empty text is one piece of the separator alone.
-Repeated rows are packed as often as they occur; other columns are ignored; an
-empty table gives an empty result.
+   length that a third of all pieces share is ranked by many tasks. Salts come
+   from a number of the row, so rows that repeat an id or have none are dealt out
+   as others are, and ties go by that number.
+
+Null counts as empty; an empty text is one piece of the separator alone. A very
+long text is cut into as many pieces as it needs. Rows that repeat or have no id
+are packed as often as they occur; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.bpe import encode_text, library_codec
 from wayfold.llm.common import materialize, ship
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces to a salt of a length, about, and the least number of salts.
 SALT_ROWS, LEAST_SALTS = 500_000, 64
 
@@ -96,18 +99,19 @@ def tokenised(docs: DataFrame, path: str, capacity: int, separator: int, id_col:
         own = library_codec(path)
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids = encode_text(text.as_py() or "", own) + end
                 start = 0
                 for k, n in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                    rows.append((row, i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     start += n
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, PIECES)
 
 
 def pack(
@@ -118,11 +122,11 @@ def pack(
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan(counts, capacity)
     salts = max(LEAST_SALTS, -(-sum(counts.values()) // SALT_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "salt").orderBy("row", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(within)).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - 1).alias("rank"))
 
@@ -142,4 +146,4 @@ def pack(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{PIECES.removeprefix('row long, ')}, sequence_id long, offset long")

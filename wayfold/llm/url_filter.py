@@ -8,14 +8,17 @@ machine, not once for each worker. Urls are probed a batch at a time: all
 candidate keys of the batch go through one vectorised binary search, and a hit
 counts only if the stored text equals the candidate.
 
-Candidates of a url are each suffix of its host at a label border joined with
-each prefix of its path whose length occurs in the list. The longest entry that
+Candidates of a url are each suffix of its host at a label border, of no more
+labels or characters than the longest listed host, joined with each prefix of its
+path whose length occurs in the list. So a url has as many candidates as the list
+allows, however long it is. The longest entry that
 fits wins (host and path together; then the longer host; then block).
 Rules come before the block list; what neither holds is allowed.
 
 A null url, and one without ``://``, has an empty host and path, no rule and
 the verdict allow. Rows that repeat are judged as often as they occur; other
-columns are ignored; an empty table gives an empty result.
+columns are ignored, also such as are called host, path or rule; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +55,8 @@ def write_digest_array(entries: Iterable[tuple[str, str, int]], target: str) ->
     blob = b"".join(r[1] for r in rows)
     ends = np.cumsum([len(r[1]) for r in rows], dtype="<u8") if rows else np.zeros(0, "<u8")
     lengths = sorted({len(p) for _, p in best})
-    head = np.array([len(rows), len(lengths), len(blob)], "<u8")
+    labels, longest = max((h.count(".") for h, _ in best), default=-1) + 1, max((len(h) for h, _ in best), default=0)
+    head = np.array([len(rows), len(lengths), len(blob), labels, longest], "<u8")
     with open(target, "wb") as f:
         for part in (head, np.array([r[0] for r in rows], "<u8"), ends, np.array([r[2] for r in rows], "<u8"), np.array(lengths, "<u8")):
             f.write(part.tobytes())
@@ -65,8 +69,9 @@ class DigestArray:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, n_lengths, _ = (int(x) for x in np.frombuffer(data, "<u8", 3))
-        at = 24
+        #: No listed host has more labels, or more characters.
+        n, n_lengths, _, self.most_labels, self.longest = (int(x) for x in np.frombuffer(data, "<u8", 5))
+        at = 40
         self.keys = np.frombuffer(data, "<u8", n, at)
         self.ends = np.frombuffer(data, "<u8", n, at + 8 * n)
         self.codes = np.frombuffer(data, "<u8", n, at + 16 * n)
@@ -107,16 +112,18 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(UPPER), m[2]) if m else ("", "")
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
-    if not host:
-        return []
-    suffixes = [host] + [host[k + 1 :] for k, c in enumerate(host) if c == "."]
-    return [(s, path[:n]) for s in suffixes if s for n in lengths if n <= len(path)]
+def candidates(host: str, path: str, array: DigestArray) -> list[tuple[str, str]]:
+    """The suffixes of a host that a listed host can be as long as, with the prefixes of the path."""
+    suffixes, at = [], len(host)
+    while len(suffixes) < array.most_labels and at > 0 and len(host) - at <= array.longest:
+        at = host.rfind(".", 0, at)
+        suffixes.append(host[at + 1 :])
+    return [(s, path[:n]) for s in reversed(suffixes) if s and len(s) <= array.longest for n in array.lengths if n <= len(path)]
 
 
 def judge(urls: list[str | None], array: DigestArray) -> list[tuple]:
     split = [split_url(u) for u in urls]
-    each = [candidates(h, p, array.lengths) for h, p in split]
+    each = [candidates(h, p, array) for h, p in split]
     found = iter(array.find([f"{s}\0{p}".encode("utf-8", "surrogatepass") for c in each for s, p in c]))
     out = []
     for (host, path), own in zip(split, each):
@@ -141,7 +148,8 @@ def judge_urls(
     """One row for each page: page_id, host, path, rule, verdict, listed.
 
     ``rules`` holds (verdict, host, path); ``blocked`` holds (host, path). A
-    path of "/" stands for a whole host. An entry may be both: the rule decides.
+    path of "/" fits every url of a host that has a path; one of "" fits all. An
+    entry may be both: the rule decides.
     """
     spark = pages.sparkSession
     ship(spark)

@@ -11,7 +11,8 @@ from wayfold.functions.distance import DELTA, EPS, native_distance
 from wayfold.functions.shared import materialize
 from wayfold.operators import index, join, search
 from wayfold.plans.sql import TrajectorySession
-from wayfold.sources.trajectories import from_events, from_orders, parse, render
+from wayfold.sources.files import place
+from wayfold.sources.trajectories import EVENTS, ORDERS, from_events, from_orders, parse, read_text, render, write_text
 
 QUERY = [[20.0, 5.0], [60.0, 20.0], [30.0, 35.0], [80.0, 50.0], [50.0, 65.0], [20.0, 80.0], [70.0, 95.0]]
 BARS = {"DTW": 260.0, "FRECHET": 48.0, "EDR": 8.0, "LCSS": 8.0}
@@ -22,12 +23,6 @@ K = 10
 
 # ---------------------------------------------------------------- the same in DuckDB
 
-EVENTS = """SELECT user_id AS id, list([value, (epoch_us(ts) % 86400000000) / 864000000.0] ORDER BY ts, event_id) AS traj
-    FROM events GROUP BY user_id"""
-ORDERS = """SELECT o_custkey AS id, list([o_totalprice / 5000.0, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 25.0]
-    ORDER BY o_orderdate, o_orderkey)::DOUBLE[][] AS traj FROM orders GROUP BY o_custkey"""
-
-
 def duck_point(p: str, q: str) -> str:
     return f"sqrt(({p}[1] - {q}[1]) * ({p}[1] - {q}[1]) + ({p}[2] - {q}[2]) * ({p}[2] - {q}[2]))"
 
@@ -234,6 +229,14 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", F.size("traj").alias("points"), F.round(F.aggregate("traj", F.lit(0.0), lambda s, p: s + p[0] + p[1]), 6).alias("total"))
 
 
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories as text in the order of their customers, in several files, and read with their line numbers."""
+    path = place(spark, "lines")
+    write_text(from_orders(spark, sf_dir).repartitionByRange(3, "id").sortWithinPartitions("id"), path)
+    back = read_text(spark, path)
+    return back.select("id", F.size("traj").alias("points"), F.round(F.aggregate("traj", F.lit(0.0), lambda s, p: s + p[0] + p[1]), 6).alias("total"))
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories in index tiles: none is lost, and no tile has more than twice its share."""
     o = materialize(from_orders(spark, sf_dir), "tiled-orders")
@@ -278,6 +281,7 @@ QUERIES |= {
     "traj_text_round_trip": text_round_trip,
     "traj_tiles": tiles,
     "traj_str_tiles": str_tiles,
+    "traj_text_lines": text_lines,
     "traj_diagonal_tiles": diagonal_tiles,
     "traj_index_after_insert": index_after_insert,
     "traj_sql_knn_rows": _sql(f"SELECT o.id FROM traj_orders o WHERE DTW(o.traj, {LITERAL}) KNN {K}"),
@@ -348,6 +352,7 @@ SQL |= {
     "traj_indexed_sql": f"SELECT id, 'near' AS kind FROM ({_dtw}) UNION ALL SELECT id, 'box' FROM ({_range_sql('p[1] BETWEEN 0 AND 70 AND p[2] BETWEEN 0 AND 95')}) UNION ALL SELECT id, 'circle' FROM ({_range_sql(duck_point('p', '[50, 50]') + ' <= 50')})",
     "traj_index_commands": "SELECT 'traj_index' AS index",
     "traj_text_round_trip": f"SELECT id, len(traj) AS points, round(list_sum(flatten(traj)), 6) AS total FROM ({ORDERS})",
+    "traj_text_lines": f"SELECT row_number() OVER (ORDER BY id) - 1 AS id, len(traj) AS points, round(list_sum(flatten(traj)), 6) AS total FROM ({ORDERS})",
     "traj_sql_threshold": f"SELECT id FROM ({_dtw})",
     "traj_sql_knn_count": f"SELECT {K} AS n",
     "traj_sql_join_count": f"SELECT count(*) AS n FROM ({_join_sql('FRECHET', EVENTS, 68.0, 'true')})",

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRAJECTORY = "array<array<double>>"
 
+#: The trajectories of ``from_events`` and ``from_orders`` in DuckDB.
+EVENTS = """SELECT user_id AS id, list([value, (epoch_us(ts) % 86400000000) / 864000000.0] ORDER BY ts, event_id) AS traj
+    FROM events GROUP BY user_id"""
+ORDERS = """SELECT o_custkey AS id, list([o_totalprice / 5000.0, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 25.0]
+    ORDER BY o_orderdate, o_orderkey)::DOUBLE[][] AS traj FROM orders GROUP BY o_custkey"""
+
 
 def parse(text) -> F.Column:
     """``x,y;x,y`` as a trajectory; a line without points is an empty one."""
@@ -19,10 +25,21 @@ def render(column) -> F.Column:
     return F.array_join(F.transform(column, lambda p: F.array_join(F.transform(p, lambda c: c.cast("string")), ",")), ";")
 
 
-def read_text(spark: SparkSession, path: str, id_from: str = "line") -> DataFrame:
-    """(id, traj): one trajectory for each line. Ids rise with the lines of a file, as ``monotonically_increasing_id`` gives them."""
-    lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("id"), parse(F.col("value")).alias("traj"))
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(id, traj): one trajectory for each line; ids are line numbers from 0 over all files, in the order of their paths.
+
+    Files may be read in parts. A first pass counts the lines of each part; the
+    lines before it are a running sum within its file and over the files before.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    lines = lines.withColumn("place", F.monotonically_increasing_id())
+    parts = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    in_file = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = parts.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0))).join(files, "file")
+    parts = parts.select("file", "part", (F.col("base") + F.col("before") - F.col("first")).alias("shift"))
+    return lines.join(parts, ["file", "part"]).select((F.col("place") + F.col("shift")).alias("id"), parse(F.col("value")).alias("traj"))
 
 
 def write_text(df: DataFrame, path: str, column: str = "traj") -> None:

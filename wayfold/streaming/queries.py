@@ -11,27 +11,45 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.functions.shared import materialize
 from wayfold.sources.files import place
+from wayfold.sources.trajectories import ORDERS, from_orders
+from wayfold.sources.trajectory_text import TrajectoryText
+from wayfold.streaming.monitor import Progress, RowFiles
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that its source holds now.
+class Feed:
+    """A folder that a stream reads, and the tables that arrive in it one after the other, each as one batch of any number of files."""
+
+    def __init__(self, spark: SparkSession, tables: list[DataFrame]):
+        self.path, self.tables = place(spark, "feed"), tables
+        tables[0].write.parquet(self.path)  # a stream's folder has to be there
+        self.stream = spark.readStream.schema(tables[0].schema).parquet(self.path)
+
+    def arrivals(self) -> Iterator[None]:
+        yield
+        for table in self.tables[1:]:
+            table.write.mode("append").parquet(self.path)
+            yield
+
+
+def drain(stream: DataFrame, mode: str, feed: Feed | None = None) -> DataFrame:
+    """Run a stream over all that its source holds now; of a feed again after each arrival, from the checkpoint.
 
     Append results go to Parquet files with the sink's own log. Of complete
     results the last batch's is returned; of update results all batches' rows,
     with the number of the batch, since only the caller knows their key.
     """
-    spark, where = stream.sparkSession, place(stream.sparkSession, "stream")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/log").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{where}/rows").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{where}/rows")
-    last = []
+    spark, where, last = stream.sparkSession, place(stream.sparkSession, "stream"), []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
         last.append(number)
 
-    writer.foreachBatch(write).start().awaitTermination()
+    for _ in feed.arrivals() if feed else (None,):
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/log").trigger(availableNow=True)
+        writer = writer.format("parquet").option("path", f"{where}/rows") if mode == "append" else writer.foreachBatch(write)
+        writer.start().awaitTermination()
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{where}/rows")
     if not last:
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
@@ -100,49 +118,43 @@ def latest(rows: DataFrame, key: str) -> DataFrame:
     return last.select(key, *(F.col(f"last.{c}") for c in columns))
 
 
-def in_parts(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of several batches in the order of time: one file for each, one file a batch."""
+def in_parts(spark: SparkSession, sf_dir: str, parts: int = 4) -> Feed:
+    """The events in several arrivals, by ranges of their ids."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    cuts = e.approxQuantile("event_id", [k / parts for k in range(1, parts)], 0.0)
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("event_id") > c).cast("int")
-    path = place(spark, "batches")
-    for k in range(parts):  # files are taken in the order in which they were written
-        e.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    least, most = e.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - least) * parts / (most - least + 1)) if least is not None else F.lit(0)
+    return Feed(spark, [e.where(part == k) for k in range(parts)])
 
 
 def updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update mode over several batches: the last count that each type was given."""
-    counts = in_parts(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
-    return latest(drain(counts, "update"), "event_type")
+    feed = in_parts(spark, sf_dir)
+    return latest(drain(feed.stream.groupBy("event_type").agg(F.count("*").alias("n")), "update", feed), "event_type")
 
 
 def appended_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append mode: windows that the watermark has passed, each once."""
-    counts = in_parts(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    return drain(counts, "append").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n").agg(F.count("*").alias("windows"), F.max("n").alias("most"))
+    feed = in_parts(spark, sf_dir)
+    counts = feed.stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    found = drain(counts, "append", feed).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+    return found.agg(F.count("*").alias("windows"), F.max("n").alias("most"))
 
 
 def late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that come after the watermark are dropped: a batch of all events, one with the last moment again (late rows are
     told by the watermark that the batch before began with), then all events sixty days older."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = place(spark, "late")
-    e.coalesce(1).write.parquet(path)
-    e.agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts")).coalesce(1).write.mode("append").parquet(path)
-    e.select("event_id", (F.col("ts") - F.expr("INTERVAL 60 DAYS")).alias("ts")).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "1 hour")
-    counts = stream.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
-    rows = latest(drain(counts, "update"), "window")
-    return rows.agg(F.sum("n").alias("rows"))
+    again = e.agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts"))
+    feed = Feed(spark, [e, again, e.select("event_id", (F.col("ts") - F.expr("INTERVAL 60 DAYS")).alias("ts"))])
+    counts = feed.stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    return latest(drain(counts, "update", feed), "window").agg(F.sum("n").alias("rows"))
 
 
 def distinct_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dropDuplicatesWithinWatermark: each user and type once within the span that the watermark keeps, here all."""
-    rows = in_parts(spark, sf_dir).withWatermark("ts", "1000 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return drain(rows.select("user_id", "event_type"), "append")
+    feed = in_parts(spark, sf_dir)
+    rows = feed.stream.withWatermark("ts", "1000 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return drain(rows.select("user_id", "event_type"), "append", feed)
 
 
 def idle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,13 +175,58 @@ def idle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = place(spark, "idle")
-    e.coalesce(1).write.parquet(path)
-    for days in (400, 401):  # one late row moves the watermark, another lets the timeouts fire
-        e.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts")).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "1 hour")
-    rows = stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return drain(rows, "append").where("user_id >= 0")
+    # One late row moves the watermark, another lets the timeouts fire.
+    later = [e.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts")) for days in (400, 401)]
+    feed = Feed(spark, [e, *later])
+    rows = feed.stream.withWatermark("ts", "1 hour").groupBy("user_id").applyInPandasWithState(step, "user_id long, n long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return drain(rows, "append", feed).where("user_id >= 0")
+
+
+def trajectory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectory text by its own stream source and sink: two arrivals, the second after a restart from the checkpoint."""
+    spark.dataSource.register(TrajectoryText)
+    where, o = place(spark, "trajectory-text"), from_orders(spark, sf_dir)
+    for part in range(2):
+        o.where(F.col("id") % 2 == part).write.format("trajectory_text").mode("append").save(f"{where}/in")
+        stream = spark.readStream.format("trajectory_text").load(f"{where}/in")
+        twice = stream.select(F.transform("traj", lambda p: F.transform(p, lambda c: c * 2)).alias("traj"))
+        writer = twice.writeStream.format("trajectory_text").option("checkpointLocation", f"{where}/log").trigger(availableNow=True)
+        writer.start(f"{where}/out").awaitTermination()
+    back = spark.read.format("trajectory_text").load(f"{where}/out")
+    return back.select(F.size("traj").alias("points"), F.round(F.aggregate("traj", F.lit(0.0), lambda s, p: s + p[0] + p[1]), 6).alias("total"))
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener heard of a stream in several batches: rows read and observed, and the ends of its runs."""
+    feed, heard, runs = in_parts(spark, sf_dir), Progress(), []
+    seen = feed.stream.observe("seen", F.count("*").alias("rows"), F.max("event_id").alias("last"), F.sum(F.col("event_type").eqNullSafe("click").cast("long")).alias("clicks"))
+    where = place(spark, "progress")
+    spark.streams.addListener(heard)
+    try:
+        for _ in feed.arrivals():
+            query = seen.select("event_id").writeStream.option("checkpointLocation", f"{where}/log").trigger(availableNow=True).format("parquet").start(f"{where}/rows")
+            query.awaitTermination()
+            runs.append(query.runId)
+        told = [event for run in runs for event in heard.of(run)]
+    finally:
+        spark.streams.removeListener(heard)
+    batches = [data for kind, data in told if kind == "progress" and data["rows"]]
+    observed = [b["observed"]["seen"] for b in batches]
+    found = {
+        "batches": len(batches), "rows": sum(b["rows"] for b in batches), "observed": sum(o["rows"] for o in observed), "clicks": sum(o["clicks"] or 0 for o in observed),
+        "last": max(o["last"] for o in observed), "started": sum(k == "started" for k, _ in told), "ended": sum(k == "terminated" and not d["error"] for k, d in told),
+    }
+    return spark.createDataFrame(list(found.items()), "metric string, value long")
+
+
+def foreach_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases by a row writer: open, process and close where the rows are."""
+    where, feed = place(spark, "foreach"), in_parts(spark, sf_dir, 2)
+    rows = feed.stream.where("event_type = 'purchase'").select("event_id", "user_id", "value")
+    for _ in feed.arrivals():
+        writer = rows.writeStream.foreach(RowFiles(f"{where}/rows")).option("checkpointLocation", f"{where}/log").trigger(availableNow=True)
+        writer.start().awaitTermination()
+    return spark.read.schema(rows.schema).json(f"{where}/rows")
 
 
 def rate_to_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +259,9 @@ QUERIES = {
     "stream_distinct_within": distinct_within,
     "stream_state_timeout": idle_users,
     "stream_rate_memory": rate_to_memory,
+    "stream_trajectory_source": trajectory_source,
+    "stream_progress": progress,
+    "stream_foreach": foreach_rows,
 }
 
 SQL = {
@@ -220,5 +280,9 @@ SQL = {
     "stream_distinct_within": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_state_timeout": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "stream_rate_memory": "SELECT true AS whole, true AS once, true AS first",
+    "stream_trajectory_source": f"SELECT len(traj) AS points, round(list_sum(flatten(traj)) * 2, 6) AS total FROM ({ORDERS})",
+    "stream_progress": """SELECT unnest(['batches', 'rows', 'observed', 'clicks', 'last', 'started', 'ended']) AS metric,
+        unnest([4, count(*), count(*), count(*) FILTER (event_type = 'click'), max(event_id), 4, 4]) AS value FROM events""",
+    "stream_foreach": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'",
     "stream_state": "SELECT user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id",
 }

@@ -2,15 +2,28 @@
 
 Vertices are longs. Each round's table is written to the shared folder, so that
 lineage and plans stay short. Loops stop when nothing changes.
+
+Edges are dealt by a two-dimensional vertex cut (``cut``): the hash of the source
+names a row of a square of parts, that of the destination a column. So the edges
+of a hub lie in about the root of all parts, and a routing table (``routes``)
+holds for each vertex the few parts that its value has to be sent to. Messages
+combine within the tasks before they go to the vertex that they are for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.shared import discard, materialize
 
+#: Parts of a vertex cut, a square number.
+PARTS = 256
+#: Which edges a round looks at: those with an active source, destination, either or both.
+DIRECTIONS = {"out": "src_active", "in": "dst_active", "either": "src_active OR dst_active", "both": "src_active AND dst_active"}
+
 
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
@@ -28,22 +41,58 @@ def triplets(edges: DataFrame, attributes: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "src_attr", "dst_attr")
 
 
-def pregel(edges: DataFrame, state: DataFrame, message: Column, combine, update: Column, rounds: int | None = None) -> DataFrame:
-    """Supersteps over (id, value): ``message`` (of src_value) goes along each edge, ``combine`` aggregates what a vertex
-    receives as ``got``, ``update`` (of value and got, null without messages) is its next value. Ends when no value
-    changes, or after ``rounds``; only vertices that changed send."""
-    edges = materialize(edges.select("src", "dst"), "pregel-edges")
+def cut(edges: DataFrame, parts: int = PARTS) -> DataFrame:
+    """The edges with the part that each lies in."""
+    side = max(1, math.isqrt(parts))
+    place = lambda c, seed: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(side))
+    return edges.withColumn("part", (place("src", 1) * side + place("dst", 2)).cast("int"))
+
+
+def routes(placed: DataFrame) -> DataFrame:
+    """(id, part): the parts that hold edges of a vertex."""
+    return placed.select(F.col("src").alias("id"), "part").union(placed.select("dst", "part")).distinct()
+
+
+def edge_contexts(placed: DataFrame, routed: DataFrame, state: DataFrame, direction: str = "out", both_ends: bool = True) -> DataFrame:
+    """Edges of a cut beside src_value and dst_value, of those that ``direction`` names by the state's column ``active``.
+
+    Values go to the parts by the routing table, and meet the edges by part and vertex. Without ``both_ends`` there is no dst_value.
+    """
+    sent = routed.join(state, "id")
+    at = lambda end: sent.select("part", F.col("id").alias(end), F.col("value").alias(f"{end}_value"), F.col("active").alias(f"{end}_active"))
+    if not both_ends:
+        if direction != "out":
+            raise ValueError("a direction other than out needs both ends")
+        return placed.join(at("src").where("src_active"), ["part", "src"])
+    return placed.join(at("src"), ["part", "src"]).join(at("dst"), ["part", "dst"]).where(DIRECTIONS[direction])
+
+
+def aggregate_messages(contexts: DataFrame, combine, to_dst: Column | None = None, to_src: Column | None = None) -> DataFrame:
+    """(id, got): messages of edges, given as columns of src_value, dst_value and the edge, combined at the vertices; a null sends nothing."""
+    ways = [F.struct(F.col(end).alias("id"), m.alias("m")) for end, m in (("dst", to_dst), ("src", to_src)) if m is not None]
+    return contexts.select(F.inline(F.array(*ways))).where("m IS NOT NULL").groupBy("id").agg(combine(F.col("m")).alias("got"))
+
+
+def pregel(
+    edges: DataFrame, state: DataFrame, message: Column | None, combine, update: Column, rounds: int | None = None, back: Column | None = None, direction: str = "out", both_ends: bool = False
+) -> DataFrame:
+    """Supersteps over (id, value): ``message`` goes along each edge and ``back`` against it, both columns of src_value
+    (with ``both_ends`` also of dst_value) and the edge; ``combine`` aggregates what a vertex receives as ``got``,
+    ``update`` (of value and got, null without messages) is its next value. Ends when no value changes, or after
+    ``rounds``; a round looks at the edges that ``direction`` names by the vertices that changed last."""
+    placed = materialize(cut(edges), "pregel-edges")
+    routed = materialize(routes(placed), "pregel-routes")
     state = materialize(state.select("id", "value", F.lit(True).alias("active")), "pregel-0")
     k = 0
     while rounds is None or k < rounds:
         k += 1
-        senders = state.where("active").select(F.col("id").alias("src"), F.col("value").alias("src_value"))
-        got = edges.join(senders, "src").select(F.col("dst").alias("id"), message.alias("m")).groupBy("id").agg(combine(F.col("m")).alias("got"))
+        got = aggregate_messages(edge_contexts(placed, routed, state, direction, both_ends), combine, message, back)
         new = state.join(got, "id", "left").select("id", F.col("value").alias("old"), update.alias("value"))
         old, state = state, materialize(new.select("id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("active")), f"pregel-{k}")
         discard(old)
         if rounds is None and state.where("active").isEmpty():
             break
+    discard(placed, routed)
     return state.select("id", "value")
 
 
@@ -61,13 +110,17 @@ def shortest_paths(edges: DataFrame, landmark: int) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
-    """(id, value): each round a vertex takes its neighbours' commonest label, the smallest of equals."""
-    way = materialize(both_ways(edges), "labels-edges")
-    labels = vertices(edges).select("id", F.col("id").alias("value"))
+    """(id, value): each round a vertex takes its neighbours' commonest label, the smallest of equals; one without neighbours keeps its own."""
+    placed = materialize(cut(both_ways(edges)), "labels-edges")
+    routed = materialize(routes(placed), "labels-routes")
+    labels = materialize(vertices(edges).select("id", F.col("id").alias("value")), "labels-0")
     for k in range(rounds):
-        seen = way.join(labels.withColumnRenamed("id", "src"), "src").groupBy("dst", "value").agg(F.count("*").alias("n"))
-        best = seen.groupBy(F.col("dst").alias("id")).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
-        labels = materialize(labels.select("id").join(best, "id"), f"labels-{k}")
+        near = edge_contexts(placed, routed, labels.withColumn("active", F.lit(True)), both_ends=False)
+        seen = near.groupBy("dst", F.col("src_value").alias("label")).agg(F.count("*").alias("n"))
+        best = seen.groupBy(F.col("dst").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
+        old, labels = labels, materialize(labels.join(best, "id", "left").select("id", F.coalesce("best", "value").alias("value")), f"labels-{k + 1}")
+        discard(old)
+    discard(placed, routed)
     return labels
 
 
@@ -85,16 +138,24 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
-def page_rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """(id, value): ranks that start at 1; after each round a vertex has 1 - damping and what its neighbours share out."""
+def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(id, value): ranks that start at 1; after each round a vertex has 1 - damping and what its neighbours share out.
+    Without ``rounds``, until no rank moves by more than the tolerance."""
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    way = materialize(edges.select("src", "dst").join(out, "src"), "rank-edges")
-    ids = materialize(vertices(edges), "rank-ids")
-    ranks = ids.select("id", F.lit(1.0).alias("value"))
-    for k in range(rounds):
-        given = way.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("out")).alias("got"))
-        ranks = materialize(ids.join(given, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("value")), f"rank-{k}")
-    return ranks
+    placed = materialize(cut(edges.select("src", "dst").join(out, "src")), "rank-edges")
+    routed = materialize(routes(placed), "rank-routes")
+    ranks, k = materialize(vertices(edges).select("id", F.lit(1.0).alias("value")), "rank-0"), 0
+    while rounds is None or k < rounds:
+        k += 1
+        near = edge_contexts(placed, routed, ranks.withColumn("active", F.lit(True)), both_ends=False)
+        given = aggregate_messages(near, F.sum, F.col("src_value") / F.col("out"))
+        new = ranks.join(given, "id", "left").select("id", F.col("value").alias("old"), (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("value"))
+        old, ranks = ranks, materialize(new, f"rank-{k}")
+        discard(old)
+        if rounds is None and ranks.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0] <= tolerance:
+            break
+    discard(placed, routed)
+    return ranks.select("id", "value")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -116,3 +177,50 @@ def strong_components(edges: DataFrame) -> DataFrame:
         ids = materialize(ids.join(found, "id", "left_anti"), "strong-ids")
         left = materialize(left.join(ids.withColumnRenamed("id", "src"), "src").join(ids.withColumnRenamed("id", "dst"), "dst").select("src", "dst"), "strong-edges")
     return done if done is not None else ids.select("id", F.col("id").alias("value"))
+
+
+def svd_plus_plus(ratings: DataFrame, factors: int = 4, rounds: int = 5, rate: float = 0.005, decay: float = 0.02) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Factors of ratings (user, item, rating) with implicit feedback: users, items, and the root mean square error before each round.
+
+    A rating is estimated as mean + user bias + item bias + q . (p + the sum of the
+    y of all items that the user has rated, over the root of their number). Each
+    round takes one gradient step from all ratings: an edge sends the steps of p and
+    the user's bias to its user and those of q, y and the item's bias to its item.
+    Factors start from hashes of the ids. Vectors are columns, so all is done by
+    joins and sums; ratings are written once, cut in two dimensions like edges.
+    """
+    each = lambda name: [f"{name}{k}" for k in range(factors)]
+    start = lambda c, seed: ((F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(2001)) - 1000) / 10_000.0)
+    grouped = ratings.where("user IS NOT NULL AND item IS NOT NULL AND rating IS NOT NULL").groupBy("user", "item").agg(F.avg("rating").alias("rating"))
+    placed = materialize(cut(grouped.select(F.col("user").alias("src"), F.col("item").alias("dst"), "rating")), "svd-ratings")
+    mean = placed.agg(F.avg("rating")).first()[0]
+    zero = F.lit(0.0)
+    users = placed.groupBy(F.col("src").alias("user")).agg((1 / F.sqrt(F.count("*"))).alias("norm"))
+    users = materialize(users.select("user", "norm", zero.alias("bu"), *(start("user", k).alias(c) for k, c in enumerate(each("p")))), "svd-users")
+    items = placed.select(F.col("dst").alias("item")).distinct()
+    seeds = [(c, 100 * (1 + n) + k) for n, name in enumerate("qy") for k, c in enumerate(each(name))]
+    items = materialize(items.select("item", zero.alias("bi"), *(start("item", k).alias(c) for c, k in seeds)), "svd-items")
+    ends = materialize(placed.select(F.col("src").alias("id"), "part", F.lit(True).alias("user")).union(placed.select("dst", "part", F.lit(False))).distinct(), "svd-routes")
+    sent = lambda table, key, end: ends.where("user" if key == "user" else "NOT user").select("part", F.col("id").alias(end)).join(table.withColumnRenamed(key, end), end)
+    errors = []
+    for k in range(rounds):
+        implicit = placed.join(sent(items.select("item", *each("y")), "item", "dst"), ["part", "dst"]).groupBy(F.col("src").alias("user")).agg(*(F.sum(c).alias(f"s{c}") for c in each("y")))
+        whole = users.join(implicit, "user").select("user", "bu", "norm", *each("p"), *((F.col(p) + F.col("norm") * F.col(f"s{y}")).alias(f"z{i}") for i, (p, y) in enumerate(zip(each("p"), each("y")))))
+        met = placed.join(sent(whole, "user", "src"), ["part", "src"]).join(sent(items, "item", "dst"), ["part", "dst"])
+        product = sum((F.col(q) * F.col(z) for q, z in zip(each("q"), each("z"))), F.lit(0.0))
+        met = materialize(met.withColumn("e", F.col("rating") - (F.lit(mean) + F.col("bu") + F.col("bi") + product)), f"svd-{k}")
+        errors.append(met.agg(F.sqrt(F.avg(F.col("e") * F.col("e")))).first()[0])
+        step = lambda gradient, own: F.sum(gradient - decay * F.col(own)) * rate
+        to_user = met.groupBy(F.col("src").alias("user")).agg(step(F.col("e"), "bu").alias("dbu"), *(step(F.col("e") * F.col(q), p).alias(f"d{p}") for p, q in zip(each("p"), each("q"))))
+        to_item = met.groupBy(F.col("dst").alias("item")).agg(
+            step(F.col("e"), "bi").alias("dbi"),
+            *(step(F.col("e") * F.col(z), q).alias(f"d{q}") for q, z in zip(each("q"), each("z"))),
+            *(step(F.col("e") * F.col("norm") * F.col(q), y).alias(f"d{y}") for y, q in zip(each("y"), each("q"))),
+        )
+        moved = lambda table, by, key, kept, names: table.join(by, key).select(key, *kept, *((F.col(n) + F.col(f"d{n}")).alias(n) for n in names))
+        new_users = materialize(moved(users, to_user, "user", ["norm"], ["bu", *each("p")]), f"svd-users-{k}")
+        new_items = materialize(moved(items, to_item, "item", [], ["bi", *each("q"), *each("y")]), f"svd-items-{k}")
+        discard(users, items, met)
+        users, items = new_users, new_items
+    discard(placed, ends)
+    return users, items, errors

@@ -6,11 +6,11 @@ import os
 
 import pytest
 
-from wayfold.plans import catalogue, commands, function_families, graph_queries, learning
+from wayfold.plans import catalogue, commands, distributed, function_families, graph_queries, learning
 from wayfold.sources import files
 from wayfold.streaming import queries as streaming
 
-PARTS = (catalogue, function_families, commands, files, graph_queries, learning, streaming)
+PARTS = (catalogue, function_families, commands, files, graph_queries, distributed, learning, streaming)
 OWN = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in PARTS for name, text in part.SQL.items()}
 

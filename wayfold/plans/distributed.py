@@ -1,11 +1,12 @@
-"""Queries of the operators along one order, of Bloom filters and of metrics, and their SQL."""
+"""Queries of the operators along one order, of Bloom filters, metrics and matrices, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import bloom, metrics, ordered
+from wayfold.functions.shared import materialize
+from wayfold.operators import bloom, matrix, metrics, ordered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +58,28 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rows", *(F.round(c, 9).alias(c) for c in ("precision", "average_precision", "ndcg")))
 
 
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' quantities of parts, as entries of a matrix."""
+    item = _table(spark, sf_dir, "lineitem")
+    return item.select(F.col("l_suppkey").cast("long").alias("i"), (F.col("l_partkey") % 300).cast("long").alias("j"), F.col("l_quantity").cast("double").alias("value"))
+
+
+def product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' quantities multiplied over all suppliers: the Gram matrix of the sales."""
+    sales = materialize(matrix.blocks(_sales(spark, sf_dir)), "sales")
+    return matrix.entries(matrix.gram(sales)).select("i", "j", F.round("value", 4).alias("value"))
+
+
+def singular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest singular values of the sales."""
+    sales = materialize(matrix.blocks(_sales(spark, sf_dir)), "sales")
+    found = matrix.singular_values(sales, 3, rounds=12)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(found)], "place long, value double")
+
+
 QUERIES = {
+    "matrix_gram": product,
+    "matrix_singular_values": singular,
     "ordered_moving": moving,
     "ordered_running_total": running_total,
     "join_bloom": bloom_join,
@@ -69,6 +91,8 @@ QUERIES = {
 _CURVE = """c AS (SELECT l_extendedprice::DOUBLE AS threshold, count(*) FILTER (l_quantity > 25) AS p, count(*) FILTER (l_quantity <= 25) AS n FROM lineitem GROUP BY 1),
     r AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM c WINDOW w AS (ORDER BY threshold DESC))"""
 SQL = {
+    "matrix_gram": """WITH a AS (SELECT l_suppkey AS s, l_partkey % 300 AS p, sum(l_quantity::DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
+        SELECT x.p AS i, y.p AS j, round(sum(x.v * y.v), 4) AS value FROM a x JOIN a y ON x.s = y.s GROUP BY 1, 2""",
     "ordered_moving": """SELECT l_orderkey, l_linenumber, round(sum(l_quantity::DOUBLE) OVER w, 4) AS sum_q, max(l_extendedprice::DOUBLE) OVER w AS top, count(*) OVER w AS n
         FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)""",
     "ordered_running_total": """SELECT o_orderkey, row_number() OVER w - 1 AS place, (sum(round(o_totalprice::DOUBLE * 100)::BIGINT) OVER w)::BIGINT AS total

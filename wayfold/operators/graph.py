@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.shared import discard, materialize
@@ -25,6 +25,14 @@ PARTS = 256
 DIRECTIONS = {"out": "src_active", "in": "dst_active", "either": "src_active OR dst_active", "both": "src_active AND dst_active"}
 
 
+def load_edges(spark: SparkSession, path: str, canonical: bool = False) -> DataFrame:
+    """Edges from text, two vertices to a line apart by white space; lines that begin with # are left out. With
+    ``canonical`` each edge runs from its smaller vertex."""
+    fields = F.split(F.trim("value"), r"\s+")
+    found = spark.read.text(path).where("value NOT LIKE '#%' AND trim(value) != ''").select(fields[0].cast("long").alias("src"), fields[1].cast("long").alias("dst"))
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")) if canonical else found
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions.shared import materialize
 from wayfold.plans.catalogue import views
 from wayfold.sources.files import place
 
@@ -85,7 +92,9 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = part.select("p_partkey", F.expr("twice_and_one(p_size)").alias("v"))
     shown = spark.sql("SHOW USER FUNCTIONS").where("function LIKE '%twice_and_one'").count()
     described = spark.sql("DESCRIBE FUNCTION abs").count() > 0
-    return out.withColumn("shown", F.lit(shown == 1 and described))
+    spark.sql("DROP TEMPORARY FUNCTION twice_and_one")  # a plan that used it keeps its body
+    gone = spark.sql("SHOW USER FUNCTIONS").where("function LIKE '%twice_and_one'").count() == 0
+    return out.withColumn("shown", F.lit(shown == 1 and described and gone))
 
 
 def caching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +107,85 @@ def caching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["n_regionkey"], r["n"], during, spark.catalog.isCached("cached_nation")) for r in rows], "k int, n long, during boolean, later boolean")
 
 
+def clear_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables cached, and none after CLEAR CACHE."""
+    views(spark, sf_dir)
+    for name in ("region", "nation"):
+        spark.sql(f"CACHE TABLE cleared_{name} AS SELECT * FROM {name}")
+    during = spark.catalog.isCached("cleared_region") and spark.catalog.isCached("cleared_nation")
+    spark.sql("CLEAR CACHE")
+    later = spark.catalog.isCached("cleared_region") or spark.catalog.isCached("cleared_nation")
+    joined = spark.sql("SELECT r_name, count(*) AS n FROM cleared_nation JOIN cleared_region ON n_regionkey = r_regionkey GROUP BY r_name")
+    return joined.withColumns({"during": F.lit(during), "later": F.lit(later)})
+
+
+def refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table over a folder in which files appear: REFRESH TABLE, then REFRESH of the path, show what is there."""
+    path, name = place(spark, "refreshed"), f"refreshed_{uuid.uuid4().hex}"
+    (part,) = _tables(spark, sf_dir, "part")
+    keys = part.select("p_partkey", "p_brand")
+    keys.where("p_partkey % 3 = 0").write.parquet(path)
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    try:
+        found = []
+        for left, command in ((1, f"REFRESH TABLE {name}"), (2, f"REFRESH '{path}'")):
+            spark.table(name).count()  # the listing is kept
+            keys.where(f"p_partkey % 3 = {left}").write.mode("append").parquet(path)
+            spark.sql(command)
+            if left == 2:
+                spark.sql(f"REFRESH TABLE {name}")
+            found.append(materialize(spark.table(name).groupBy("p_brand").agg(F.count("*").alias("n")).withColumn("stage", F.lit(left)), "refreshed"))
+        return found[0].union(found[1])
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def added_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ADD FILE and LIST FILE: the five regions' names as a file that the tasks read."""
+    nation, region = _tables(spark, sf_dir, "nation", "region")
+    name = f"regions-{uuid.uuid4().hex}.json"
+    local = os.path.join(tempfile.mkdtemp(prefix="wayfold-"), name)
+    with open(local, "w") as f:
+        json.dump({r["r_regionkey"]: r["r_name"] for r in region.collect()}, f)
+    spark.sql(f"ADD FILE '{local}'")
+    listed = spark.sql("LIST FILES").where(F.col("Results").endswith(name)).count() == 1
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(SparkFiles.get(name)) as f:
+            names = json.load(f)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[str(k)] for k in b.column(1).to_pylist()], pa.string())], ["n_name", "region"])
+
+    return nation.select("n_name", "n_regionkey").mapInArrow(named, "n_name string, region string").withColumn("listed", F.lit(listed))
+
+
+class Counts(AccumulatorParam):
+    """Counts by name, summed name by name; of names whose number is bounded."""
+
+    def zero(self, value: dict[str, int]) -> dict[str, int]:
+        return {}
+
+    def addInPlace(self, a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
+        for k, n in b.items():
+            a[k] = a.get(k, 0) + n
+        return a
+
+
+def for_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """foreachPartition with a map accumulator: the tasks' counts of the event types. (A task that runs again counts again: for counts that must be exact, groupBy.)"""
+    (events,) = _tables(spark, sf_dir, "events")
+    total = spark.sparkContext.accumulator({}, Counts())
+
+    def count(rows: Iterator) -> None:
+        own: dict[str, int] = {}
+        for r in rows:
+            own[r["event_type"]] = own.get(r["event_type"], 0) + 1
+        total.add(own)
+
+    events.select("event_type").foreachPartition(count)
+    return spark.createDataFrame(sorted(total.value.items()), "event_type string, n long")
+
+
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXPLAIN as rows: the filter has reached the scan."""
     views(spark, sf_dir)
@@ -180,10 +268,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """describe, summary, stat.corr, cov, crosstab, freqItems, approxQuantile, bloom filter and count-min by Spark's own functions."""
+    """describe, stat.corr, cov, freqItems and approxQuantile."""
     (item,) = _tables(spark, sf_dir, "lineitem")
     d = {r["summary"]: r["l_quantity"] for r in item.select("l_quantity").describe().collect()}
-    q = item.approxQuantile("l_quantity", [0.5], 0.0)[0]
+    q = item.approxQuantile("l_quantity", [0.5], 0.001)[0]  # of fifty values, so a small error finds the same one
     frequent = item.freqItems(["l_returnflag"], 0.3).first()[0]
     rows = [("count", float(d["count"])), ("mean", round(float(d["mean"]), 6)), ("corr", round(item.stat.corr("l_quantity", "l_extendedprice"), 6)), ("cov", round(item.stat.cov("l_quantity", "l_discount"), 6)), ("median", q), ("frequent", float(len(set(frequent) & {"A", "N", "R"})) > 0 and 1.0)]
     return spark.createDataFrame(rows, "kind string, v double")
@@ -267,6 +355,7 @@ def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "cmd_create_insert": create_insert, "cmd_views": view_commands, "cmd_describe": describe, "cmd_show_columns": show_columns, "cmd_show_tables": show_tables, "cmd_alter_column": alter_column,
+    "cmd_clear_cache": clear_cache, "cmd_refresh": refresh, "cmd_add_file": added_file, "api_foreach": for_each,
     "cmd_settings": settings, "cmd_functions": functions, "cmd_cache": caching, "cmd_explain": explain, "cmd_databases": databases, "cmd_transform": transform_script,
     "api_projections": projections, "api_groupings": groupings, "api_joins": joins, "api_sets": sets, "api_ordering": ordering, "api_samples": samples, "api_statistics": statistics, "api_crosstab": crosstab,
     "api_missing": missing, "api_typed": typed, "api_udfs": udfs, "api_metadata": metadata, "api_persisted": persisted,
@@ -283,6 +372,10 @@ SQL = {
     "cmd_settings": "SELECT 'wayfold.example' AS key, '7' AS value",
     "cmd_functions": "SELECT p_partkey, 2 * p_size + 1 AS v, true AS shown FROM part",
     "cmd_cache": "SELECT n_regionkey AS k, count(*) AS n, true AS during, false AS later FROM nation GROUP BY n_regionkey",
+    "cmd_clear_cache": "SELECT r_name, count(*) AS n, true AS during, false AS later FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "cmd_refresh": "SELECT p_brand, count(*) AS n, 1 AS stage FROM part WHERE p_partkey % 3 < 2 GROUP BY p_brand UNION ALL SELECT p_brand, count(*), 2 FROM part GROUP BY p_brand",
+    "cmd_add_file": "SELECT n_name, r_name AS region, true AS listed FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "api_foreach": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "cmd_explain": "SELECT true AS pushed, 'l_orderkey:bigint,l_quantity:double' AS columns",
     "cmd_databases": "SELECT 'default' AS namespace, 'default' AS now",
     "cmd_transform": "SELECT n_nationkey AS k, n_name AS name FROM nation",

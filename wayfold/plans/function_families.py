@@ -10,6 +10,27 @@ URL = "concat('http://h.org/', CAST(p_partkey AS {0}), '?k=', CAST(p_size AS {0}
 XML = "concat('<a><b>', CAST(p_size AS STRING), '</b></a>')"
 TEXT = "CAST(p_size AS VARCHAR)"
 HALF = "p_size * CAST(0.5 AS DOUBLE)"
+#: The checksum of a brand, bit by bit.
+CRC = """xor(list_reduce(list_transform(range(1, length(p_brand) + 1), lambda i: ascii(substr(p_brand, i, 1))::BIGINT),
+    lambda c, b: list_reduce(range(0, 8)::BIGINT[], lambda x, k: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+
+def _murmur(x: str, seed: int = 42) -> str:
+    """The 32-bit hash of a whole number by the published rounds of MurmurHash3, each step a value that the next one names."""
+    times = lambda c: lambda v: f"(({v}::HUGEINT * {c}) % 4294967296)::BIGINT"
+    turned = lambda r: lambda v: f"((({v} << {r}) | ({v} >> {32 - r})) & 4294967295)"
+    folded = lambda r: lambda v: f"xor({v}, {v} >> {r})"
+    steps = [
+        times(3432918353), turned(15), times(461845907), lambda v: f"xor({v}, {seed})", turned(13), lambda v: f"(({v} * 5 + 3864292196) % 4294967296)",
+        lambda v: f"xor({v}, 4)", folded(16), times(2246822507), folded(13), times(3266489909), folded(16), lambda v: f"(CASE WHEN {v} >= 2147483648 THEN {v} - 4294967296 ELSE {v} END)::INT",
+    ]
+    out = f"({x}::BIGINT & 4294967295)"
+    for k, step in enumerate(steps):
+        out = f"list_transform([{out}], lambda v{k}: {step(f'v{k}')})[1]"
+    return out
+
+
+HASH = _murmur("p_size")
 
 
 def _round(name: str, spark: str, duck: str | None = None) -> tuple[str, str, str]:
@@ -82,6 +103,7 @@ FAMILIES = {
         ("sha", "sha(p_name)", "sha1(p_name)"), ("sha1", "sha1(p_brand)", "sha1(p_brand)"), ("monotonically_increasing_id", "monotonically_increasing_id() >= 0", "true"),
         ("input_file_name", "input_file_name() LIKE '%part.parquet%'", "true"), ("input_file_block_start", "input_file_block_start() >= 0", "true"), ("input_file_block_length", "input_file_block_length() > 0", "true"),
         ("spark_partition_id", "spark_partition_id() >= 0", "true"), ("current_database", "current_database() IS NOT NULL", "true"), ("assert_true", "assert_true(p_size > 0) IS NULL", "p_size > 0"),
+        ("crc32_", "crc32(binary(p_brand))", CRC), ("hash_", "hash(p_size)", HASH),
         ("java_method", "java_method('java.lang.String', 'valueOf', p_size)", TEXT), ("reflect", "reflect('java.lang.Integer', 'toHexString', p_size)", "lower(hex(p_size))"),
     ]),
     "fn_casts_by_name": ("p_partkey", "part", [

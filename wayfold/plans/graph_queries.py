@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.shared import materialize
 from wayfold.operators import graph
+from wayfold.sources.files import place
 
 #: Orders as edges between customers: each to the one that the order's number picks among its neighbours.
 EDGES = "SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey % 3 * 11) % 400 AS dst FROM orders"
@@ -70,6 +71,14 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "value.low", "value.high")
 
 
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written as text with a comment, and read from their smaller vertex: how many there are between two vertices."""
+    path = place(spark, "edges")
+    lines = edges(spark, sf_dir).select(F.concat_ws(" ", "src", "dst").alias("value"))
+    lines.union(spark.range(1).select(F.lit("# customers"))).write.text(path)
+    return graph.load_edges(spark, path, canonical=True).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
 RATINGS = "SELECT l_suppkey AS user, l_partkey % 300 AS item, l_quantity / 10.0 AS rating FROM lineitem"
 
 
@@ -107,6 +116,7 @@ QUERIES = {
     "graph_strong_components": strong,
     "graph_triplets": triplets,
     "graph_page_rank_converged": converged,
+    "graph_loaded": loaded,
     "graph_label_rounds": spread,
     "graph_balances": balances,
     "graph_spans": spans,
@@ -142,6 +152,7 @@ SQL = {
         got AS (SELECT src AS id, gap FROM m UNION ALL SELECT dst, -gap FROM m)
         SELECT id, round(sum(gap) FILTER (gap > 0), 4) AS above, round(max(-gap) FILTER (gap < 0), 4) AS below FROM got WHERE gap != 0 GROUP BY id""",
     "graph_spans": f"WITH e AS ({EDGES}), w AS MATERIALIZED ({_BOTH}), v AS ({_V}), s0 AS (SELECT id, id AS low, id AS high FROM v), {_SPANS} SELECT id, low, high FROM s3",
+    "graph_loaded": f"SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS n FROM ({EDGES}) GROUP BY 1, 2",
     "graph_svd_plus_plus": f"""WITH r AS (SELECT "user", item, avg(rating) AS rating FROM ({RATINGS.replace('AS user', 'AS "user"')}) GROUP BY ALL)
         SELECT count(DISTINCT "user") AS users, count(DISTINCT item) AS items, 4::BIGINT AS rounds, true AS falls, round(stddev_pop(rating), 2) AS before FROM r""",
     "graph_triplets": f"SELECT dst, round(sum(a.c_acctbal), 4) AS got, round(max(b.c_acctbal), 4) AS own FROM ({EDGES}) JOIN customer a ON a.c_custkey = src JOIN customer b ON b.c_custkey = dst GROUP BY dst",

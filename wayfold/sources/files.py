@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions.shared import shared_dir
+from wayfold.functions.shared import materialize, shared_dir
 
 
 def place(spark: SparkSession, label: str) -> str:
@@ -55,7 +55,8 @@ def malformed(mode: str):
         rows = spark.read.schema(schema).option("mode", mode).option("columnNameOfCorruptRecord", "bad").csv(path)
         if mode == "DROPMALFORMED":
             return rows.select("p_partkey", "p_brand")
-        return rows.cache().groupBy(F.col("bad").isNotNull().alias("broken")).agg(F.count("*").alias("n"), F.count("p_partkey").alias("keys"))
+        rows = materialize(rows, "malformed")  # the raw line can't be asked for without the columns it is read for
+        return rows.groupBy(F.col("bad").isNotNull().alias("broken")).agg(F.count("*").alias("n"), F.count("p_partkey").alias("keys"))
 
     return run
 

@@ -21,6 +21,8 @@ NAMES = ("DTW", "FRECHET", "EDR", "LCSS")
 EPS, DELTA = 25.0, 8
 #: Doubles of point distances that are held at once.
 HELD = 4_000_000
+#: The same for pairs that leave when they are over, which are best held in a processor's cache; and the share of pairs from which a row moves none.
+PAIRS_HELD, SLACK = 400_000, 0.85
 #: Left rows whose ends are held against those of all right rows at once.
 STRIP = 256
 
@@ -147,7 +149,7 @@ def pairs_within(name: str, a: pa.Array, b: pa.Array, bar: float | np.ndarray, e
         sizes, start = nb[j], 0
         while start < len(j):
             stop = int(np.searchsorted(sizes, 2 * sizes[start] + 4, "right"))
-            stop = min(stop, start + max(1, HELD // int(sizes[stop - 1])))
+            stop = min(stop, start + max(1, PAIRS_HELD // int(sizes[stop - 1])))
             place, d = _programme_within(name, left, right, i[start:stop], j[start:stop], bars[i[start:stop]], eps, delta)
             found.append((i[start:stop][place], j[start:stop][place], d))
             start = stop
@@ -172,16 +174,18 @@ def _programme_within(
     kept, values = [np.zeros(0, np.int64)], [np.zeros(0)]
     # Cell k of a row stands for the first k points of the right side; cell 0 is the edge.
     prev = [np.full(len(i), float(k) if name == "EDR" else 0.0) if k <= band else far for k in range(columns + 1)] if edit else []
+    # The right side's points in each column, gathered once; a shorter side repeats its last.
+    held = [[y[to + np.minimum(k, n) - 1] for y in ys] for k in range(1, columns + 1)]
     for r in range(int(m.max())):
         if not len(place):
             break
-        p = xs[:, at + r]
+        p = xs[:, at + np.minimum(r, m - 1)]  # pairs that have ended aren't looked at again
         low, high = (max(1, r + 1 - band), min(columns, r + 1 + band)) if edit else (1, columns)
         row = [far] * (columns + 1)
         if edit and r + 1 <= band:
             row[0] = np.full(len(place), float(r + 1) if name == "EDR" else 0.0)
         for k in range(low, high + 1):
-            q = ys[:, to + np.minimum(k, n) - 1]
+            q = held[k - 1]
             c = p[0] - q[0]
             c = c * c
             for x, y in zip(p[1:], q[1:]):
@@ -212,11 +216,13 @@ def _programme_within(
                 kept.append(place[done[within]])
                 values.append(d[within])
         open_ &= ~ended
-        if open_.all():
+        kept_ = np.flatnonzero(open_)
+        if len(kept_) > SLACK * len(open_):  # pairs that are over stay over: a few of them cost less than moving the rest
             prev = row
         else:
-            at, to, m, n, place, bar, loose = at[open_], to[open_], m[open_], n[open_], place[open_], bar[open_], loose[open_]
-            prev = [cell[open_] if isinstance(cell, np.ndarray) else cell for cell in row]
+            at, m, n, place, bar, loose = at[kept_], m[kept_], n[kept_], place[kept_], bar[kept_], loose[kept_]
+            prev = [cell[kept_] if isinstance(cell, np.ndarray) else cell for cell in row]
+            held = [[y[kept_] for y in q] for q in held]
     return np.concatenate(kept), np.concatenate(values)
 
 

@@ -182,31 +182,41 @@ def sides(left: DataFrame, right: DataFrame, c1: str, c2: str, name: str) -> tup
     return a, b, [*mine, b] if made else mine
 
 
-def threshold_pairs(a_side: TrieIndex, b_side: TrieIndex, name: str, bar: float, id1: str, id2: str, eps: float = EPS, delta: int = DELTA) -> DataFrame:
+def threshold_pairs(
+    a_side: TrieIndex, b_side: TrieIndex, name: str, bar: float, id1: str, id2: str, eps: float = EPS, delta: int = DELTA, once: bool = False
+) -> DataFrame:
     """(left_row, left_id, right_row, right_id, distance) of all pairs within ``bar``; rows by the numbers in the sides' tables."""
+    if once and a_side is not b_side:
+        raise ValueError("pairs come once in the join of a frame with itself")
     if not a_side.tiles or not b_side.tiles:
         return _none(a_side.data, b_side.data, id1, id2)
     near = tile_distances(a_side, b_side, name, eps) <= bar * (1 + 1e-9) + 1e-9
+    near = np.triu(near) if once else near
     of_tile = {t[TILE]: np.flatnonzero(near[k]) for k, t in enumerate(a_side.tiles)}
     a, b = _side(a_side, id1, "left_"), _side(b_side, id2, "right_")
     schema = _ids(a, b)
 
     def matched(x: pa.Table, y: pa.Table) -> pa.Table:
         i, j, d = pairs_within(name, x["l"], y["r"], bar, eps, delta)
+        if once and len(i):  # within a tile every pair meets twice
+            first = np.asarray(x["left_row"])[i] < np.asarray(y["right_row"])[j]
+            kept = first | (np.asarray(x["home"])[i] < x["tile"][0].as_py())
+            i, j, d = i[kept], j[kept], d[kept]
         own = lambda t, n, k: t[n].take(pa.array(k))
         return pa.table([own(x, "left_row", i), own(x, "left_id", i), own(y, "right_row", j), own(y, "right_id", j), d], schema.names)
 
-    a = _sent(a, _within(b_side, of_tile, name, eps, bar), ["tile", "first", "last", "points"])  # type: ignore[arg-type]
+    a = _sent(a.withColumn("home", F.col("tile")) if once else a, _within(b_side, of_tile, name, eps, bar), ["tile", "first", "last", "points"])  # type: ignore[arg-type]
     return materialize(_met(a, b, b_side, matched, schema), "threshold-join")
 
 
 def threshold_join(
-    left: DataFrame, right: DataFrame, c1: str, c2: str, name: str, bar: float, id1: str = "id", id2: str = "id", eps: float = EPS, delta: int = DELTA
+    left: DataFrame, right: DataFrame, c1: str, c2: str, name: str, bar: float, id1: str = "id", id2: str = "id", eps: float = EPS, delta: int = DELTA, once: bool = False
 ) -> DataFrame:
-    """(left_id, right_id, distance) of all pairs within ``bar``."""
+    """(left_id, right_id, distance) of all pairs within ``bar``. With ``once``, for a frame joined with itself, two different
+    rows are a pair once, either of them on the left, and no row is a pair with itself."""
     name = check_name(name)
     a, b, made = sides(left, right, c1, c2, name)
-    out = threshold_pairs(a, b, name, bar, id1, id2, eps, delta)
+    out = threshold_pairs(a, b, name, bar, id1, id2, eps, delta, once)
     discard(*(side.data for side in made if side.tiles))
     return out.select("left_id", "right_id", "distance")
 

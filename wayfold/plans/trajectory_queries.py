@@ -66,6 +66,11 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("distance", F.round("distance", 6))
 
 
+def ascending(pairs: DataFrame) -> DataFrame:
+    """Each pair with the smaller id on the left."""
+    return rounded(pairs.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "distance"))
+
+
 def _threshold(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(search.threshold_search(from_orders(spark, sf_dir), QUERY, "traj", name, BARS[name]).select("id", "distance"))
@@ -85,7 +90,7 @@ def _threshold_join(name: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = materialize(from_orders(spark, sf_dir), "join-orders")
-        return rounded(join.threshold_join(t, t, "traj", "traj", name, JOIN_BARS[name]).where("left_id < right_id"))
+        return ascending(join.threshold_join(t, t, "traj", "traj", name, JOIN_BARS[name], once=True))
 
     return run
 
@@ -110,7 +115,7 @@ def _index_join(name: str):
 def _event_join(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = materialize(from_events(spark, sf_dir), "join-events")
-        return rounded(join.threshold_join(t, t, "traj", "traj", name, EVENT_BARS[name]).where("left_id < right_id"))
+        return ascending(join.threshold_join(t, t, "traj", "traj", name, EVENT_BARS[name], once=True))
 
     return run
 

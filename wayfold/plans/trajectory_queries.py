@@ -190,6 +190,28 @@ def index_after_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.sql(f"DROP TABLE {name}")
 
 
+def index_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches over an index that was left at a path and opened again, and after it took in the rows of added files."""
+    o, path = from_orders(spark, sf_dir), place(spark, "grown-orders")
+    o.where("id % 3 != 0").write.parquet(f"{path}/rows")
+    index.create_index(spark.read.parquet(f"{path}/rows"), "traj", "kept", path=f"{path}/index")
+    index.close_index(spark.read.parquet(f"{path}/rows"), "traj")
+    index.open_index(spark.read.parquet(f"{path}/rows"), f"{path}/index")
+    try:
+        found = []
+        for stage in ("opened", "extended"):
+            if stage == "extended":
+                o.where("id % 3 = 0").write.mode("append").parquet(f"{path}/rows")
+                stage = index.refresh_index(spark.read.parquet(f"{path}/rows"), "traj")
+            rows = spark.read.parquet(f"{path}/rows")
+            held = sum(t["n"] for t in index.lookup(rows, "traj").tiles)
+            own = search.threshold_search(rows, QUERY, "traj", "DTW", BARS["DTW"])
+            found.append(materialize(own.select(F.lit(stage).alias("stage"), F.lit(held).cast("long").alias("held"), "id"), "grown-found"))
+        return found[0].union(found[1])
+    finally:
+        index.drop_index(spark.read.parquet(f"{path}/rows"), "traj")
+
+
 def str_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive tiles of the orders' first points: rows and box of each."""
     ends = from_orders(spark, sf_dir).select(F.col("traj")[0][0].alias("x"), F.col("traj")[0][1].alias("y"))
@@ -289,6 +311,7 @@ QUERIES |= {
     "traj_text_lines": text_lines,
     "traj_diagonal_tiles": diagonal_tiles,
     "traj_index_after_insert": index_after_insert,
+    "traj_index_extended": index_extended,
     "traj_sql_knn_rows": _sql(f"SELECT o.id FROM traj_orders o WHERE DTW(o.traj, {LITERAL}) KNN {K}"),
     "traj_sql_join_rows": _sql("SELECT a.id AS left_id, b.id AS right_id FROM traj_events a JOIN traj_events b ON FRECHET(a.traj, b.traj) < 80.0 WHERE a.id < b.id"),
     "traj_sql_subquery": _sql(f"SELECT count(*) AS n, min(t.id) AS least FROM (SELECT id FROM traj_orders WHERE DTW(traj, {LITERAL}) < {BARS['DTW']} OR NOT traj IN CIRCLERANGE(POINT(50, 50), 60)) t"),
@@ -365,6 +388,9 @@ SQL |= {
     "traj_sql_knn_rows": f"SELECT id FROM ({SQL['traj_knn_search_dtw']})",
     "traj_sql_subquery": f"""SELECT count(*) AS n, min(id) AS least FROM ({_m_dtw})
         WHERE distance < {BARS['DTW']} OR len(list_filter(traj, lambda p: {duck_point('p', '[50, 50]')} <= 60)) < len(traj)""",
+    "traj_index_extended": " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, (SELECT count(*) FROM ({ORDERS}) WHERE {of}) AS held, id FROM ({_dtw}) WHERE {of}" for stage, of in (("opened", "id % 3 != 0"), ("extended", "true"))
+    ),
     "traj_index_after_insert": " UNION ALL ".join(f"SELECT '{stage}' AS stage, id FROM ({_dtw}) WHERE {of}" for stage, of in (("first", "id % 3 = 0"), ("grown", "true"), ("anew", "true"))),
     "traj_str_tiles": f"""WITH p AS MATERIALIZED (SELECT traj[1][1] AS x, traj[1][2] AS y, row_number() OVER (ORDER BY traj[1][1]) - 1 AS k, count(*) OVER () AS n FROM ({ORDERS})),
         cut_x AS (SELECT DISTINCT x AS cut FROM p WHERE k IN (n * 1 // 4, n * 2 // 4, n * 3 // 4) AND x > (SELECT min(x) FROM p)),

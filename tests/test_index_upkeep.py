@@ -140,7 +140,9 @@ def test_index_outlives_its_application(spark, tmp_path):
     spark.read.parquet(f"{kept}/rows/{index.PART}=0").write.parquet(f"{kept}/rows/{index.PART}=1")
     index.open_index(read(), kept)
     assert index.lookup(read(), "traj") is None
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     assert index.refresh_index(read(), "traj") == "extended"
+    spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
     index.close_index(read(), "traj")
     index.open_index(read(), kept)
     same_as_brute(read(), rows + more)

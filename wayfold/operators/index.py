@@ -241,7 +241,7 @@ def _own(spark: SparkSession) -> str:
 def _write(placed: DataFrame, where: str, part: int) -> None:
     """Rows with tiles as one part of an index, a folder for each tile; what an attempt left there goes."""
     # A rebalance splits a tile of many rows among tasks; a repartition would give it to one.
-    dealt = placed.hint("rebalance", TILE).write.option("compression", "zstd").mode("overwrite")
+    dealt = placed.hint("rebalance", TILE).write.option("compression", "zstd").option("partitionOverwriteMode", "static").mode("overwrite")
     dealt.partitionBy(TILE).parquet(f"{where}/rows/{PART}={part}")
 
 

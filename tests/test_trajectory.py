@@ -394,3 +394,22 @@ def test_text(spark, tmp_path):
     write_text(df, str(tmp_path / "t"))
     assert [r["traj"] for r in read_text(spark, str(tmp_path / "t")).collect()] == [[[1.0, 2.5], [3.0, -4.0]]]
     assert spark.range(1).select(parse(F.lit("")).alias("t")).first()["t"] == []
+
+
+def test_joins_measure_copies_once(spark, monkeypatch):
+    """Copies of a trajectory are one row of a join, or one for every few of them; their pairs are all there, and are written nowhere."""
+    rows = [(i, t) for i, t in sample(4, 12) if t]
+    copies = [(100 * c + i, t) for c in range(9) for i, t in rows]
+    frame = spark.createDataFrame(copies, SCHEMA).repartition(3)
+    monkeypatch.setattr(join, "COPIES", 4)
+    a, _ = join.sides(frame, frame, "traj", "traj", "FRECHET", "id", "id")
+    held = a.data.select("ids").collect()
+    assert len(held) < len(copies) and sum(len(r[0]) for r in held) == len(copies)
+    want = {(i, j): brute("FRECHET", t, u) for i, t in copies for j, u in copies}
+    both = join.threshold_join(frame, frame, "traj", "traj", "FRECHET", 50.0)
+    assert not any("threshold-join" in f for f in both.inputFiles())
+    assert sorted((r[0], r[1]) for r in both.collect()) == sorted(k for k, d in want.items() if d <= 50)
+    once = [tuple(sorted(r[:2])) for r in join.threshold_join(frame, frame, "traj", "traj", "FRECHET", 50.0, once=True).collect()]
+    assert sorted(once) == sorted((i, j) for (i, j), d in want.items() if d <= 50 and i < j)
+    near = sorted((r[0], r[2], r[1]) for r in join.knn_join(frame, frame, "traj", "traj", "FRECHET", 12).collect())
+    assert near == sorted(x for i, _ in copies for x in sorted((i, want[i, j], j) for j, _ in copies)[:12])

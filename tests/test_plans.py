@@ -81,3 +81,14 @@ def test_index_bounds_reach_the_files(spark):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
         index.drop_index(frame, "traj")
+
+
+def test_median_of_near_halves(spark):
+    """The median is the least value that half of the rows don't exceed, where the halves differ by one row."""
+    from pyspark.sql import functions as F
+
+    from wayfold.plans import commands
+
+    for n, want in ((100_000, 25.0), (99_998, 26.0)):
+        rows = spark.range(200_000).select(F.when(F.col("id") < n, 25.0).otherwise(26.0).alias("v"))
+        assert commands._median(rows, "v") == want

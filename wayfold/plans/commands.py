@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.accumulators import AccumulatorParam
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.shared import materialize
@@ -267,11 +267,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, holds boolean")
 
 
+def _median(df: DataFrame, column: str) -> float:
+    """The least value that half of the rows don't exceed: approxQuantile bounds it, counts of the values between decide."""
+    some = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    low, high = some.approxQuantile("v", [0.498, 0.502], 0.001)
+    total, below = some.agg(F.count("*"), F.count_if(F.col("v") < low)).first()
+    between = some.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n"))
+    running = between.withColumn("upto", F.sum("n").over(Window.orderBy("v")))  # a row for each value between
+    return running.where(F.col("upto") + below >= (total + 1) // 2).agg(F.min("v")).first()[0]
+
+
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """describe, stat.corr, cov, freqItems and approxQuantile."""
     (item,) = _tables(spark, sf_dir, "lineitem")
     d = {r["summary"]: r["l_quantity"] for r in item.select("l_quantity").describe().collect()}
-    q = item.approxQuantile("l_quantity", [0.5], 0.001)[0]  # of fifty values, so a small error finds the same one
+    q = _median(item, "l_quantity")
     frequent = item.freqItems(["l_returnflag"], 0.3).first()[0]
     rows = [("count", float(d["count"])), ("mean", round(float(d["mean"]), 6)), ("corr", round(item.stat.corr("l_quantity", "l_extendedprice"), 6)), ("cov", round(item.stat.cov("l_quantity", "l_discount"), 6)), ("median", q), ("frequent", float(len(set(frequent) & {"A", "N", "R"})) > 0 and 1.0)]
     return spark.createDataFrame(rows, "kind string, v double")

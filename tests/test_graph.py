@@ -125,3 +125,15 @@ def test_factors_equal_a_dense_version(spark):
     assert {r["user"]: r["bu"] for r in users.collect()} == {u: pytest.approx(v, rel=1e-6, abs=1e-9) for u, v in bu.items()}
     for x in items.collect():
         assert [x["q0"], x["y2"], x["bi"]] == pytest.approx([q[x["item"]][0], y[x["item"]][2], bi[x["item"]]], rel=1e-6, abs=1e-9)
+
+
+def test_svd_errors_fall_with_many_ratings(spark, tmp_path):
+    """An item that thousands of users have rated doesn't make the steps too large."""
+    from pyspark.sql import functions as F
+
+    from wayfold.plans import graph_queries
+
+    item = spark.range(9000).select((F.col("id") % 4500).alias("l_suppkey"), F.floor(F.col("id") / 4500).alias("l_partkey"), ((F.col("id") * 7919) % 50 + 1).cast("double").alias("l_quantity"))
+    item.write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = graph_queries.svd_errors(spark, str(tmp_path)).first()
+    assert (row["users"], row["items"], row["falls"]) == (4500, 2, True)

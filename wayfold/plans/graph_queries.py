@@ -85,7 +85,10 @@ RATINGS = "SELECT l_suppkey AS user, l_partkey % 300 AS item, l_quantity / 10.0
 def _factors(spark: SparkSession, sf_dir: str):
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     ratings = item.select(F.col("l_suppkey").alias("user"), (F.col("l_partkey") % 300).alias("item"), (F.col("l_quantity") / 10.0).alias("rating"))
-    return graph.svd_plus_plus(ratings, rounds=4, rate=0.001)
+    # A round sums the gradients of all ratings of a vertex: the more it has, the smaller the step has to be for the error to fall.
+    pairs = ratings.select("user", "item").distinct()
+    most = max(pairs.groupBy(end).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1 for end in ("user", "item"))
+    return graph.svd_plus_plus(ratings, rounds=4, rate=min(0.001, 0.5 / most))
 
 
 def svd_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

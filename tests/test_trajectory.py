@@ -413,3 +413,17 @@ def test_joins_measure_copies_once(spark, monkeypatch):
     assert sorted(once) == sorted((i, j) for (i, j), d in want.items() if d <= 50 and i < j)
     near = sorted((r[0], r[2], r[1]) for r in join.knn_join(frame, frame, "traj", "traj", "FRECHET", 12).collect())
     assert near == sorted(x for i, _ in copies for x in sorted((i, want[i, j], j) for j, _ in copies)[:12])
+
+
+def test_exact_tiles_beyond_the_sample(spark, monkeypatch):
+    """Cuts come from all points, however few a sample would take."""
+    r = random.Random(6)
+    import numpy as np
+
+    from wayfold.operators.tiling import tiling
+
+    points = [(float(r.randrange(500)), r.uniform(0, 9)) for _ in range(2000)]
+    monkeypatch.setattr(index, "SAMPLE", 50)
+    got = queries._exact_tiling(spark.createDataFrame(points, "x double, y double"), ["x", "y"], 16)
+    want = tiling(np.array(points), 16, [2])
+    assert got.fans == want.fans and all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got.cuts, want.cuts))

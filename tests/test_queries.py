@@ -70,6 +70,16 @@ def test_models(spark, name):
         assert low <= value <= high, (model, value)
 
 
+def test_columns_that_differ_by_case(spark, tmp_path):
+    """The crosstab's p and P can be written and referred to, and the caller's session goes on taking names without case."""
+    df = commands.QUERIES["api_crosstab"](spark, DATA)
+    df.write.parquet(str(tmp_path / "t"))
+    back = df.sparkSession.read.parquet(str(tmp_path / "t"))
+    assert back.columns == ["p", "F", "O", "P"] and sorted(back.collect()) == sorted(df.collect())
+    assert df.select("P").schema["P"].dataType.typeName() == "long" and df.select("p").schema["p"].dataType.typeName() == "string"
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
+
+
 def test_strong_components(spark):
     """Against the pairs that reach each other."""
     from wayfold.operators import graph

@@ -288,7 +288,10 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (orders,) = _tables(spark, sf_dir, "orders")
+    """Counts of priorities by status. The columns ``p`` and ``P`` differ by case alone, so the frame belongs to a session of its own that tells names by case."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    (orders,) = _tables(own, sf_dir, "orders")
     return orders.stat.crosstab("o_orderpriority", "o_orderstatus").select(F.col("o_orderpriority_o_orderstatus").alias("p"), "F", "O", "P")
 
 

@@ -20,9 +20,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions.shared import dealt
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Parts with their size and price as a vector, dealt by key into parts of about ``DEALT`` rows, in order within each."""
+    part = dealt(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     rows = part.select("p_partkey", "p_name", "p_type", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     return T.VectorAssembler(inputCols=["size", "price"], outputCol="v").transform(rows)
 

@@ -125,11 +125,12 @@ def regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silhouettes of three clusterings, and the perplexity of a topic model."""
-    rows = T.StandardScaler(inputCol="v", outputCol="features").fit(_part(spark, sf_dir)).transform(_part(spark, sf_dir)).cache()
+    part = _part(spark, sf_dir).cache()
+    rows = T.StandardScaler(inputCol="v", outputCol="features").fit(part).transform(part).cache()
     quality = E.ClusteringEvaluator()
     models = {"kmeans": K.KMeans(k=3, seed=1), "bisecting": K.BisectingKMeans(k=3, seed=1), "mixture": K.GaussianMixture(k=2, seed=1)}
     found = [(name, quality.evaluate(m.fit(rows).transform(rows))) for name, m in models.items()]
-    counted = T.CountVectorizer(inputCol="w", outputCol="features").fit(named := T.Tokenizer(inputCol="p_name", outputCol="w").transform(_part(spark, sf_dir))).transform(named)
+    counted = T.CountVectorizer(inputCol="w", outputCol="features").fit(named := T.Tokenizer(inputCol="p_name", outputCol="w").transform(part)).transform(named)
     found.append(("topics", float(K.LDA(k=2, seed=1, maxIter=3).fit(counted).logPerplexity(counted))))
     return spark.createDataFrame(found, "model string, measure double")
 

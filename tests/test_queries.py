@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from wayfold.functions import shared
 from wayfold.plans import catalogue, commands, distributed, function_families, graph_queries, learning
 from wayfold.sources import files
 from wayfold.streaming import queries as streaming
@@ -70,6 +71,18 @@ def test_models(spark, name):
         assert low <= value <= high, (model, value)
 
 
+@pytest.mark.parametrize("query", [learning._part, function_families.QUERIES["fn_nested_by_name"]])
+def test_rows_of_a_small_file_are_dealt_to_tasks(spark, query, monkeypatch):
+    """One file of a few bytes is worked on by a task for every so many rows, the same rows together each time."""
+    rows = spark.read.parquet(f"{DATA}/part.parquet").count()
+    monkeypatch.setattr(shared, "DEALT", rows // 5)
+    df = query(spark, DATA)
+    held = [[r["p_partkey"] for r in part] for part in df.rdd.glom().collect()]
+    assert df.rdd.getNumPartitions() >= 5 and max(map(len, held)) < rows / 2
+    assert all(part == sorted(part) for part in held) and sum(map(len, held)) == rows
+    assert held == [[r["p_partkey"] for r in part] for part in query(spark, DATA).rdd.glom().collect()]
+
+
 def test_columns_that_differ_by_case(spark, tmp_path):
     """The crosstab's p and P can be written and referred to, and the caller's session goes on taking names without case."""
     df = commands.QUERIES["api_crosstab"](spark, DATA)

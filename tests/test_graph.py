@@ -137,3 +137,40 @@ def test_svd_errors_fall_with_many_ratings(spark, tmp_path):
     item.write.parquet(f"{tmp_path}/lineitem.parquet")
     row = graph_queries.svd_errors(spark, str(tmp_path)).first()
     assert (row["users"], row["items"], row["falls"]) == (4500, 2, True)
+
+
+def plain_ranks(edges, rounds, tolerance=None, damping=0.85):
+    """Each round over all vertices and edges."""
+    ranks, k = {v: 1.0 for e in edges for v in e}, 0
+    while rounds is None or k < rounds:
+        k, old = k + 1, ranks
+        ranks = {v: 1 - damping + damping * sum(old[s] / sum(t == s for t, _ in edges) for s, d in edges if d == v) for v in old}
+        if rounds is None and max(abs(ranks[v] - old[v]) for v in ranks) <= tolerance:
+            break
+    return ranks
+
+
+def test_ranks_with_vertices_that_no_edge_leads_to(spark):
+    r = random.Random(8)
+    many = sorted({(r.randrange(30), r.randrange(8)) for _ in range(60)})
+    for edges, rounds, tolerance in ((many, 0, None), (many, 2, None), (many, None, 1e-3), ([(1, 2), (3, 2)], None, 1e-6), ([(1, 2)], 1, None), ([(1, 2)], None, 0.9), ([(5, 5)], None, 0.2)):
+        got = {x["id"]: x["value"] for x in graph.page_rank(frame(spark, edges), rounds, tolerance=tolerance or 0.0).collect()}
+        assert got == pytest.approx(plain_ranks(edges, rounds, tolerance), abs=1e-12)
+    assert graph.page_rank(frame(spark, [])).count() == 0
+
+
+def test_no_table_is_sent_whole_to_the_driver(spark, monkeypatch):
+    """However small the files of vertices and messages are, rounds join them by shuffles."""
+    plans = []
+
+    def written(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", written)
+    edges = write(frame(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4)]), "few-edges")
+    found = [graph.page_rank(edges, 2), graph.connected_components(edges), graph.label_propagation(edges, 2), graph.triangle_count(edges), graph.strong_components(edges)]
+    graph.svd_plus_plus(edges.select(F.col("src").alias("user"), F.col("dst").alias("item"), F.lit(1.0).alias("rating")), rounds=1)
+    plans += [("result", df._jdf.queryExecution().executedPlan().toString()) for df in found]
+    assert len(plans) > 30 and not [label for label, plan in plans if "Broadcast" in plan]

@@ -25,6 +25,11 @@ PARTS = 256
 DIRECTIONS = {"out": "src_active", "in": "dst_active", "either": "src_active OR dst_active", "both": "src_active AND dst_active"}
 
 
+def _meet(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sends neither side whole to the driver: ranks and labels of millions of vertices can lie in a file that is small enough for Spark to broadcast it, in every round."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def load_edges(spark: SparkSession, path: str, canonical: bool = False) -> DataFrame:
     """Edges from text, two vertices to a line apart by white space; lines that begin with # are left out. With
     ``canonical`` each edge runs from its smaller vertex."""
@@ -46,7 +51,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def triplets(edges: DataFrame, attributes: DataFrame) -> DataFrame:
     """Edges beside the attributes (id, attr) of both ends."""
     a, b = attributes.select(F.col("id").alias("src"), F.col("attr").alias("src_attr")), attributes.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr"))
-    return edges.join(a, "src").join(b, "dst").select("src", "dst", "src_attr", "dst_attr")
+    return _meet(_meet(edges, a, "src"), b, "dst").select("src", "dst", "src_attr", "dst_attr")
 
 
 def cut(edges: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -66,13 +71,13 @@ def edge_contexts(placed: DataFrame, routed: DataFrame, state: DataFrame, direct
 
     Values go to the parts by the routing table, and meet the edges by part and vertex. Without ``both_ends`` there is no dst_value.
     """
-    sent = routed.join(state, "id")
+    sent = _meet(routed, state, "id")
     at = lambda end: sent.select("part", F.col("id").alias(end), F.col("value").alias(f"{end}_value"), F.col("active").alias(f"{end}_active"))
     if not both_ends:
         if direction != "out":
             raise ValueError("a direction other than out needs both ends")
-        return placed.join(at("src").where("src_active"), ["part", "src"])
-    return placed.join(at("src"), ["part", "src"]).join(at("dst"), ["part", "dst"]).where(DIRECTIONS[direction])
+        return _meet(placed, at("src").where("src_active"), ["part", "src"])
+    return _meet(_meet(placed, at("src"), ["part", "src"]), at("dst"), ["part", "dst"]).where(DIRECTIONS[direction])
 
 
 def aggregate_messages(contexts: DataFrame, combine, to_dst: Column | None = None, to_src: Column | None = None) -> DataFrame:
@@ -95,7 +100,7 @@ def pregel(
     while rounds is None or k < rounds:
         k += 1
         got = aggregate_messages(edge_contexts(placed, routed, state, direction, both_ends), combine, message, back)
-        new = state.join(got, "id", "left").select("id", F.col("value").alias("old"), update.alias("value"))
+        new = _meet(state, got, "id", "left").select("id", F.col("value").alias("old"), update.alias("value"))
         old, state = state, materialize(new.select("id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("active")), f"pregel-{k}")
         discard(old)
         if rounds is None and state.where("active").isEmpty():
@@ -126,7 +131,7 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
         near = edge_contexts(placed, routed, labels.withColumn("active", F.lit(True)), both_ends=False)
         seen = near.groupBy("dst", F.col("src_value").alias("label")).agg(F.count("*").alias("n"))
         best = seen.groupBy(F.col("dst").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
-        old, labels = labels, materialize(labels.join(best, "id", "left").select("id", F.coalesce("best", "value").alias("value")), f"labels-{k + 1}")
+        old, labels = labels, materialize(_meet(labels, best, "id", "left").select("id", F.coalesce("best", "value").alias("value")), f"labels-{k + 1}")
         discard(old)
     discard(placed, routed)
     return labels
@@ -137,33 +142,44 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     way = materialize(both_ways(edges), "triangle-edges")
     degree = way.groupBy("src").agg(F.count("*").alias("degree"))
     d = lambda end: degree.select(F.col("src").alias(end), F.col("degree").alias(f"{end}_degree"))
-    directed = way.join(d("src"), "src").join(d("dst"), "dst").where("struct(src_degree, src) < struct(dst_degree, dst)").select("src", "dst")
+    directed = _meet(_meet(way, d("src"), "src"), d("dst"), "dst").where("struct(src_degree, src) < struct(dst_degree, dst)").select("src", "dst")
     directed = materialize(directed, "triangle-directed")
     a = directed.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     b = directed.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     closing = directed.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    found = a.join(b, "a").join(closing, ["b", "c"])
+    found = _meet(_meet(a, b, "a"), closing, ["b", "c"])
     return found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
 def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(id, value): ranks that start at 1; after each round a vertex has 1 - damping and what its neighbours share out.
-    Without ``rounds``, until no rank moves by more than the tolerance."""
+    Without ``rounds``, until no rank moves by more than the tolerance.
+
+    A vertex that no edge leads to has 1 - damping from the first round on, so what such vertices give is
+    summed once, and a round looks at the other vertices and at the edges between them."""
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    placed = materialize(cut(edges.select("src", "dst").join(out, "src")), "rank-edges")
+    reached = materialize(edges.select(F.col("dst").alias("id")).distinct(), "rank-reached")
+    still = materialize(_meet(vertices(edges), reached, "id", "left_anti"), "rank-still")
+    shared = _meet(edges.select("src", "dst"), out, "src")
+    placed = materialize(cut(_meet(shared, reached.withColumnRenamed("id", "src"), "src")), "rank-edges")
     routed = materialize(routes(placed), "rank-routes")
-    ranks, k = materialize(vertices(edges).select("id", F.lit(1.0).alias("value")), "rank-0"), 0
+    from_still = _meet(shared, still.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(1 / F.col("out")).alias("still"))
+    start = _meet(reached, from_still, "id", "left").select("id", F.coalesce("still", F.lit(0.0)).alias("still"), F.lit(1.0).alias("value"))
+    ranks, k, rest = materialize(start, "rank-0"), 0, 1.0
+    moving = damping if rounds is None and not still.isEmpty() else 0.0  # by so much the ranks of the others move in the first round
     while rounds is None or k < rounds:
         k += 1
-        near = edge_contexts(placed, routed, ranks.withColumn("active", F.lit(True)), both_ends=False)
+        near = edge_contexts(placed, routed, ranks.select("id", "value", F.lit(True).alias("active")), both_ends=False)
         given = aggregate_messages(near, F.sum, F.col("src_value") / F.col("out"))
-        new = ranks.join(given, "id", "left").select("id", F.col("value").alias("old"), (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("value"))
-        old, ranks = ranks, materialize(new, f"rank-{k}")
+        value = F.lit(1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("still") * rest)
+        new = _meet(ranks, given, "id", "left").select("id", "still", F.col("value").alias("old"), value.alias("value"))
+        old, ranks, rest = ranks, materialize(new, f"rank-{k}"), 1 - damping
         discard(old)
-        if rounds is None and ranks.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0] <= tolerance:
+        if rounds is None and max(moving, ranks.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0] or 0.0) <= tolerance:
             break
-    discard(placed, routed)
-    return ranks.select("id", "value")
+        moving = 0.0
+    discard(placed, routed, reached)
+    return ranks.select("id", "value").union(still.select("id", F.lit(rest).alias("value")))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -177,13 +193,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not ids.isEmpty():
         colour = pregel(left, ids.select("id", F.col("id").alias("value")), F.col("src_value"), F.min, F.least("value", "got"))
         c = lambda end: colour.select(F.col("id").alias(end), F.col("value").alias(f"{end}_colour"))
-        inside = left.join(c("src"), "src").join(c("dst"), "dst").where("src_colour = dst_colour")
+        inside = _meet(_meet(left, c("src"), "src"), c("dst"), "dst").where("src_colour = dst_colour")
         start = colour.select("id", F.when(F.col("id") == F.col("value"), F.col("value")).alias("value"))
         back = pregel(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, F.col("src_value"), F.min, F.coalesce("value", "got"))
         found = materialize(back.where("value IS NOT NULL"), "strong-found")
         done = found if done is None else done.union(found)
-        ids = materialize(ids.join(found, "id", "left_anti"), "strong-ids")
-        left = materialize(left.join(ids.withColumnRenamed("id", "src"), "src").join(ids.withColumnRenamed("id", "dst"), "dst").select("src", "dst"), "strong-edges")
+        ids = materialize(_meet(ids, found, "id", "left_anti"), "strong-ids")
+        left = materialize(_meet(_meet(left, ids.withColumnRenamed("id", "src"), "src"), ids.withColumnRenamed("id", "dst"), "dst").select("src", "dst"), "strong-edges")
     return done if done is not None else ids.select("id", F.col("id").alias("value"))
 
 
@@ -209,12 +225,12 @@ def svd_plus_plus(ratings: DataFrame, factors: int = 4, rounds: int = 5, rate: f
     seeds = [(c, 100 * (1 + n) + k) for n, name in enumerate("qy") for k, c in enumerate(each(name))]
     items = materialize(items.select("item", zero.alias("bi"), *(start("item", k).alias(c) for c, k in seeds)), "svd-items")
     ends = materialize(placed.select(F.col("src").alias("id"), "part", F.lit(True).alias("user")).union(placed.select("dst", "part", F.lit(False))).distinct(), "svd-routes")
-    sent = lambda table, key, end: ends.where("user" if key == "user" else "NOT user").select("part", F.col("id").alias(end)).join(table.withColumnRenamed(key, end), end)
+    sent = lambda table, key, end: _meet(ends.where("user" if key == "user" else "NOT user").select("part", F.col("id").alias(end)), table.withColumnRenamed(key, end), end)
     errors = []
     for k in range(rounds):
-        implicit = placed.join(sent(items.select("item", *each("y")), "item", "dst"), ["part", "dst"]).groupBy(F.col("src").alias("user")).agg(*(F.sum(c).alias(f"s{c}") for c in each("y")))
-        whole = users.join(implicit, "user").select("user", "bu", "norm", *each("p"), *((F.col(p) + F.col("norm") * F.col(f"s{y}")).alias(f"z{i}") for i, (p, y) in enumerate(zip(each("p"), each("y")))))
-        met = placed.join(sent(whole, "user", "src"), ["part", "src"]).join(sent(items, "item", "dst"), ["part", "dst"])
+        implicit = _meet(placed, sent(items.select("item", *each("y")), "item", "dst"), ["part", "dst"]).groupBy(F.col("src").alias("user")).agg(*(F.sum(c).alias(f"s{c}") for c in each("y")))
+        whole = _meet(users, implicit, "user").select("user", "bu", "norm", *each("p"), *((F.col(p) + F.col("norm") * F.col(f"s{y}")).alias(f"z{i}") for i, (p, y) in enumerate(zip(each("p"), each("y")))))
+        met = _meet(_meet(placed, sent(whole, "user", "src"), ["part", "src"]), sent(items, "item", "dst"), ["part", "dst"])
         product = sum((F.col(q) * F.col(z) for q, z in zip(each("q"), each("z"))), F.lit(0.0))
         met = materialize(met.withColumn("e", F.col("rating") - (F.lit(mean) + F.col("bu") + F.col("bi") + product)), f"svd-{k}")
         errors.append(met.agg(F.sqrt(F.avg(F.col("e") * F.col("e")))).first()[0])
@@ -225,7 +241,7 @@ def svd_plus_plus(ratings: DataFrame, factors: int = 4, rounds: int = 5, rate: f
             *(step(F.col("e") * F.col(z), q).alias(f"d{q}") for q, z in zip(each("q"), each("z"))),
             *(step(F.col("e") * F.col("norm") * F.col(q), y).alias(f"d{y}") for y, q in zip(each("y"), each("q"))),
         )
-        moved = lambda table, by, key, kept, names: table.join(by, key).select(key, *kept, *((F.col(n) + F.col(f"d{n}")).alias(n) for n in names))
+        moved = lambda table, by, key, kept, names: _meet(table, by, key).select(key, *kept, *((F.col(n) + F.col(f"d{n}")).alias(n) for n in names))
         new_users = materialize(moved(users, to_user, "user", ["norm"], ["bu", *each("p")]), f"svd-users-{k}")
         new_items = materialize(moved(items, to_item, "item", [], ["bi", *each("q"), *each("y")]), f"svd-items-{k}")
         discard(users, items, met)

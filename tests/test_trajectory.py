@@ -427,3 +427,69 @@ def test_exact_tiles_beyond_the_sample(spark, monkeypatch):
     got = queries._exact_tiling(spark.createDataFrame(points, "x double, y double"), ["x", "y"], 16)
     want = tiling(np.array(points), 16, [2])
     assert got.fans == want.fans and all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got.cuts, want.cuts))
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_sieve_keeps_all_near_pairs(name, dims):
+    """Rows of up to 80 points, one of them far off and one with a coordinate that is no number."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wayfold.functions import sieve
+    from wayfold.functions.distance import pairs_within
+
+    r = random.Random(dims)
+    column = lambda rows: pa.array(rows, pa.list_(pa.list_(pa.float64())))
+    row = lambda most: [[r.uniform(0, 100) for _ in range(dims)] for _ in range(r.randint(0, most))]
+    a = column([row(most) for most in (1, 3, 12, 12, 12, 20, 40, 80)] + [[[1e6] * dims]])
+    rights = [row(most) for most in (1, 3, 12, 12, 12, 20, 40, 80) for _ in range(30)] + [[[1e5] * dims] * 3, None]
+    for b in (column(rights), column([*rights, [[math.nan] * dims]])):
+        whole = pairs_within(name, a, b, np.inf)
+        for share in (0.0, 0.02, 0.3, 1.0):
+            bars = np.array([np.quantile(own, share) if len(own := whole[2][whole[0] == i]) else np.inf for i in range(len(a))])
+            want, got = (sorted(zip(*(x.tolist() for x in f(name, a, b, bars)))) for f in (pairs_within, sieve.near_pairs))
+            assert got == want
+        for k in (1, 3, 1000):
+            far = [sorted(whole[2][whole[0] == i].tolist()) for i in range(len(a))]
+            assert sieve.kth_distances(name, a, b, k).tolist() == [d[k - 1] if len(d) >= k else math.inf for d in far]
+
+
+@pytest.mark.parametrize("name", ["EDR", "FRECHET"])
+def test_nearest_join_measures_few_pairs(name, monkeypatch):
+    """Of trajectories that all differ, lengths or ends leave much; the sieve leaves few pairs to measure."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wayfold.functions import distance as measures
+    from wayfold.functions import sieve
+
+    r = random.Random(2)
+    rows = [[[r.uniform(0, 100), y] for y in sorted(r.uniform(0, 100) for _ in range(r.randint(5, 15)))] for _ in range(3000)]
+    a, b = (pa.array(x, pa.list_(pa.list_(pa.float64()))) for x in (rows[::50], rows))
+    measured, plain = [], measures._programme_within
+    monkeypatch.setattr(measures, "_programme_within", lambda *x: measured.append(len(x[3])) or plain(*x))
+    bars = sieve.kth_distances(name, a, b, 3)
+    got = sieve.near_pairs(name, a, b, bars)
+    assert sum(measured) < 0.15 * len(a) * len(b)
+    monkeypatch.undo()
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in measures.pairs_within(name, a, b, bars))))
+    assert (np.bincount(got[0], minlength=len(a)) >= 3).all()
+
+
+def test_nearest_join_takes_tiles_together(spark, monkeypatch):
+    """Small tiles next to each other are one for a nearest join, so a left row is sent to few; all of the join's blocks are used."""
+    r = random.Random(8)
+    rows = [(i, [[r.uniform(0, 100), r.uniform(0, 100)] for _ in range(r.randint(1, 8))]) for i in range(300)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(index, "TILE_ROWS", 5)
+    for n, v in (("NEAR_RIGHT", 60), ("NEAR_LEFT", 20), ("SEEDS", 40), ("SEED_ROWS", 50)):
+        monkeypatch.setattr(join, n, v)
+    for name in NAMES:
+        a, _ = join.sides(frame, frame, "traj", "traj", name, "id", "id")
+        held = join._bundled(a)
+        assert len(held.tiles) <= 12 < len(a.tiles) and sum(t["n"] for t in held.tiles) == len(rows)
+        assert {t[index.TILE]: t["n"] for t in held.tiles} == {x[0]: x[1] for x in held.data.groupBy(index.TILE).count().collect()}
+        near = sorted((x[0], x[2], x[1]) for x in join.knn_pairs(a, a, name, 3).collect())
+        assert near == sorted(x for i, t in rows[:60] for x in sorted((i, brute(name, t, u), j) for j, u in rows)[:3]) + [x for x in near if x[0] >= 60]
+        assert len(near) == 3 * len(rows)

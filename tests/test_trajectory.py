@@ -493,3 +493,67 @@ def test_nearest_join_takes_tiles_together(spark, monkeypatch):
         near = sorted((x[0], x[2], x[1]) for x in join.knn_pairs(a, a, name, 3).collect())
         assert near == sorted(x for i, t in rows[:60] for x in sorted((i, brute(name, t, u), j) for j, u in rows)[:3]) + [x for x in near if x[0] >= 60]
         assert len(near) == 3 * len(rows)
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_threshold_join_sends_no_row_twice(spark, monkeypatch, once):
+    """Blocks meet in a product of partitions: a plan without rows made for each tile, however many blocks there are."""
+    r = random.Random(12)
+    rows = [(i, [[r.uniform(0, 100), r.uniform(0, 100)] for _ in range(r.randint(1, 9))]) for i in range(120)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(index, "TILE_ROWS", 5)
+    for n, v in (("BLOCK", 4), ("NEAR_RIGHT", 25), ("NEAR_LEFT", 7), ("LEAST_POINTS", 8), ("EXPANDED", 3)):
+        monkeypatch.setattr(join, n, v)
+    found = join.threshold_join(frame, frame, "traj", "traj", "DTW", 250.0, once=once, digits=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Generate" not in plan
+    want = {(i, j): brute("DTW", t, u) for i, t in rows for j, u in rows if i < j or not once}
+    got = {(min(x[:2]), max(x[:2])) if once else tuple(x[:2]): x[2] for x in found.collect()}
+    assert got == {k: pytest.approx(d, abs=1e-6) for k, d in want.items() if d <= 250}
+
+
+def test_walks_of_all_lengths():
+    """Walks followed by diagonals, of pairs that end at different places and leave at different times."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wayfold.functions import distance as measures
+    from wayfold.functions import sieve
+
+    r = random.Random(7)
+    rows = [[[r.uniform(0, 100), r.uniform(0, 100)] for _ in range(n)] for n in (1, 1, 2, 3, 5, 8, 9, 17, 63, 64, 65, 66, 90, 130)]
+    a = pa.array(rows, pa.list_(pa.list_(pa.float64())))
+    for name in ("DTW", "FRECHET"):
+        want = {(i, j): brute(name, t, u) for i, t in enumerate(rows) for j, u in enumerate(rows)}
+        for share in (0.2, 0.6, 1.0):
+            bars = np.array([np.quantile([want[i, j] for j in range(len(rows))], share) for i in range(len(rows))])
+            for found in (sieve.near_pairs(name, a, a, bars), measures.pairs_within(name, a, a, bars)):
+                assert {(i, j): d for i, j, d in zip(*(x.tolist() for x in found))} == {k: d for k, d in want.items() if d <= bars[k[0]]}
+    # Long rows go by their points too, and not by their ends alone.
+    rights = [[[50.0, 50.0], *([r.uniform(0, 100), r.uniform(0, 100)] for _ in range(98)), [50.0, 50.0]] for _ in range(300)]
+    points, start, size = measures._points(pa.array(rights, pa.list_(pa.list_(pa.float64()))))
+    assert len(sieve.Grid(points, start, size).near("FRECHET", points[:100], 30.0, EPS, DELTA)) < 30
+
+
+def test_rounding_as_spark_does(spark):
+    import numpy as np
+
+    d = [0.1234565, 2.5e-7, 5e-7, 1.0000005, 123456.7890125, 99999999.9999995, 4e15, 1e17 / 3, *(random.Random(1).uniform(0, 300) for _ in range(500))]
+    want = [x[0] for x in spark.createDataFrame([(x,) for x in d], "d double").select(F.round("d", 6)).collect()]
+    assert join._rounded(np.array(d), 6).tolist() == want
+
+
+def test_sql_join_measures_its_pairs_once(spark, frame):
+    """The pairs of a SQL join are read once, whatever columns it names."""
+    frame.createOrReplaceTempView("pairs_once")
+    s = TrajectorySession(spark)
+    rows = [(i, t) for i, t in sample() if t]
+    want = sorted((i, j) for i, t in rows for j, u in rows if i < j and brute("FRECHET", t, u) < 50)
+    for columns in ("a.id AS left_id, b.id AS right_id", "a.id, b.id"):
+        found = s.sql(f"SELECT {columns} FROM pairs_once a JOIN pairs_once b ON FRECHET(a.traj, b.traj) < 50.0 WHERE a.id < b.id")
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("InArrow ") <= 4
+        assert "LateralJoin" not in found._jdf.queryExecution().analyzed().toString()
+        assert sorted(map(tuple, found.collect())) == want
+    assert s.sql("SELECT a.id, count(*) AS n FROM pairs_once a JOIN pairs_once b ON FRECHET(a.traj, b.traj) < 50.0 GROUP BY a.id").count() == len(rows)
+    other = s.sql("SELECT b.id AS id FROM pairs_once a JOIN pairs_once b ON FRECHET(a.traj, b.traj) < 50.0 WHERE a.id < b.id ORDER BY id")
+    assert [x[0] for x in other.collect()] == sorted(j for _, j in want)

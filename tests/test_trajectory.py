@@ -557,3 +557,12 @@ def test_sql_join_measures_its_pairs_once(spark, frame):
     assert s.sql("SELECT a.id, count(*) AS n FROM pairs_once a JOIN pairs_once b ON FRECHET(a.traj, b.traj) < 50.0 GROUP BY a.id").count() == len(rows)
     other = s.sql("SELECT b.id AS id FROM pairs_once a JOIN pairs_once b ON FRECHET(a.traj, b.traj) < 50.0 WHERE a.id < b.id ORDER BY id")
     assert [x[0] for x in other.collect()] == sorted(j for _, j in want)
+
+
+def test_nearest_join_takes_all_customers(spark, orders):
+    """The Frechet join has a left row for every customer."""
+    path, t = orders
+    got = sorted((r[0], r[2], r[1]) for r in queries.QUERIES["traj_knn_join_frechet"](spark, path).collect())
+    want = sorted(x for i in t for x in sorted((i, brute("FRECHET", t[i], t[j]), j) for j in t)[:3])
+    assert [(i, j) for i, _, j in got] == [(i, j) for i, _, j in want] and [d for _, d, _ in got] == pytest.approx([d for _, d, _ in want], abs=1e-6)
+    assert {i for i, *_ in got} == set(t)
